@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from twinfold.common import ship
@@ -293,7 +294,7 @@ def vocabulary(path: str) -> Vocabulary:
 
 def slices(batch: pa.RecordBatch, name: str, most: int = BATCH_CHARS) -> Iterator[pa.RecordBatch]:
     """Consecutive rows whose texts hold about ``most`` bytes together."""
-    sizes = pa.compute.fill_null(pa.compute.binary_length(batch.column(name)), 0).to_numpy(zero_copy_only=False)
+    sizes = pc.fill_null(pc.binary_length(batch.column(name)), 0).to_numpy(zero_copy_only=False)
     at, total = 0, 0
     for k, n in enumerate(sizes.tolist()):
         if k > at and total + n > most:
