@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from twinfold.common import ship, table
-from twinfold.llm import bpe
+from twinfold.llm import bpe, langid, quality, toxicity
+from twinfold.llm.sampling import remainder
 
 
 def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
@@ -17,6 +18,25 @@ def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(ship(spark), sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", remainder("doc_id", 5) == 0)
+    return langid.predict(docs.drop("lang"), langid.fit(docs.filter(~F.col("held_out")))).select("doc_id", "held_out", "lang_pred", "score")
+
+
+def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(ship(spark), sf_dir, "documents").select("doc_id", "text").withColumn("held_out", remainder("doc_id", 4) == 2)
+    labels = table(spark, sf_dir, "labels").filter(remainder("doc_id", 4) != 2)
+    scored = quality.score(docs, quality.fit(docs, labels))
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(ship(spark), sf_dir, "documents").select("doc_id", "text").withColumn("held_out", remainder("doc_id", 5) == 0)
+    labels = table(spark, sf_dir, "labels").filter(remainder("doc_id", 5) != 0)
+    scored = toxicity.score(docs, toxicity.fit(docs, labels))
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = tokenizer_file()
     docs = table(ship(spark), sf_dir, "documents").select("doc_id", "text")
@@ -25,6 +45,9 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op4_langid": op4_langid,
+    "op8_quality": op8_quality,
+    "op9_toxicity": op9_toxicity,
     "op10_bpe": op10_bpe,
 }
 
