@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from twinfold.common import ship, table
-from twinfold.llm import bpe, langid, quality, toxicity
+from twinfold.llm import bpe, langid, quality, simhash, toxicity
 from twinfold.llm.sampling import remainder
 
 
@@ -18,6 +18,11 @@ def tokenizer_file(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", simhash.hexed(F.col("fp")).alias("fingerprint"), "component_id")
+
+
 def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(ship(spark), sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", remainder("doc_id", 5) == 0)
     return langid.predict(docs.drop("lang"), langid.fit(docs.filter(~F.col("held_out")))).select("doc_id", "held_out", "lang_pred", "score")
@@ -45,6 +50,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_simhash": op1_simhash,
     "op4_langid": op4_langid,
     "op8_quality": op8_quality,
     "op9_toxicity": op9_toxicity,
