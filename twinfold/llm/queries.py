@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from uuid import uuid4
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from twinfold.common import ship, table
-from twinfold.llm import bpe, decontam, langid, quality, simhash, toxicity
+from twinfold.common import cut, shared_dir, ship, table
+from twinfold.llm import bpe, decontam, langid, quality, simhash, toxicity, warc
 from twinfold.llm.sampling import remainder
 
 
@@ -46,6 +47,29 @@ FROM d LEFT JOIN n USING (doc_id) LEFT JOIN i USING (doc_id)
 """
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = f"{shared_dir(spark)}/warc-{uuid4().hex}"
+    warc.write(warc.plan(table(spark, sf_dir, "pages")), path)
+    page = F.nullif(F.regexp_extract("metadata.text", r"page: (-?\d+)", 1), F.lit("")).cast("long")
+    found = cut(warc.assemble(warc.read(spark, path)).select("record_id", page.alias("page_id"), "warc_type", "payload_bytes", "payload_digest", "named_digest", "refers_to"))
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+    first = found.filter("warc_type = 'response'").select(F.col("record_id").alias("refers_to"), F.col("page_id").alias("to_page"), F.col("payload_bytes").alias("to_bytes"))
+    revisit = F.col("warc_type") == "revisit"
+    return found.join(first, "refers_to", "left").select(
+        "page_id", F.when(revisit, F.col("to_bytes")).otherwise(F.col("payload_bytes")).alias("payload_bytes"), F.when(revisit, F.col("named_digest")).otherwise(F.col("payload_digest")).alias("payload_digest"),
+        F.col("warc_type").alias("record_type"), F.when(revisit, F.col("to_page")).alias("refers_to"),
+    )
+
+
+OP6_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS html, sha1(coalesce(html, '')) AS h, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS first FROM pages)
+SELECT page_id, strlen(html)::BIGINT AS payload_bytes,
+array_to_string(list_transform(range(0, 32), lambda k: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + ((('0x' || substr(h, (1 + 5 * (k // 4))::BIGINT, 5))::BIGINT >> (15 - 5 * (k % 4))) & 31), 1)), '') AS payload_digest,
+CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to FROM p
+"""
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(ship(spark), sf_dir, "documents").select("doc_id", "text").withColumn("held_out", remainder("doc_id", 4) == 2)
     labels = table(spark, sf_dir, "labels").filter(remainder("doc_id", 4) != 2)
@@ -71,6 +95,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op4_langid": op4_langid,
     "op5_decontam": op5_decontam,
+    "op6_warc": op6_warc,
     "op8_quality": op8_quality,
     "op9_toxicity": op9_toxicity,
     "op10_bpe": op10_bpe,
@@ -78,4 +103,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op5_decontam": OP5_SQL,
+    "op6_warc": OP6_SQL,
 }
