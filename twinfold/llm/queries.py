@@ -8,7 +8,7 @@ from uuid import uuid4
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from twinfold.common import cut, shared_dir, ship, table
-from twinfold.llm import bpe, decontam, langid, quality, simhash, toxicity, warc
+from twinfold.llm import bpe, chat, decontam, langid, licences, quality, simhash, toxicity, warc
 from twinfold.llm.sampling import remainder
 
 
@@ -24,6 +24,13 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hexed(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op2_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = licences.scan(docs).groupBy("doc_id").agg(F.count("*").alias("n_paragraphs"), F.array_join(F.array_sort(F.collect_set("family")), ",").alias("families"), F.max("probability").alias("probability"), F.bool_and("confirmed").alias("confirmed"))
+    none = F.lit(0).cast("long")
+    return docs.select("doc_id").join(found, "doc_id", "left").select("doc_id", F.coalesce("n_paragraphs", none).alias("n_paragraphs"), F.coalesce("families", F.lit("")).alias("families"), F.coalesce("probability", F.lit(0.0)).alias("probability"), F.coalesce("confirmed", F.lit(False)).alias("confirmed"))
+
+
 def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(ship(spark), sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", remainder("doc_id", 5) == 0)
     return langid.predict(docs.drop("lang"), langid.fit(docs.filter(~F.col("held_out")))).select("doc_id", "held_out", "lang_pred", "score")
@@ -70,6 +77,16 @@ CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CAS
 """
 
 
+def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format(table(spark, sf_dir, "conversations"))
+
+
+OP7_SQL = """
+SELECT conv_id, turn, turn AS place, 0 AS rank, coalesce(role, '') AS role, 0 AS n_calls, 0 AS n_linked, 0 AS n_invalid,
+to_json({'content': coalesce(text, ''), 'role': coalesce(role, '')})::VARCHAR AS message FROM conversations
+"""
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(ship(spark), sf_dir, "documents").select("doc_id", "text").withColumn("held_out", remainder("doc_id", 4) == 2)
     labels = table(spark, sf_dir, "labels").filter(remainder("doc_id", 4) != 2)
@@ -93,9 +110,11 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
+    "op2_licences": op2_licences,
     "op4_langid": op4_langid,
     "op5_decontam": op5_decontam,
     "op6_warc": op6_warc,
+    "op7_chat": op7_chat,
     "op8_quality": op8_quality,
     "op9_toxicity": op9_toxicity,
     "op10_bpe": op10_bpe,
@@ -104,4 +123,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 ORACLES: dict[str, str] = {
     "op5_decontam": OP5_SQL,
     "op6_warc": OP6_SQL,
+    "op7_chat": OP7_SQL,
 }
