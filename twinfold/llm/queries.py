@@ -8,7 +8,7 @@ from uuid import uuid4
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from twinfold.common import cut, shared_dir, ship, table
-from twinfold.llm import bpe, chat, decontam, langid, licences, quality, simhash, toxicity, warc
+from twinfold.llm import bpe, chat, decontam, embeddings, langid, licences, quality, simhash, toxicity, warc
 from twinfold.llm.sampling import remainder
 
 
@@ -31,6 +31,10 @@ def op2_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id").join(found, "doc_id", "left").select("doc_id", F.coalesce("n_paragraphs", none).alias("n_paragraphs"), F.coalesce("families", F.lit("")).alias("families"), F.coalesce("probability", F.lit(0.0)).alias("probability"), F.coalesce("confirmed", F.lit(False)).alias("confirmed"))
 
 
+def op3_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(ship(spark), sf_dir, "documents").select("doc_id", "text", "lang").withColumn("held_out", remainder("doc_id", 5) == 0)
     return langid.predict(docs.drop("lang"), langid.fit(docs.filter(~F.col("held_out")))).select("doc_id", "held_out", "lang_pred", "score")
@@ -111,6 +115,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_licences": op2_licences,
+    "op3_embeddings": op3_embeddings,
     "op4_langid": op4_langid,
     "op5_decontam": op5_decontam,
     "op6_warc": op6_warc,
