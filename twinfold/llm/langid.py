@@ -143,11 +143,11 @@ def build(rows: list[tuple[str, int, str, int, int]]) -> Model:
     return Model(langs, words, pieces, table)
 
 
-def predict(df: DataFrame, model: Model, text: str = "text", lang: str = "lang_pred", score: str = "score") -> DataFrame:
-    """``df`` without its text, with the predicted language and its score; pass a copy of the text to keep it."""
+def predict(df: DataFrame, model: Model, text: str = "text", lang: str = "lang_pred", score: str = "score", keep_text: bool = False) -> DataFrame:
+    """``df``, by default without its text, with the predicted language and its score."""
     spark = ship(df.sparkSession)
     shared = spark.sparkContext.broadcast((model.langs, model.words, model.grams, model.table))
-    kept = [f for f in df.schema if f.name not in (text, lang, score)]
+    kept = [f for f in df.schema if f.name not in (lang, score) and (keep_text or f.name != text)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = Model(*shared.value)

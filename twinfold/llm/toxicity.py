@@ -258,10 +258,10 @@ def fit(df: DataFrame, labels: DataFrame, text: str = "text", label: str = "toxi
     return lexicon
 
 
-def score(df: DataFrame, lexicon: Lexicon, text: str = "text", out: str = "score") -> DataFrame:
-    """``df`` without its text, with the probability that it is toxic."""
+def score(df: DataFrame, lexicon: Lexicon, text: str = "text", out: str = "score", keep_text: bool = False) -> DataFrame:
+    """``df``, by default without its text, with the probability that it is toxic."""
     shared = ship(df.sparkSession).sparkContext.broadcast((lexicon.terms, sorted(lexicon.clean), lexicon.base))
-    kept = [f for f in df.schema if f.name not in (text, out)]
+    kept = [f for f in df.schema if f.name != out and (keep_text or f.name != text)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Lexicon(*shared.value)
