@@ -205,3 +205,16 @@ def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", size
     found = components(links(points, most))
     named = points.join(found, points.rep == found.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     return rows.join(named, "fp").select(key, "fp", F.when(F.col(key).isNotNull(), F.col("component_id")).alias("component_id"))
+
+
+def deduplicate(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """``df`` with one row of each group of near-duplicates, that of the least key; rows with a null key stay.
+
+    Of rows that repeat a key, one stays.
+    """
+    found = cut(near_duplicates(df, text, key))
+    kept = df.join(found.filter(F.col("component_id") != F.col(key)).select(key).distinct(), key, "left_anti")
+    repeated = cut(found.filter(F.col(key).isNotNull()).groupBy(key).count().filter("count > 1").select(key))
+    if not repeated.isEmpty():
+        kept = kept.join(repeated, key, "left_anti").unionByName(kept.join(repeated, key, "left_semi").dropDuplicates([key]))
+    return kept.select(*df.columns)
