@@ -1,13 +1,63 @@
-"""Corpus cleaning: placeholder stages are filled in below as their operators land."""
+"""Corpus cleaning in five stages; each works on all that the one before it kept."""
 
-from pyspark.sql import DataFrame, SparkSession
+from __future__ import annotations
 
-STAGES = []
+from uuid import uuid4
+
+from pyspark.sql import DataFrame, SparkSession, functions as F
+
+from twinfold.common import shared_dir, ship, table
+from twinfold.llm import bpe, decontam, langid, simhash, toxicity
+from twinfold.llm.queries import tokenizer_file
+from twinfold.llm.sampling import remainder
+
+#: Probability from which a document counts as toxic and goes.
+TOXIC = 0.5
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language can be told; those without a letter go."""
+    model = langid.fit(docs.filter(remainder("doc_id", 5) != 0))
+    told = langid.predict(docs, model, lang="_lang_pred", score="_lang_score", keep_text=True)
+    return told.filter(F.col("_lang_pred") != langid.UNDETERMINED).select(*docs.columns)
+
+
+def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are not toxic."""
+    labels = table(spark, sf_dir, "labels").filter(remainder("doc_id", 5) != 0)
+    scored = toxicity.score(docs, toxicity.fit(docs, labels), out="_toxic_score", keep_text=True)
+    return scored.filter(F.col("_toxic_score") < TOXIC).select(*docs.columns)
+
+
+def unique(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates."""
+    return simhash.deduplicate(docs)
+
+
+def unseen(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a passage of a benchmark item."""
+    return decontam.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """What each document encodes to, checked by decoding."""
+    path = tokenizer_file()
+    coded = bpe.decode(bpe.encode(docs.select("doc_id", "text"), path).drop("text"), path)
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), bpe.ids_digest(F.col("ids")).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+STAGES = [("language", language), ("toxicity", clean), ("near_duplicates", unique), ("decontamination", unseen), ("tokens", tokens)]
+
+#: Trained models and fingerprints are beyond SQL; tests compare run() with a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
+    """Applies the stages to ``documents``; what each returns is written to the shared folder and read again."""
+    ship(spark)
+    docs, at = table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/pipeline-{uuid4().hex}"
+    for k, (_, stage) in enumerate(STAGES):
+        path = f"{at}/{k}"
+        stage(spark, docs, sf_dir).write.mode("overwrite").parquet(path)
+        docs = spark.read.parquet(path)
     return docs
