@@ -1 +1 @@
-
+"""Kept empty on purpose: the capability set rebuilt here has no streaming operators."""
