@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from twinfold.functions.media import media_class
 
 CLASSES = ["Images", "Videos", "Other"]
-#: A few rows: the maximum over all needs no partition.
-ALL = Window.partitionBy(F.lit(0))
+
+
+def _largest(c: str) -> Column:
+    """Maximum over all rows, of which there are a few."""
+    return F.greatest(F.lit(1), F.max(c).over(Window.partitionBy(F.lit(0))))
 
 
 def scan_summary(files: DataFrame, groups: DataFrame) -> DataFrame:
@@ -26,21 +29,20 @@ def file_types(files: DataFrame) -> DataFrame:
 
 
 def file_type_bars(files: DataFrame) -> DataFrame:
-    most = F.greatest(F.lit(1), F.max("bytes").over(ALL))
-    return file_types(files).filter("n_files > 0").withColumn("fraction", F.col("bytes") / most)
+    return file_types(files).filter("n_files > 0").withColumn("fraction", F.col("bytes") / _largest("bytes"))
 
 
 def by_method(groups: DataFrame) -> DataFrame:
     """Groups and reclaimable bytes of each first method, with the fraction of the largest."""
     g = groups.groupBy("method").agg(F.count("*").alias("n_groups"), F.sum("reclaimable_bytes").alias("reclaimable_bytes"))
-    return g.withColumn("fraction", F.col("reclaimable_bytes") / F.greatest(F.lit(1), F.max("reclaimable_bytes").over(ALL)))
+    return g.withColumn("fraction", F.col("reclaimable_bytes") / _largest("reclaimable_bytes"))
 
 
 def flag_histogram(photos: DataFrame) -> DataFrame:
     """Photos of each flag, and those without any as Good."""
     flags = photos.select(F.explode(F.when(F.size("flags") > 0, F.col("flags")).otherwise(F.array(F.lit("Good")))).alias("flag"))
     g = flags.groupBy("flag").agg(F.count("*").alias("n"))
-    return g.withColumn("fraction", F.col("n") / F.greatest(F.lit(1), F.max("n").over(ALL)))
+    return g.withColumn("fraction", F.col("n") / _largest("n"))
 
 
 def top(groups: DataFrame, n: int = 5) -> DataFrame:
