@@ -31,7 +31,7 @@ from twinfold.operators.components import components
 #: Words of a shingle, seed of its hash, bits of a fingerprint that may differ.
 SHINGLE, SEED, BITS = 3, 42, 3
 #: Fingerprints that the trees are grown on, members of a leaf aimed at, deepest tree, members of a tile.
-SAMPLE, LEAF, DEPTH, TILE = 65_536, 1_024, 12, 4_096
+SAMPLE, LEAF, DEPTH, TILE = 65_536, 1_024, 12, 16_384
 #: Shingle hashes summed at once, rows compared at once.
 BLOCK, ROWS = 32_768, 256
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
