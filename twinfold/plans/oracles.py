@@ -126,6 +126,9 @@ SELECT any_value(rf) AS first_file, count(*) AS n_files, lpad(lower(to_hex(any_v
     "photo_flagged_only": f"WITH {PHOTOS} SELECT file_id, score, width::VARCHAR || '×' || height::VARCHAR AS resolution FROM ph WHERE len(flags) > 0",
     "screenshot_rule": f"WITH {IMAGES} SELECT file_id, {SHOT} AS screenshot FROM i",
     "parse_extensions": r"WITH s AS (SELECT p_partkey, lower(regexp_replace(upper(p_brand[1:3]) || ';.' || p_type[1:3] || ', ' || p_name[1:2], '[^A-Za-z;., ]', '', 'g')) AS t FROM part), x AS (SELECT p_partkey, list_transform(list_filter(regexp_split_to_array(t, '[,; ]+'), lambda p: p <> ''), lambda p: CASE WHEN starts_with(p, '.') THEN p ELSE '.' || p END) AS l FROM s) SELECT p_partkey, array_to_string(list_filter(l, lambda p, k: list_position(l, p) = k), '|') AS extensions FROM x",
+    "humanize_bytes": r"WITH k AS (SELECT o_orderkey, floor(o_totalprice)::BIGINT AS n FROM orders), h AS (SELECT *, (n * 100 + 512) // 1024 AS c FROM k) SELECT o_orderkey, CASE WHEN n = 0 THEN '0 B' WHEN n < 1024 THEN n::VARCHAR || ' KB' ELSE regexp_replace(regexp_replace((c // 100)::VARCHAR || '.' || lpad((c % 100)::VARCHAR, 2, '0'), '0+$', ''), '\.$', '') || ' MB' END AS size_text FROM h",
+    "report_json_rows": f"""WITH {MERGED}, fs AS (SELECT sk, list({{'path': full_path, 'sizeBytes': length, 'lastModifiedUtc': strftime(TIMESTAMP '2024-01-01' + to_days((file_id % 97)::INT), '%Y-%m-%dT%H:%M:%S.000000') || '0Z', 'contentHash': NULL::VARCHAR}} ORDER BY pos) AS files FROM km GROUP BY sk)
+SELECT ordinal, to_json({{'id': ordinal, 'method': method, 'similarity': similarity, 'signature': signature, 'reclaimableBytes': reclaimable_bytes, 'files': files}})::VARCHAR AS json FROM rk JOIN fs USING (sk)""",
     "report_csv_rows": f"WITH {MERGED} SELECT rk.ordinal AS group_number, km.pos::INT AS pos, rk.method, CASE WHEN rk.similarity >= 1 THEN '1' ELSE '0.9' END AS similarity_text, km.full_path AS file_path, km.length AS size_bytes, rk.reclaimable_bytes FROM rk JOIN km USING (sk)",
     "session_roundtrip": f"WITH {MERGED} SELECT count(*)::INT AS n_files, any_value(CASE WHEN km.methods = 3 THEN 2 ELSE 1 END)::INT AS n_reasons, min_by(full_path, pos) AS first_path, sum(length)::BIGINT AS total_bytes FROM km GROUP BY sk",
     "session_import_defaults": f"WITH {FILES} SELECT length, count(*)::INT AS n_files, 'ExactContent' AS method, 1.0::DOUBLE AS similarity FROM f GROUP BY length HAVING count(*) > 1",
