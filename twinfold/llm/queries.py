@@ -32,7 +32,16 @@ def op2_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings")).select("vec_id", "n_links", "component_id", "kept")
+
+
+OP3_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.95),
+reach(node, r) AS (SELECT DISTINCT a, a FROM p UNION SELECT p.b, reach.r FROM reach JOIN p ON p.a = reach.node),
+c AS (SELECT node, min(r) AS component FROM reach GROUP BY node), n AS (SELECT a, count(*) AS k FROM p GROUP BY a)
+SELECT vec_id, coalesce(k, 0)::BIGINT AS n_links, coalesce(component, vec_id) AS component_id, coalesce(component, vec_id) = vec_id AS kept FROM embeddings LEFT JOIN n ON n.a = vec_id LEFT JOIN c ON c.node = vec_id
+"""
 
 
 def op4_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,6 +135,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 ORACLES: dict[str, str] = {
+    "op3_embeddings": OP3_SQL,
     "op5_decontam": OP5_SQL,
     "op6_warc": OP6_SQL,
     "op7_chat": OP7_SQL,
