@@ -78,6 +78,8 @@ class Model:
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         docs = [letters(t.lower()) if t else [] for t in texts]
+        # The pattern also takes signs such as raised digits; a text of those alone has no letter.
+        docs = [d if any(ch.isalpha() for w in d for ch in w) else [] for d in docs]
         langs, scores = [UNDETERMINED] * len(docs), np.zeros(len(docs))
         if not self.langs:
             return langs, scores

@@ -31,8 +31,10 @@ from twinfold.llm.sampling import bounded
 DOCS, TERMS = 3_000, 400
 #: A term stands in so many toxic documents, in at most so many clean ones for each, and a stem has so many letters.
 SUPPORT, IMPURE, STEM = 4, 0.02, 4
-#: Candidates weighed, and their longest.
+#: Candidates weighed, and letters of the longest.
 CANDIDATES, LONGEST = 4_000, 24
+#: Words of clean training documents that are near a term, at most; the sample that they come from is bounded too.
+NEAR = 10_000
 #: Letters from which a term may differ by any one edit.
 FUZZY = 6
 #: Words remembered by a worker.
@@ -247,7 +249,7 @@ def fit(df: DataFrame, labels: DataFrame, text: str = "text", label: str = "toxi
             words = [w for w in batch.column("word").to_pylist() if w and w not in lexicon.whole and lexicon.weigh(w)]
             yield pa.RecordBatch.from_arrays([pa.array(words, pa.string())], names=["word"])
 
-    clean_words = [r.word for r in counts.filter("n > 0 and word <> ''").select("word").mapInArrow(close, "word string").limit(10_000).collect() if not any(r.word.startswith(s) for s in draft.stems)]
+    clean_words = [r.word for r in counts.filter("n > 0 and word <> ''").select("word").mapInArrow(close, "word string").orderBy("word").limit(NEAR).collect() if not any(r.word.startswith(s) for s in draft.stems)]
     lexicon = Lexicon(terms, clean_words, 0.0)
     missed = score(sample.withColumn("y", F.col(label)), lexicon, text, "s").filter("s = 0").agg(F.sum("y").alias("p"), F.count("*").alias("n")).collect()[0]
     share = {r[label]: r["count"] for r in usable.groupBy(label).count().collect()}
