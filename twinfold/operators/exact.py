@@ -39,10 +39,13 @@ def hashed(files: DataFrame, content: str = "content", quick: bool = False) -> D
 
 
 def groups(signed: DataFrame) -> DataFrame:
-    """(group_id, signature, n_files, total_bytes, reclaimable_bytes): the first by time is what stays."""
-    first = F.min(F.struct("last_write_utc", "file_id", "length"))["length"]
-    g = signed.groupBy("group_key").agg(F.min("file_id").alias("group_id"), F.count("*").alias("n_files"), F.sum("length").alias("total_bytes"), first.alias("first"))
-    return g.filter("n_files > 1").select("group_id", F.col("group_key").alias("signature"), "n_files", "total_bytes", (F.col("total_bytes") - F.col("first")).alias("reclaimable_bytes"))
+    """(group_id, signature, n_files, total_bytes, reclaimable_bytes).
+
+    Members of a group have one length, so whichever stays, the others free the same: counts and a
+    minimum are enough, which hash aggregation keeps in place.
+    """
+    g = signed.groupBy("group_key", "length").agg(F.min("file_id").alias("group_id"), F.count("*").alias("n_files")).filter("n_files > 1")
+    return g.select("group_id", F.col("group_key").alias("signature"), "n_files", (F.col("length") * F.col("n_files")).alias("total_bytes"), (F.col("length") * (F.col("n_files") - 1)).alias("reclaimable_bytes"))
 
 
 def detect(signed: DataFrame) -> tuple[DataFrame, DataFrame]:
