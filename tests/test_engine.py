@@ -246,3 +246,53 @@ def test_video_tools():
     assert video.split_png(b"junk" + one + one) == [one, one]
     assert video.find_tool("no-such-tool-here") is None
     assert video.Ffmpeg("/none", "/none").duration("/x") == 0.0
+
+
+class Frames:
+    """Makes a frame from the name of a file, so that copies look alike."""
+
+    def duration(self, path):
+        return 0.0 if "nolength" in path else 60.0
+
+    def frame(self, path, second):
+        rng = random.Random(f"{os.path.basename(path)[0]}{int(second)}")
+        return png([[rng.randrange(256) for _ in range(32)] for _ in range(24)])
+
+    def every(self, path, seconds, most):
+        return [self.frame(path, k) for k in range(most)]
+
+
+def test_videos_by_frames(spark):
+    import sys
+
+    from pyspark import cloudpickle
+
+    cloudpickle.register_pickle_by_value(sys.modules[__name__])  # workers don't see this module
+    names_ = ["a1.mp4", "a2.mkv", "b.mp4", "c nolength.avi", "a.txt"]
+    files = spark.createDataFrame([(k, f"/v/{n}", n, "/v", "." + n.rsplit(".", 1)[1], 100 - k) for k, n in enumerate(names_)], "file_id long, full_path string, file_name string, directory_name string, extension string, length long")
+    rows = video.hashed(files, ScanOptions(), Frames(), jobs=2)
+    got = {r.file_id: r.frame_hashes for r in rows.collect()}
+    assert set(got) == {0, 1, 2, 3} and got[0] == got[1] != got[2] and len(got[3]) == 12
+    members, reasons = perceptual.detect_videos(rows, 8)
+    assert [(r.pos, r.file_id) for r in members.orderBy("pos").collect()] == [(0, 0), (1, 1)] and reasons.first().signature == "video:2"
+
+
+@pytest.mark.parametrize("kind", range(5))
+def test_png_filters(kind):
+    import numpy as np
+
+    rng = np.random.default_rng(kind)
+    a = rng.integers(0, 256, (6, 5, 3))
+    lines = []
+    for y in range(6):
+        up = a[y - 1] if y else np.zeros((5, 3), int)
+        left = np.concatenate([np.zeros((1, 3), int), a[y, :-1]])
+        corner = np.concatenate([np.zeros((1, 3), int), up[:-1]])
+        p = left + up - corner
+        far = np.stack([abs(p - left), abs(p - up), abs(p - corner)])
+        guess = [0 * up, left, up, (left + up) // 2, np.choose(far.argmin(0), [left, up, corner])][kind]
+        lines.append(bytes([kind]) + ((a[y] - guess) % 256).astype(np.uint8).tobytes())
+    chunk = lambda t, d: struct.pack(">I", len(d)) + t + d + struct.pack(">I", zlib.crc32(t + d))
+    data = video.PNG + chunk(b"IHDR", struct.pack(">IIBBBBB", 5, 6, 8, 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(b"".join(lines))) + chunk(b"IEND", b"")
+    want = np.rint(a[..., 0] * 0.2126 + a[..., 1] * 0.7152 + a[..., 2] * 0.0722)
+    assert (video.decode_png(data) == want).all() and video.decode_png(data[:40]) is None and video.decode_png(b"") is None
