@@ -201,7 +201,7 @@ def links(points: DataFrame, most: int = BITS) -> DataFrame:
 def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", size: int = SHINGLE, seed: int = SEED, most: int = BITS) -> DataFrame:
     """(key, fp, component_id) of each row; the component is the least key reachable over links."""
     rows = cut(fingerprints(df, text, key, size, seed))
-    points = cut(rows.groupBy("fp").agg(F.min(key).alias("rep")))
+    points = cut(rows.groupBy("fp").agg(F.min(F.col(key).cast("long")).alias("rep")))
     found = components(links(points, most))
     named = points.join(found, points.rep == found.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     return rows.join(named, "fp").select(key, "fp", F.when(F.col(key).isNotNull(), F.col("component_id")).alias("component_id"))
