@@ -16,11 +16,15 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from twinfold.common import cut
+
 #: Words of a window and of a gram. Gram hashes compared together follow from the two.
 WINDOW, GRAM = 10, 5
 GUARD = WINDOW - GRAM + 1
 #: Low bits of a packed hash hold the word's place.
 PLACE = 28
+#: Rows of (document, item, offset), of 28 bytes each, that are sent to all executors; more are joined by a shuffle.
+BROADCAST = 500_000
 #: A word is a run of anything but ASCII signs other than letters and digits, after A-Z are made small.
 NOT_WORD = "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -86,6 +90,8 @@ def hits(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "te
     own = _fingerprints(spoken, "_k", short, False)
     theirs = _fingerprints(asked, "_i", short, True).withColumnRenamed("at", "iat")
     laid = own.join(theirs, ["h", "size"]).select("_k", "_i", (F.col("at") - F.col("iat")).alias("offset")).distinct()
+    laid = cut(laid)
+    laid = F.broadcast(laid) if laid.count() <= BROADCAST else laid  # texts then stay where they are
     found = spoken.join(laid, "_k").join(asked.withColumnRenamed("w", "iw"), "_i").select("_k", "_i", _spans(F.col("w"), F.col("iw"), F.col("offset")).alias("spans")).filter(F.size("spans") > 0)
     each = found.groupBy("_k").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("spans")))).alias("spans"), F.array_sort(F.collect_set(F.col("_i").cast("string"))).alias("items"))
     return each.select(F.col("_k").alias(key), covered(F.col("spans")).alias("n_hit"), "items")
