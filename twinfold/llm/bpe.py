@@ -25,11 +25,12 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from twinfold.common import ship
+from twinfold.llm.memory import tidy
 
 #: Distinct words, and distinct neighbour pairs, remembered by a worker before its memory is cleared.
-CACHE_WORDS, CACHE_PAIRS = 500_000, 500_000
+CACHE_WORDS, CACHE_PAIRS = 150_000, 200_000
 #: Characters of text handled together.
-BATCH_CHARS = 2_000_000
+BATCH_CHARS = 1_000_000
 #: A longer word is merged with a heap, a shorter one by repeated scans.
 SCAN_MAX = 48
 NO_MERGE, RIGHT = np.iinfo(np.int64).max, 0x7FFFFFFF
@@ -62,12 +63,7 @@ class Vocabulary:
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         for t, i in self.special.items():
             self.ids.pop(t.encode(), None)
-        size = max([*self.ids.values(), *self.special.values()]) + 1
-        self.bytes = [b""] * size
-        for t, i in self.ids.items():
-            self.bytes[i] = t
-        for t, i in self.special.items():
-            self.bytes[i] = t.encode()
+        self.bytes = token_bytes(path)
         self._grow_trie()
         self.single = [self.ids[bytes([b])] for b in range(256)]
         self.merge: dict[int, tuple[int, int]] = {}
@@ -280,12 +276,30 @@ class Vocabulary:
         return out
 
     def decode(self, ids: np.ndarray) -> str:
-        return b"".join(map(self.bytes.__getitem__, ids.tolist())).decode("utf-8", "replace")
+        return text_of(self.bytes, ids)
+
+
+def text_of(table: list[bytes], ids: np.ndarray) -> str:
+    return b"".join(map(table.__getitem__, ids.tolist())).decode("utf-8", "replace")
 
 
 _loaded: dict[str, Vocabulary] = {}
 
 
+def token_bytes(path: str) -> list[bytes]:
+    """The bytes of each id: all that decoding needs."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    back = {ch: b for b, ch in enumerate(byte_chars())}
+    special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+    out = [b""] * (max([*spec["model"]["vocab"].values(), *special.values()]) + 1)
+    for t, i in spec["model"]["vocab"].items():
+        out[i] = bytes(back[ch] for ch in t) if all(ch in back for ch in t) else t.encode()
+    for t, i in special.items():
+        out[i] = t.encode()
+    return out
+
+
 def vocabulary(path: str) -> Vocabulary:
     if path not in _loaded:
         _loaded[path] = Vocabulary(path)
@@ -329,7 +343,7 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids") -> Da
             for part in slices(batch, text):
                 yield _set(part, ids, _lists(v.encode(part.column(text).to_pylist())))
 
-    return df.mapInArrow(run, _typed(df, ids, T.ArrayType(T.IntegerType())))
+    return df.mapInArrow(tidy(run), _typed(df, ids, T.ArrayType(T.IntegerType())))
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
@@ -337,14 +351,14 @@ def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded") ->
     ship(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        v = vocabulary(path)
+        table = token_bytes(path)
         for batch in batches:
             for at in range(0, batch.num_rows, 64):
                 part = batch.slice(at, 64)
-                rows = [v.decode(np.asarray(x.values.to_numpy(zero_copy_only=False))) if x.is_valid else "" for x in part.column(ids)]
+                rows = [text_of(table, np.asarray(x.values.to_numpy(zero_copy_only=False))) if x.is_valid else "" for x in part.column(ids)]
                 yield _set(part, text, pa.array(rows, pa.string()))
 
-    return df.mapInArrow(run, _typed(df, text, T.StringType()))
+    return df.mapInArrow(tidy(run), _typed(df, text, T.StringType()))
 
 
 def ids_digest(ids: Column) -> Column:

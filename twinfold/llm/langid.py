@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from twinfold.common import ship
 from twinfold.llm.bpe import slices
+from twinfold.llm.memory import tidy
 from twinfold.llm.sampling import bounded
 
 #: Training documents of each language, and what is kept of each language: words, and n-grams of each length.
@@ -117,7 +118,7 @@ def fit(df: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_i
                     kinds, pieces = zip(*found, strict=True) if found else ((), ())
                     yield pa.RecordBatch.from_arrays([pa.array([name] * len(found), pa.string()), pa.array(kinds, pa.int32()), pa.array(pieces, pa.string()), pa.array(list(found.values()), pa.int64())], names=["lang", "kind", "piece", "n"])
 
-    counts = rows.select(F.col(lang).alias(lang), F.col(text).alias(text)).mapInArrow(count, "lang string, kind int, piece string, n long").groupBy("lang", "kind", "piece").agg(F.sum("n").alias("n"))
+    counts = rows.select(F.col(lang).alias(lang), F.col(text).alias(text)).mapInArrow(tidy(count), "lang string, kind int, piece string, n long").groupBy("lang", "kind", "piece").agg(F.sum("n").alias("n"))
     first = Window.partitionBy("lang", "kind").orderBy(F.desc("n"), "piece")
     most = F.when(F.col("kind") == 0, WORDS).otherwise(GRAMS)
     kept = counts.withColumn("rank", F.row_number().over(first)).withColumn("total", F.sum("n").over(Window.partitionBy("lang", "kind"))).filter(F.col("rank") <= most).select("lang", "kind", "piece", "n", "total").collect()
@@ -159,4 +160,4 @@ def predict(df: DataFrame, model: Model, text: str = "text", lang: str = "lang_p
                 yield pa.RecordBatch.from_arrays([*(part.column(f.name) for f in kept), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=[*(f.name for f in kept), lang, score])
 
     schema = T.StructType([*(T.StructField(f.name, f.dataType) for f in kept), T.StructField(lang, T.StringType()), T.StructField(score, T.DoubleType())])
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidy(run), schema)

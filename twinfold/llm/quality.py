@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from twinfold.common import ship
 from twinfold.llm.bpe import slices
+from twinfold.llm.memory import tidy
 from twinfold.llm.sampling import bounded
 
 #: Bytes of a block, of a dictionary and of a training chunk.
@@ -104,7 +105,7 @@ def _differences(df: DataFrame, model: Model, text: str, out: str, scored: bool)
             for part in slices(batch, text):
                 yield pa.RecordBatch.from_arrays([*(part.column(x.name) for x in kept), pa.array(map(f, part.column(text).to_pylist()), pa.float64())], names=[*(x.name for x in kept), out])
 
-    return df.mapInArrow(run, T.StructType([*(T.StructField(x.name, x.dataType) for x in kept), T.StructField(out, T.DoubleType())]))
+    return df.mapInArrow(tidy(run), T.StructType([*(T.StructField(x.name, x.dataType) for x in kept), T.StructField(out, T.DoubleType())]))
 
 
 def fit(df: DataFrame, labels: DataFrame, text: str = "text", label: str = "quality", key: str = "doc_id") -> Model:

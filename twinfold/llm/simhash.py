@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from twinfold.common import cut, ship
 from twinfold.llm.bpe import slices
+from twinfold.llm.memory import tidy
 from twinfold.operators.components import components
 
 #: Words of a shingle, seed of its hash, bits of a fingerprint that may differ.
@@ -64,7 +65,7 @@ def fingerprints(df: DataFrame, text: str = "text", key: str = "doc_id", size: i
                 yield pa.RecordBatch.from_arrays([part.column(key), pa.array(found.view(np.int64), pa.int64())], names=[key, "fp"])
 
     kind = df.schema[key].dataType.simpleString()
-    return df.select(key, text).mapInArrow(run, f"`{key}` {kind}, fp long")
+    return df.select(key, text).mapInArrow(tidy(run), f"`{key}` {kind}, fp long")
 
 
 def hexed(fp: Column) -> Column:

@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from twinfold.common import cut, ship
 from twinfold.llm.bpe import slices
+from twinfold.llm.memory import tidy
 from twinfold.llm.sampling import bounded
 
 #: Training documents of each label, and terms of the lexicon, at most.
@@ -215,7 +216,7 @@ def fit(df: DataFrame, labels: DataFrame, text: str = "text", label: str = "toxi
                 words = [*(seen[0].keys() | seen[1].keys())]
                 yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), *(pa.array([seen[y][w] for w in words], pa.int64()) for y in (1, 0))], names=["word", "p", "n"])
 
-    counts = cut(sample.mapInArrow(count, "word string, p long, n long").groupBy("word").agg(F.sum("p").alias("p"), F.sum("n").alias("n")))
+    counts = cut(sample.mapInArrow(tidy(count), "word string, p long, n long").groupBy("word").agg(F.sum("p").alias("p"), F.sum("n").alias("n")))
     both = counts.filter("word = ''").collect()
     toxic, clean = (both[0].p, both[0].n) if both else (0, 0)
     known = [(w, False, KNOWN_PURITY) for w in KNOWN]
@@ -235,7 +236,7 @@ def fit(df: DataFrame, labels: DataFrame, text: str = "text", label: str = "toxi
                 rows = [sorted({w[:k] for w in set(word.findall((t or "").lower())) if len(w) <= LONGEST for k in range(STEM, len(w) + 1)} & of.value) for t in part.column(text).to_pylist()]
                 yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.string()))], names=["found"])
 
-    terms = learn(stats, [r.found for r in sample.filter(F.col(label) == 1).select(text).mapInArrow(candidates, "found array<string>").collect()], scale)
+    terms = learn(stats, [r.found for r in sample.filter(F.col(label) == 1).select(text).mapInArrow(tidy(candidates), "found array<string>").collect()], scale)
     # A known word stays unless training saw it in clean documents more often than a term may be.
     seen = {r.word: (r.p, r.n) for r in counts.filter(F.col("word").isin(*KNOWN)).collect()}
     have = {t for t, _, _ in terms}
@@ -271,4 +272,4 @@ def score(df: DataFrame, lexicon: Lexicon, text: str = "text", out: str = "score
             for part in slices(batch, text):
                 yield pa.RecordBatch.from_arrays([*(part.column(f.name) for f in kept), pa.array(own.scores(part.column(text).to_pylist()), pa.float64())], names=[*(f.name for f in kept), out])
 
-    return df.mapInArrow(run, T.StructType([*(T.StructField(f.name, f.dataType) for f in kept), T.StructField(out, T.DoubleType())]))
+    return df.mapInArrow(tidy(run), T.StructType([*(T.StructField(f.name, f.dataType) for f in kept), T.StructField(out, T.DoubleType())]))
