@@ -213,6 +213,15 @@ def test_toxicity(spark):
     assert bare.score("you idiot") >= 0.5 and bare.score("the or an") == 0
 
 
+def test_misspelt_short_terms_and_stems():
+    terms = [*((w, False, 0.8) for w in toxicity.KNOWN), ("bomente", True, 0.99), ("lowei", True, 0.99), ("vequa", True, 0.99)]
+    lexicon = toxicity.Lexicon(terms, ["looser"], 0.0, ["lowei"])
+    toxic = ["idiott", "losr", "morron", "clwn", "id!ot", "$hit", "@sshole", "you!idiot", "bomxntear", "bmenteción", "lowxian", "veqquaan"]
+    assert [w for w in toxic if lexicon.score(f"what a {w}!") < 0.5] == []
+    clean = ["looser", "laser", "lose", "moon", "where", "wow!", "co$t", "vexuaan", "bomentar laser where moon"]
+    assert [w for w in clean if lexicon.score(f"what a {w}!") >= 0.5] == []
+
+
 def test_levenshtein_walk_is_exact():
     rng = random.Random(11)
     terms = ["".join(rng.choice("abc") for _ in range(rng.randrange(2, 7))) for _ in range(20)]

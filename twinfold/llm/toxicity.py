@@ -2,9 +2,12 @@
 
 The lexicon is learned: words, and word stems that take endings, which stand in toxic documents
 and hardly ever in others. A word of a text is walked through the trie with the automaton of its
-edits (the row of edit distances is the automaton's state); it may differ from a term of six
-letters or more by one edit, from a shorter one by one sign put for a letter. Misspellings that clean
-training documents hold are words of their own and don't count. Each place found is judged by its
+edits (the row of edit distances is the automaton's state); it, or for a stem its beginning, may
+differ from a term by one edit. An edit that misspellings are made of (a sign for or between letters,
+a letter doubled, an inner vowel dropped), one in a term of six letters or more, or one of a
+learned term that no clean training document comes near counts as a misspelling; any other may as well be
+another word, so all of these together count once and faintly. Words
+that clean training documents hold are words of their own and don't count. Each place found is judged by its
 window: inside quotation marks, or after a word of reporting or condemning, it counts less.
 
 Defined cases: a null or empty text, or a text without a term, gets the small share of toxic
@@ -36,12 +39,12 @@ SUPPORT, IMPURE, STEM = 4, 0.02, 4
 CANDIDATES, LONGEST = 4_000, 24
 #: Words of clean training documents that are near a term, at most; the sample that they come from is bounded too.
 NEAR = 10_000
-#: Letters from which a term may differ by any one edit.
+#: Letters from which any one edit of a term, of a stem but in its last letter, is a misspelling.
 FUZZY = 6
 #: Words remembered by a worker.
 CACHE = 300_000
-#: Weight of a term as it is, misspelt, and quoted or reported.
-PLAIN, MISSPELT, QUOTED = 0.97, 0.8, 0.4
+#: Weight of a term as it is, misspelt, quoted or reported, and of a word that is as likely another one.
+PLAIN, MISSPELT, QUOTED, FAINT = 0.97, 0.8, 0.4, 0.25
 #: Characters of the window on either side.
 WINDOW = 80
 
@@ -51,6 +54,9 @@ KNOWN = ("asshole", "bastard", "bitch", "clown", "cretin", "degenerate", "disgus
 KNOWN_PURITY = 0.8
 
 word = re.compile(r"\w(?:[\w@$*]*\w)?")
+#: A word with signs inside or before it, from the beginning of the run; signs after it may be punctuation.
+signed = re.compile(r"(?<![\w@$*!])\w*+[@$*!][\w@$*!]*")
+VOWELS = frozenset("aeiouyàáâãäåæèéêëìíîïòóôõöøœùúûüýÿ")
 #: Marks that open and close a quotation, and words of reporting or condemning.
 OPEN, CLOSE = "\"“„«‹‘", "\"”“»›’"
 REPORTING = re.compile(r"\b(?:quote[ds]?|said|says|called|wrote|word|term|slur|insult|a dit|appelé|mot|sagte|nannte|wort|dijo|llamó|palabra)\W+(?:\w+\W+){0,2}$")
@@ -96,10 +102,10 @@ class Trie:
 
 
 class Lexicon:
-    """A trie of terms, and the words near a term that are none."""
+    """A trie of terms, the words near a term that are none, and the terms that no such word is near."""
 
-    def __init__(self, terms: list[tuple[str, bool, float]], clean: list[str], base: float):
-        self.terms, self.clean, self.base = terms, set(clean), base
+    def __init__(self, terms: list[tuple[str, bool, float]], clean: list[str], base: float, lone: list[str] = ()):
+        self.terms, self.clean, self.base, self.lone = terms, set(clean), base, set(lone)
         self.trie = Trie([(t, stem) for t, stem, _ in terms])
         self.whole = {t: k for k, (t, stem, _) in enumerate(terms) if not stem}
         self.stems = {t: k for k, (t, stem, _) in enumerate(terms) if stem}
@@ -107,7 +113,12 @@ class Lexicon:
         # One edit leaves one half of a term as it is: a word sharing neither half needs no walk.
         self.heads, self.tails = {t[: len(t) // 2] for t in self.whole}, {t[len(t) // 2 :] for t in self.whole}
         self.head_sizes, self.tail_sizes = sorted({len(x) for x in self.heads}), sorted({len(x) for x in self.tails})
+        # A stem's second half may stand one place to either side.
+        self.stem_heads, self.stem_tails = {t[: len(t) // 2] for t in self.stems}, {(len(t) // 2 + d, t[len(t) // 2 :]) for t in self.stems for d in (-1, 0, 1)}
+        self.stem_head_sizes, self.stem_places = sorted({len(x) for x in self.stem_heads}), sorted({(at, at + len(x)) for at, x in self.stem_tails})
         self.longest = 1 + max(map(len, self.whole), default=0)
+        # Letters beyond these decide nothing.
+        self.walked = 2 + max((len(t) for t, _, _ in terms), default=0)
         self.seen: set[str] = set()
         self.toxic: dict[str, float] = {}
 
@@ -118,22 +129,27 @@ class Lexicon:
         for n in self.stem_sizes:
             if (k := self.stems.get(w[:n])) is not None:
                 return PLAIN * self.terms[k][2]
-        if len(w) > self.longest or w in self.clean or not (any(w[:n] in self.heads for n in self.head_sizes) or any(w[-n:] in self.tails for n in self.tail_sizes)):
+        if w in self.clean or not self.may_be_near(w):
             return 0.0
         best = 0.0
-        for k, d in self.trie.within(w):
+        for k, d in self.trie.within(w[: self.walked]):
             term, stem, purity = self.terms[k]
-            if d and (stem or not near(term, w)):
-                continue
-            best = max(best, MISSPELT * purity)
+            if d:
+                best = max(best, (MISSPELT if term in self.lone or misspelt(term, w, stem) else FAINT) * purity)
         return best
 
+    def may_be_near(self, w: str) -> bool:
+        """Whether a word keeps either half of a term."""
+        if len(w) <= self.longest and (any(w[:n] in self.heads for n in self.head_sizes) or any(w[-n:] in self.tails for n in self.tail_sizes)):
+            return True
+        return any(w[:n] in self.stem_heads for n in self.stem_head_sizes) or any((a, w[a:b]) in self.stem_tails for a, b in self.stem_places)
+
     def scores(self, texts: list[str | None]) -> list[float]:
         return [self.score(t) for t in texts]
 
     def score(self, text: str | None) -> float:
         low = (text or "").lower()
-        words = set(word.findall(low))
+        words = found(low)
         if len(self.seen) > CACHE:
             self.seen.clear()
         for w in words - self.seen:
@@ -145,19 +161,63 @@ class Lexicon:
         self.seen |= words - hits.keys()
         if not hits:
             return self.base
-        left, quoted = 1.0, 0.0
-        for m in word.finditer(low):
-            if x := hits.get(m[0]):
-                if in_quotation(low, m.start(), m.end()):
-                    quoted = max(quoted, QUOTED * x)
-                else:
-                    left *= 1 - x
-        return max(self.base, 1 - left * (1 - quoted))
-
-
-def near(term: str, w: str) -> bool:
-    """Whether one edit between a term and a word is a misspelling: for a short term, only a sign put for a letter."""
-    return len(term) >= FUZZY or len(term) == len(w) and any(a != b and not b.isalpha() for a, b in zip(term, w, strict=True))
+        left, weak = 1.0, 0.0
+        for start, end, x in self.places(low, hits):
+            if in_quotation(low, start, end):
+                weak = max(weak, QUOTED * x)
+            elif x <= FAINT:
+                weak = max(weak, x)
+            else:
+                left *= 1 - x
+        return max(self.base, 1 - left * (1 - weak))
+
+    def places(self, low: str, hits: dict[str, float]) -> list[tuple[int, int, float]]:
+        """Beginning, end and weight of each place; of a word with signs and the words it is made of, the weightier."""
+        at = [(m.start(), m.end(), x) for m in word.finditer(low) if (x := hits.get(m[0]))]
+        for start, end, w in with_signs(low):
+            if x := hits.get(w):
+                inside = [p for p in at if p[0] < end and p[1] > start]
+                if max((p[2] for p in inside), default=0.0) < x:
+                    at = [p for p in at if p not in inside] + [(start, end, x)]
+        return at
+
+
+def with_signs(low: str) -> Iterator[tuple[int, int, str]]:
+    """Beginning, end and text of the words with signs inside or before them that ``word`` doesn't find whole."""
+    if any(ch in low for ch in "@$*!"):
+        for m in signed.finditer(low):
+            w = m[0].rstrip("@$*!")
+            if "!" in w or w[:1] in ("@", "$", "*"):
+                yield m.start(), m.start() + len(w), w
+
+
+def found(low: str) -> set[str]:
+    """The distinct words of a lower-case text."""
+    return {*word.findall(low), *(w for _, _, w in with_signs(low))}
+
+
+def one_edit(a: str, b: str) -> bool:
+    """Whether two texts differ by exactly one edit."""
+    if len(a) > len(b):
+        a, b = b, a
+    k = next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), len(a))
+    return a != b and len(b) - len(a) <= 1 and a[k + (len(a) == len(b)) :] == b[k + 1 :]
+
+
+def misspelt(term: str, w: str, stem: bool) -> bool:
+    """Whether a word, or for a stem a beginning of it, is one edit of a term that makes a misspelling rather than another word."""
+    n = len(term)
+    for v in {w[:m] for m in (n - 1, n, n + 1)} if stem else (w,):
+        if not one_edit(term, v) or (stem and v[-1] != term[-1] and v[-1].isalpha()):
+            continue
+        if n >= FUZZY:
+            return True
+        k = next((k for k, (x, y) in enumerate(zip(term, v)) if x != y), min(n, len(v)))
+        if len(v) == n and not v[k].isalpha() or len(v) < n and 0 < k < n - 1 and term[k] in VOWELS:
+            return True
+        if len(v) > n and (v[k] == v[k - 1] or k < n and not v[k].isalnum() or k == n and v[k] == "s"):
+            return True
+    return False
 
 
 def in_quotation(text: str, start: int, end: int) -> bool:
@@ -211,7 +271,7 @@ def fit(df: DataFrame, labels: DataFrame, text: str = "text", label: str = "toxi
             for part in slices(batch, text):
                 seen = (Counter(), Counter())
                 for y, t in zip(part.column(label).to_pylist(), part.column(text).to_pylist(), strict=True):
-                    seen[y].update(set(word.findall((t or "").lower())))
+                    seen[y].update(found((t or "").lower()))
                     seen[y][""] += 1
                 words = [*(seen[0].keys() | seen[1].keys())]
                 yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), *(pa.array([seen[y][w] for w in words], pa.int64()) for y in (1, 0))], names=["word", "p", "n"])
@@ -223,7 +283,8 @@ def fit(df: DataFrame, labels: DataFrame, text: str = "text", label: str = "toxi
     if not toxic:
         return Lexicon(known, [], 0.0)
     scale = max(1, clean) / toxic
-    sized = counts.withColumn("size", F.length("word")).filter(f"size between {STEM} and {LONGEST}")
+    # Words run together by a sign are no beginnings.
+    sized = counts.withColumn("size", F.length("word")).filter(f"size between {STEM} and {LONGEST}").filter(~F.col("word").rlike(r"!|^[@$*]"))
     begins = sized.select("word", "p", "n", "size", F.explode(F.sequence(F.lit(STEM), "size")).alias("k"))
     sums = begins.groupBy(F.expr("left(word, k)").alias("c")).agg(*(F.sum(x) for x in ("p", "n")), *(F.sum(F.when(F.col("k") == F.col("size"), F.col(x)).otherwise(0)) for x in ("p", "n"))).toDF("c", "p", "n", "wp", "wn")
     good = sums.filter((F.col("p") >= SUPPORT) & (F.col("n") <= IMPURE * scale * F.col("p"))).orderBy(F.desc("p"), "c").limit(CANDIDATES).collect()
@@ -239,19 +300,20 @@ def fit(df: DataFrame, labels: DataFrame, text: str = "text", label: str = "toxi
     terms = learn(stats, [r.found for r in sample.filter(F.col(label) == 1).select(text).mapInArrow(tidy(candidates), "found array<string>").collect()], scale)
     # A known word stays unless training saw it in clean documents more often than a term may be.
     seen = {r.word: (r.p, r.n) for r in counts.filter(F.col("word").isin(*KNOWN)).collect()}
-    have = {t for t, _, _ in terms}
-    terms += [x for x in known if x[0] not in have and (seen.get(x[0], (0, 0))[1] <= IMPURE * scale * max(SUPPORT, seen.get(x[0], (0, 0))[0]))]
-    draft = Lexicon(terms, [], 0.0)
+    learned = {t for t, _, _ in terms}
+    terms += [x for x in known if x[0] not in learned and (seen.get(x[0], (0, 0))[1] <= IMPURE * scale * max(SUPPORT, seen.get(x[0], (0, 0))[0]))]
     shared = df.sparkSession.sparkContext.broadcast(terms)
 
     def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lexicon = Lexicon(shared.value, [], 0.0)
         for batch in batches:
-            words = [w for w in batch.column("word").to_pylist() if w and w not in lexicon.whole and lexicon.weigh(w)]
-            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string())], names=["word"])
+            rows = [(w, n, [lexicon.terms[k][0] for k, d in lexicon.trie.within(w[: lexicon.walked])]) for w, n in zip(batch.column("word").to_pylist(), batch.column("n").to_pylist(), strict=True) if w not in lexicon.whole and not any(w[:k] in lexicon.stems for k in lexicon.stem_sizes) and lexicon.weigh(w)]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.list_(pa.string()))], names=["word", "n", "terms"])
 
-    clean_words = [r.word for r in counts.filter("n > 0 and word <> ''").select("word").mapInArrow(close, "word string").orderBy("word").limit(NEAR).collect() if not any(r.word.startswith(s) for s in draft.stems)]
-    lexicon = Lexicon(terms, clean_words, 0.0)
+    others = cut(counts.filter("n > 0 and word <> ''").select("word", "n").mapInArrow(close, "word string, n long, terms array<string>"))
+    crowded = {r.term for r in others.select(F.explode("terms").alias("term")).distinct().collect()}
+    clean_words = [r.word for r in others.orderBy(F.desc("n"), "word").limit(NEAR).collect()]
+    lexicon = Lexicon(terms, clean_words, 0.0, sorted(learned - crowded))
     missed = score(sample.withColumn("y", F.col(label)), lexicon, text, "s").filter("s = 0").agg(F.sum("y").alias("p"), F.count("*").alias("n")).collect()[0]
     share = {r[label]: r["count"] for r in usable.groupBy(label).count().collect()}
     # The sample's labels stand in other shares than the corpus's.
@@ -263,7 +325,7 @@ def fit(df: DataFrame, labels: DataFrame, text: str = "text", label: str = "toxi
 
 def score(df: DataFrame, lexicon: Lexicon, text: str = "text", out: str = "score", keep_text: bool = False) -> DataFrame:
     """``df``, by default without its text, with the probability that it is toxic."""
-    shared = ship(df.sparkSession).sparkContext.broadcast((lexicon.terms, sorted(lexicon.clean), lexicon.base))
+    shared = ship(df.sparkSession).sparkContext.broadcast((lexicon.terms, sorted(lexicon.clean), lexicon.base, sorted(lexicon.lone)))
     kept = [f for f in df.schema if f.name != out and (keep_text or f.name != text)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
