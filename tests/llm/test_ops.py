@@ -222,6 +222,15 @@ def test_misspelt_short_terms_and_stems():
     assert [w for w in clean if lexicon.score(f"what a {w}!") >= 0.5] == []
 
 
+def test_abuse_between_quotations_is_not_quoted():
+    lexicon = toxicity.Lexicon([("idiot", False, 1.0)], [], 0.0)
+    long = "nice " * 30
+    plain = ["“nice” you idiot “bye”", "«nice» you idiot «bye»", "« nice » you idiot « bye »", "„nice“ you idiot „bye“", "»nice« you idiot »bye«", "‘nice’ you idiot ‘bye’", f'"{long}" you idiot "bye"', f'"{long}" you idiot and "bye" you idiot', 'a 5" pipe, you idiot, "bye"', 'the end" you idiot "bye"', 'open "\nyou idiot "bye"']
+    assert [t for t in plain if lexicon.score(t) < 0.5] == []
+    quoted = ["“you idiot”", "«an idiot»", "« an idiot »", "„an idiot“", "»an idiot«", "‘don’t, idiot’", '"nice" and "you idiot"', f'"{long}" and "you idiot" again', '("an idiot")', '«the "so" idiot»', "«the “so” idiot»"]
+    assert [t for t in quoted if lexicon.score(t) >= 0.5] == []
+
+
 def test_levenshtein_walk_is_exact():
     rng = random.Random(11)
     terms = ["".join(rng.choice("abc") for _ in range(rng.randrange(2, 7))) for _ in range(20)]

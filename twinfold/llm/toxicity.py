@@ -8,7 +8,7 @@ a letter doubled, an inner vowel dropped), one in a term of six letters or more,
 learned term that no clean training document comes near counts as a misspelling; any other may as well be
 another word, so all of these together count once and faintly. Words
 that clean training documents hold are words of their own and don't count. Each place found is judged by its
-window: inside quotation marks, or after a word of reporting or condemning, it counts less.
+window: inside quotation marks (opened and closed by one pass over the text), or after a word of reporting or condemning, it counts less.
 
 Defined cases: a null or empty text, or a text without a term, gets the small share of toxic
 documents that training found without terms. Whole texts
@@ -19,6 +19,7 @@ already are replaced.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -57,8 +58,10 @@ word = re.compile(r"\w(?:[\w@$*]*\w)?")
 #: A word with signs inside or before it, from the beginning of the run; signs after it may be punctuation.
 signed = re.compile(r"(?<![\w@$*!])\w*+[@$*!][\w@$*!]*")
 VOWELS = frozenset("aeiouyàáâãäåæèéêëìíîïòóôõöøœùúûüýÿ")
-#: Marks that open and close a quotation, and words of reporting or condemning.
-OPEN, CLOSE = "\"“„«‹‘", "\"”“»›’"
+#: Marks that open a quotation, each with those that close it; those of them that close others or may be no opening; words of reporting or condemning.
+PAIRS = {'"': '"', "“": "”", "„": "“”", "«": "»", "‹": "›", "‘": "’", "”": "”", "»": "«»", "›": "‹›"}
+EITHER = "\"”»›"
+mark = re.compile(r"[\"“”„«»‹›‘’\n]")
 REPORTING = re.compile(r"\b(?:quote[ds]?|said|says|called|wrote|word|term|slur|insult|a dit|appelé|mot|sagte|nannte|wort|dijo|llamó|palabra)\W+(?:\w+\W+){0,2}$")
 
 
@@ -161,9 +164,9 @@ class Lexicon:
         self.seen |= words - hits.keys()
         if not hits:
             return self.base
-        left, weak = 1.0, 0.0
+        left, weak, pairs = 1.0, 0.0, quotations(low)
         for start, end, x in self.places(low, hits):
-            if in_quotation(low, start, end):
+            if in_quotation(low, start, end, pairs):
                 weak = max(weak, QUOTED * x)
             elif x <= FAINT:
                 weak = max(weak, x)
@@ -220,16 +223,36 @@ def misspelt(term: str, w: str, stem: bool) -> bool:
     return False
 
 
-def in_quotation(text: str, start: int, end: int) -> bool:
-    """Whether the place is between quotation marks within its window, or follows a word of reporting."""
-    before, after = text[max(0, start - WINDOW) : start], text[end : end + WINDOW]
-    opened = max((before.rfind(ch) for ch in OPEN), default=-1)
-    if opened >= 0 and any(ch in after for ch in CLOSE):
-        mark = before[opened]
-        shut = CLOSE[OPEN.index(mark)]
-        if (mark != shut or before.count(mark) % 2 == 1) and shut in after and "\n" not in before[opened:]:
+def quotations(text: str) -> list[tuple[int, int]]:
+    """Places of the marks that open and close each quotation, by one pass over the whole text; none crosses a line.
+
+    Quotations nest, and a mark closes the last open one it can. A mark that can be either, or a closing one, opens
+    only at the beginning of a word: so a quotation's end is not taken for the next one's beginning.
+    """
+    pairs, opened = [], []
+    for m in mark.finditer(text):
+        at, ch = m.start(), m[0]
+        before, after = text[max(0, at - 1) : at], text[at + 1 : at + 2]
+        if ch == "\n":
+            opened = []
+        elif ch == "’" and before.isalnum() and after.isalnum():  # an apostrophe
+            continue
+        elif (k := next((k for k in range(len(opened) - 1, max(-1, len(opened) - 9), -1) if ch in PAIRS[opened[k][1]]), -1)) >= 0:
+            pairs.append((opened[k][0], at))
+            del opened[k:]
+        elif ch in PAIRS and (ch not in EITHER or (after.strip() and (not before.strip() or before in "([{-–—:,;¿¡«‹“„‘"))):
+            opened.append((at, ch))
+    return sorted(pairs)
+
+
+def in_quotation(text: str, start: int, end: int, pairs: list[tuple[int, int]]) -> bool:
+    """Whether the place is in a quotation whose marks are within its window, or follows a word of reporting."""
+    k = bisect_left(pairs, (start, 0)) - 1
+    while k >= 0 and pairs[k][0] >= start - WINDOW:
+        if end <= pairs[k][1] < end + WINDOW:
             return True
-    return bool(REPORTING.search(before))
+        k -= 1
+    return bool(REPORTING.search(text[max(0, start - WINDOW) : start]))
 
 
 def learn(stats: dict[str, tuple[int, int, int, int]], docs: list[list[str]], scale: float) -> list[tuple[str, bool, float]]:
