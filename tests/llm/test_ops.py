@@ -156,6 +156,32 @@ def test_hot_shards_are_tiled(spark, monkeypatch):
     assert all(r.n_links == 249 and r.component_id == 0 for r in got)
 
 
+def test_audit_sees_small_groups_beside_a_hot_one(spark):
+    rng = np.random.default_rng(8)
+    hot = rng.normal(size=(1, 32)) + 0.01 * rng.normal(size=(150, 32))
+    pairs = np.repeat(rng.normal(size=(100, 32)), 2, 0) + 0.01 * rng.normal(size=(200, 32))
+    rows = [(k, 1, [float(v) for v in r]) for k, r in enumerate(np.concatenate([hot, pairs]))]
+    points = spark.createDataFrame(rows, "rep long, n long, vector array<float>")
+    found = spark.createDataFrame([(k, 149 if k < 150 else 0) for k in range(len(rows))], "u long, n_links long")
+    assert embeddings._audit(points, found, len(rows), 0.95) == 0
+    assert embeddings._audit(points, found.withColumn("n_links", F.greatest("n_links", F.lit(1))), len(rows), 0.95) == 1
+
+
+def test_all_pairs_are_compared_where_overlap_falls_short(spark, monkeypatch):
+    whole = embeddings._linked
+
+    def lossy(*given, **more):
+        out = whole(*given, **more)
+        return out if more.get("exact") else out.filter("v is null").withColumn("n", F.lit(0).cast("long"))
+
+    monkeypatch.setattr(embeddings, "_linked", lossy)
+    monkeypatch.setattr(embeddings, "TILE", 100)
+    rng = np.random.default_rng(9)
+    x = (np.repeat(rng.normal(size=(60, 16)), 3, 0) + 0.01 * rng.normal(size=(180, 16))).astype(np.float32)
+    got = embeddings.near_duplicates(spark.createDataFrame([(k, [float(v) for v in r]) for k, r in enumerate(x)], "vec_id long, embedding array<float>")).collect()
+    assert len(got) == 180 and all(r.n_links == 2 and r.component_id == r.vec_id // 3 * 3 for r in got)
+
+
 # Language, quality, toxicity
 
 

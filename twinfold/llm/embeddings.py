@@ -5,8 +5,9 @@ nearest centre and is a member of the next OVERLAP - 1 as well. In each shard a
 by robust pruning; the adjacency lists that a vector has in its shards are united. From the shard's
 medoid, a greedy search for every vector that lives there first narrows to the best BEAM members and
 then expands for as long as it meets members in range. What it found is verified in double
-precision. An audit compares sampled vectors with all vectors, block by block; below the recall
-asked for, everything is repeated with twice the overlap. A shard of more than TILE members is
+precision. An audit compares sampled vectors with all vectors, block by block, every vector weighing
+the same and those of hot groups apart from others; below the recall asked for, everything is repeated
+with twice the overlap, and where the most overlap falls short, all pairs are compared in tiles. A shard of more than TILE members is
 dealt in tiles, pairs of hashed parts, so that none grows with a hot group.
 
 Equal vectors are one class, with their number. A shard counts links and emits a spanning forest of
@@ -158,6 +159,14 @@ def search(x: np.ndarray, edges: list[np.ndarray], queries: np.ndarray, cosine:
             yield int(qs[i]), np.flatnonzero(row >= cosine)
 
 
+def compared(x: np.ndarray, queries: np.ndarray, cosine: float = COSINE) -> Iterator[tuple[int, np.ndarray]]:
+    """What ``search`` gives, from comparing each query with every member."""
+    for at in range(0, len(queries), TOGETHER):
+        qs = queries[at : at + TOGETHER]
+        for q, row in zip(qs, x[qs] @ x.T >= cosine, strict=True):
+            yield int(q), np.flatnonzero(row)
+
+
 def valid(df: DataFrame, vector: str) -> DataFrame:
     v = F.col(vector)
     fine = v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))) & F.exists(v, lambda c: c != 0)
@@ -188,8 +197,9 @@ def _route(points: DataFrame, shared, overlap: int, cuts) -> DataFrame:
     return points.mapInArrow(run, "shard long, tile long, rep long, n long, vector array<float>, home boolean, part long")
 
 
-def _linked(points: DataFrame, shared, overlap: int, cosine: float) -> DataFrame:
-    """(u, v, n): with v null, n links of u's class to other classes; else an edge of a forest."""
+def _linked(points: DataFrame, shared, overlap: int, cosine: float, exact: bool = False) -> DataFrame:
+    """(u, v, n): with v null, n links of u's class to other classes; else an edge of a forest. Exact compares
+    all members of a tile; with a single centre these are all pairs there are."""
     spark = points.sparkSession
     none = spark.sparkContext.broadcast({})
     sizes = _route(points, shared, overlap, none).groupBy("shard").count().filter(F.col("count") > TILE).collect()
@@ -201,13 +211,8 @@ def _linked(points: DataFrame, shared, overlap: int, cosine: float) -> DataFrame
         edges = build(x, cosine)
         return pa.table({"rep": pa.array(reps, pa.int64()), "near": pa.array([reps[e] for e in edges], pa.list_(pa.int64()))})
 
-    lists = members.groupBy("shard", "tile").applyInArrow(graph, "rep long, near array<long>")
-    united = lists.groupBy("rep").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
-
     def find(rows: pa.Table) -> pa.Table:
         x, reps, n = unit(matrix(rows.column("vector"))), rows.column("rep").to_numpy(), rows.column("n").to_numpy()
-        place = {r: k for k, r in enumerate(reps.tolist())}
-        edges = [np.array([place[r] for r in near if r in place], np.int64) for near in rows.column("near").to_pylist()]
         part, tile = rows.column("part").to_numpy(), int(rows.column("tile")[0].as_py())
         across = (tile >> 32) != (tile & 0xFFFFFFFF)
         parent = np.arange(len(x))
@@ -218,8 +223,14 @@ def _linked(points: DataFrame, shared, overlap: int, cosine: float) -> DataFrame
                 k = parent[k]
             return k
 
+        home = np.flatnonzero(rows.column("home").to_numpy())
+        if exact:
+            met = compared(x, home, cosine)
+        else:
+            place = {r: k for k, r in enumerate(reps.tolist())}
+            met = search(x, [np.array([place[r] for r in near if r in place], np.int64) for near in rows.column("near").to_pylist()], home, cosine)
         u, v, links = [], [], []
-        for q, hits in search(x, edges, np.flatnonzero(rows.column("home").to_numpy()), cosine):
+        for q, hits in met:
             hits = hits[(hits != q) & ((part[hits] != part[q]) if across else True)]
             u.append(reps[q])
             v.append(None)
@@ -233,11 +244,16 @@ def _linked(points: DataFrame, shared, overlap: int, cosine: float) -> DataFrame
                     links.append(0)
         return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64()), "n": pa.array(links, pa.int64())})
 
+    if exact:
+        return members.groupBy("shard", "tile").applyInArrow(find, "u long, v long, n long")
+    lists = members.groupBy("shard", "tile").applyInArrow(graph, "rep long, near array<long>")
+    united = lists.groupBy("rep").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
     return members.join(united, "rep").select("shard", "tile", "rep", "n", "vector", "home", "part", "near").groupBy("shard", "tile").applyInArrow(find, "u long, v long, n long")
 
 
 def _audit(points: DataFrame, counts: DataFrame, total: int, cosine: float) -> float:
-    """Share of the links of sampled classes that were found."""
+    """Share of its links found, averaged over the sampled classes with links: over those with more links than a
+    node has edges or over the others, whichever is less."""
     spark = points.sparkSession
     share = min(1.0, AUDIT / max(1, total))
     asked = points.filter(F.pmod(F.xxhash64(F.lit("audit"), "rep"), F.lit(1 << 40)) < int(share * (1 << 40))).collect()
@@ -256,8 +272,9 @@ def _audit(points: DataFrame, counts: DataFrame, total: int, cosine: float) -> f
         yield pa.RecordBatch.from_arrays([pa.array(reps, pa.int64()), pa.array(found, pa.int64())], names=["u", "truth"])
 
     truth = points.mapInArrow(compare, "u long, truth long").groupBy("u").agg(F.sum("truth").alias("truth"))
-    r = truth.join(counts, "u", "left").agg(F.sum(F.least("truth", F.coalesce("n_links", F.lit(0)))).alias("got"), F.sum("truth").alias("all")).first()
-    return r.got / r.all if r.all else 1.0
+    part = F.least("truth", F.coalesce("n_links", F.lit(0))) / F.col("truth")
+    r = truth.filter("truth > 0").join(counts, "u", "left").groupBy((F.col("truth") > DEGREE).alias("hot")).agg(F.avg(part).alias("found")).collect()
+    return min((x.found for x in r), default=1.0)
 
 
 def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding", cosine: float = COSINE) -> DataFrame:
@@ -271,18 +288,23 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
     sample = [r.vector for r in points.filter(F.pmod(F.xxhash64(F.lit("fit"), "rep"), F.lit(1 << 40)) < int(share * (1 << 40))).select("vector").collect()]
     length = Counter(map(len, sample)).most_common(1)[0][0] if sample else 1
     points = points.filter(F.size("vector") == length)
-    counts, edges, recall = None, None, 1.0
+    linked, counts, recall = None, None, 1.0
     overlap = OVERLAP
     while sample:
         k = min(CENTRES, max(1, round(total * overlap / SHARD)))
         shared = spark.sparkContext.broadcast(centres(unit(np.array([v for v in sample if len(v) == length], np.float64)), k))
         linked = cut(_linked(points, shared, overlap, cosine))
-        edges = linked.filter("v is not null").select("u", "v")
         counts = linked.filter("v is null").groupBy("u").agg(F.sum("n").alias("n_links"))
         recall = _audit(points, counts, total, cosine)
         overlap *= 2
-        if recall >= RECALL or overlap > min(OVERLAP_MOST, 2 * k):
+        if recall >= RECALL:
+            break
+        if overlap > min(OVERLAP_MOST, 2 * k):
+            one = spark.sparkContext.broadcast(np.zeros((1, length)))
+            linked, recall = cut(_linked(points, one, 1, cosine, exact=True)), 1.0
+            counts = linked.filter("v is null").groupBy("u").agg(F.sum("n").alias("n_links"))
             break
+    edges = linked.filter("v is not null").select("u", "v") if counts is not None else None
     if counts is None:
         classes = points.select("vector", F.lit(0).cast("long").alias("links"), F.col("rep").alias("component"))
     else:
