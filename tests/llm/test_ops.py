@@ -383,6 +383,18 @@ def test_chat_links_orders_and_validates(spark):
     assert chat.format(df.filter("false")).count() == 0
 
 
+def test_chat_keeps_calls_of_null_and_repeated_rows(spark):
+    call = '{"content":"c","tool_calls":[{"id":"a","name":"f","arguments":{}},{"name":"g","arguments":{}}]}'
+    answer = '{"tool_call_id":"a","content":"r"}'
+    rows = [(None, 1, "assistant", call), (None, 0, "tool", answer), (3, None, "assistant", call), (3, 4, "tool", answer), (4, 1, "assistant", call), (4, 1, "assistant", call), (5, 1, "assistant", '{"tool_calls":[{"name":"g"}]}'), (5, 2, "tool", answer)]
+    got = chat.format(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    assert len(got) == len(rows)
+    asked = sorted(((str(r.conv_id), str(r.turn), r.n_calls, r.n_linked, r.n_invalid) for r in got if r.role == "assistant"))
+    assert asked == [("3", "None", 2, 1, 2), ("4", "1", 2, 0, 2), ("4", "1", 2, 0, 2), ("5", "1", 1, 0, 1), ("None", "1", 2, 1, 2)]
+    assert all(r.message == '{"content":"c","role":"assistant","tool_calls":[{"arguments":"{}","id":"a","name":"f"},{"arguments":"{}","name":"g"}]}' for r in got if r.n_calls == 2)
+    assert sorted((str(r.conv_id), r.place, r.rank, r.n_linked) for r in got if r.role == "tool") == [("3", 4, 1, 1), ("5", 2, 1, 0), ("None", 1, 1, 1)]
+
+
 # The pipeline and the registered queries
 
 

@@ -11,7 +11,8 @@ Only DataFrame operations are used, and no conversation is collected: a message
 (conv_id, place, rank, turn, content). Defined cases: null role or text are written as empty
 strings; malformed JSON is plain content; a result without a call, or a call without a result, is
 kept and marked; of several results for one call each is linked; a call identifier used twice
-in a conversation links to its first turn; repeated rows stay. Extra columns are not carried.
+in a conversation links to its first turn; a call without an identifier is kept, linked with nothing;
+a null conversation is one of its own; repeated rows stay, each with its own calls. Extra columns are not carried.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ def parse(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", role:
     r, t = F.coalesce(F.col(role), F.lit("")), F.coalesce(F.col(text), F.lit(""))
     looks = F.ltrim(t).startswith("{")
     rows = messages.select(F.col(conv).alias("conv_id"), F.col(turn).alias("turn"), r.alias("role"), t.alias("text"), F.when(looks & (r == "assistant"), F.from_json(t, CALLS)).alias("a"), F.when(looks & (r == "tool"), F.from_json(t, RESULT)).alias("b"))
-    calls = F.filter(F.coalesce("a.tool_calls", F.array().cast("array<struct<id:string,name:string,arguments:string>>")), lambda c: c["id"].isNotNull())
+    calls = F.filter(F.coalesce("a.tool_calls", F.array().cast("array<struct<id:string,name:string,arguments:string>>")), lambda c: c["id"].isNotNull() | c["name"].isNotNull() | c["arguments"].isNotNull())
     rows = rows.withColumn("calls", calls).withColumn("answers", F.col("b.tool_call_id"))
     content = F.when(F.size("calls") > 0, F.coalesce("a.content", F.lit(""))).when(F.col("answers").isNotNull(), F.coalesce("b.content", F.lit(""))).otherwise(F.col("text"))
     return rows.select("conv_id", "turn", "role", content.alias("content"), "calls", "answers")
@@ -55,15 +56,15 @@ def _values(arguments: Column) -> Column:
 
 
 def validated(parsed: DataFrame, tools: DataFrame) -> DataFrame:
-    """(conv_id, turn, id, name, arguments, valid): each call, its arguments in canonical form, and whether they fit the schema."""
-    calls = parsed.select("conv_id", "turn", F.posexplode("calls").alias("slot", "c")).select("conv_id", "turn", "slot", "c.id", "c.name", F.coalesce("c.arguments", F.lit("{}")).alias("raw"))
+    """(key, conv_id, turn, slot, id, name, arguments, valid): each call, its arguments in canonical form, and whether they fit the schema."""
+    calls = parsed.select("key", "conv_id", "turn", F.posexplode("calls").alias("slot", "c")).select("key", "conv_id", "turn", "slot", "c.id", "c.name", F.coalesce("c.arguments", F.lit("{}")).alias("raw"))
     given = calls.withColumn("values", F.array_sort(_values(F.col("raw"))))
     schemas = tools.groupBy("name").agg(F.collect_list(F.struct("parameter", "type", F.coalesce("required", F.lit(False)).alias("required"))).alias("schema"))
     joined = given.join(schemas, "name", "left")
     names = F.transform("values", lambda x: x["name"])
     fits = F.forall("schema", lambda p: ~p["required"] | p["parameter"].isNull() | F.array_contains(names, p["parameter"])) & F.forall("values", lambda x: F.exists("schema", lambda p: (p["parameter"] == x["name"]) & _is_type(x["value"], p["type"])))
     canonical = F.concat(F.lit("{"), F.array_join(F.transform("values", lambda x: F.concat(F.to_json(F.array(x["name"])).substr(F.lit(2), F.length(F.to_json(F.array(x["name"]))) - 2), F.lit(":"), x["value"])), ","), F.lit("}"))
-    return joined.select("conv_id", "turn", "slot", "id", "name", F.coalesce(canonical, F.col("raw")).alias("arguments"), (F.col("values").isNotNull() & F.col("schema").isNotNull() & F.coalesce(fits, F.lit(False))).alias("valid"))
+    return joined.select("key", "conv_id", "turn", "slot", "id", "name", F.coalesce(canonical, F.col("raw")).alias("arguments"), (F.col("values").isNotNull() & F.col("schema").isNotNull() & F.coalesce(fits, F.lit(False))).alias("valid"))
 
 
 def _line(role: Column, content: Column, answers: Column, calls: Column) -> Column:
@@ -73,17 +74,18 @@ def _line(role: Column, content: Column, answers: Column, calls: Column) -> Colu
 def format(messages: DataFrame, tools: DataFrame | None = None, conv: str = "conv_id", turn: str = "turn", role: str = "role", text: str = "text") -> DataFrame:
     """One row per message: its place, links, validity and canonical JSON."""
     parsed = parse(messages, conv, turn, role, text)
-    calls = validated(parsed, tools if tools is not None else no_tools(messages.sparkSession))
-    first = calls.groupBy("conv_id", F.col("id").alias("answers")).agg(F.min("turn").alias("called"))
-    results = parsed.filter("answers is not null").join(first, ["conv_id", "answers"], "left")
-    answered = results.filter("called is not null").select("conv_id", F.col("answers").alias("id")).distinct().withColumn("linked", F.lit(True))
+    # A message's key is a digest of all that decides its outcome: repeated rows share it, so their calls are judged once and given to each.
+    asked = parsed.filter(F.size("calls") > 0).withColumn("key", F.sha2(F.to_json(F.struct("conv_id", "turn", "content", "calls"), {"ignoreNullFields": "false"}), 256))
+    calls = validated(asked.dropDuplicates(["key"]), tools if tools is not None else no_tools(messages.sparkSession))
+    first = calls.filter("id is not null").groupBy(F.col("conv_id").alias("of"), F.col("id").alias("call")).agg(F.min("turn").alias("called"))
+    results = parsed.filter("answers is not null").join(first, F.col("conv_id").eqNullSafe(F.col("of")) & (F.col("answers") == F.col("call")), "left")
+    answered = results.filter("call is not null").select("of", "call").distinct().withColumn("linked", F.lit(True))
     # Of one message's calls, all are in one row again: a message is the unit that was split.
     shape = F.sort_array(F.collect_list(F.struct("slot", F.struct("arguments", "id", "name", "valid").alias("c"), F.coalesce("linked", F.lit(False)).alias("linked"))))
-    asked = parsed.filter(F.size("calls") > 0).withColumn("key", F.xxhash64("conv_id", "turn", "content", F.to_json("calls")))
-    per = asked.select("key", F.explode(F.transform("calls", lambda c: c["id"])).alias("id"), "conv_id", "turn").distinct().join(calls, ["conv_id", "turn", "id"]).join(answered, ["conv_id", "id"], "left").groupBy("key").agg(shape.alias("s"))
-    done = asked.join(per, "key").select("conv_id", "turn", "role", "content", F.lit(None).cast("string").alias("answers"), F.transform("s", lambda x: F.struct(x["c"]["arguments"].alias("arguments"), x["c"]["id"].alias("id"), x["c"]["name"].alias("name"))).alias("calls"), F.size("s").alias("n_calls"), F.size(F.filter("s", lambda x: x["linked"])).alias("n_linked"), F.size(F.filter("s", lambda x: ~x["c"]["valid"])).alias("n_invalid"), F.col("turn").alias("place"), F.lit(0).alias("rank"))
+    per = calls.join(answered, F.col("conv_id").eqNullSafe(F.col("of")) & (F.col("id") == F.col("call")), "left").groupBy("key").agg(shape.alias("s"))
+    done = asked.join(per, "key", "left").select("conv_id", "turn", "role", "content", F.lit(None).cast("string").alias("answers"), F.transform("s", lambda x: F.struct(x["c"]["arguments"].alias("arguments"), x["c"]["id"].alias("id"), x["c"]["name"].alias("name"))).alias("calls"), F.size("s").alias("n_calls"), F.size(F.filter("s", lambda x: x["linked"])).alias("n_linked"), F.size(F.filter("s", lambda x: ~x["c"]["valid"])).alias("n_invalid"), F.col("turn").alias("place"), F.lit(0).alias("rank"))
     none = F.lit(None).cast("array<struct<arguments:string,id:string,name:string>>")
     rest = lambda df, place, rank, linked: df.select("conv_id", "turn", "role", "content", "answers", none.alias("calls"), F.lit(0).alias("n_calls"), linked.alias("n_linked"), F.lit(0).alias("n_invalid"), place.alias("place"), F.lit(rank).alias("rank"))
     plain = rest(parsed.filter("answers is null and size(calls) = 0"), F.col("turn"), 0, F.lit(0))
-    late = rest(results, F.greatest("turn", F.coalesce("called", "turn")), 1, F.col("called").isNotNull().cast("int"))
+    late = rest(results, F.greatest("turn", F.coalesce("called", "turn")), 1, F.col("call").isNotNull().cast("int"))
     return plain.unionByName(late).unionByName(done).select("conv_id", "turn", "place", "rank", "role", "n_calls", "n_linked", "n_invalid", _line(F.col("role"), F.col("content"), F.col("answers"), F.col("calls")).alias("message"))
