@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from uuid import uuid4
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from twinfold.common import shared_dir, ship, table
@@ -16,8 +17,11 @@ TOXIC = 0.5
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language can be told; those without a letter go."""
+    """Documents that have a letter, whether or not a language could be learned."""
     model = langid.fit(docs.filter(remainder("doc_id", 5) != 0))
+    if not model.langs:
+        # One language without words: every text with a letter is of it.
+        model = langid.Model(["any"], table=np.zeros((1, 1)))
     told = langid.predict(docs, model, lang="_lang_pred", score="_lang_score", keep_text=True)
     return told.filter(F.col("_lang_pred") != langid.UNDETERMINED).select(*docs.columns)
 

@@ -398,6 +398,13 @@ def test_chat_keeps_calls_of_null_and_repeated_rows(spark):
 # The pipeline and the registered queries
 
 
+def test_language_stage_keeps_texts_where_no_language_is_known(spark):
+    import corpus_pipeline
+
+    df = spark.createDataFrame([(k, t, None, None, None) for k, t in enumerate(["some words", "123 !!", "ung", None, "x"])], DOC)
+    assert sorted(r.doc_id for r in corpus_pipeline.language(spark, df, "").collect()) == [0, 2, 4]
+
+
 def test_pipeline_against_brute_force(spark, tmp_path):
     import corpus_pipeline
     from tokenizers import Tokenizer
