@@ -41,6 +41,21 @@ def test_bpe_equals_the_library(spark):
         want = lib.encode(t or "", add_special_tokens=False).ids
         assert list(rows[k].ids) == want and rows[k].decoded == lib.decode(want, skip_special_tokens=False)
     assert bpe.encode(df.filter("false"), path).count() == 0
+    again = bpe.encode(df.unionByName(df), path, decoded="decoded", keep_text=False)
+    assert "text" not in again.columns and sorted((r.doc_id, r.ids, r.decoded) for r in again.collect()) == sorted(2 * [(k, r.ids, r.decoded) for k, r in rows.items()])
+
+
+def test_bpe_cuts_where_the_library_does(monkeypatch):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(bpe, "CACHE_WORDS", 500)
+    path = queries.tokenizer_file()
+    lib, v, rng = Tokenizer.from_file(path), bpe.Vocabulary(path), random.Random(5)
+    texts = ["\n", "a\n\n\nb", "\r\nx\r\n y\t z", "<|endoftext|>", "<|endoftext|><|endoftext|>\n", "a.b,c' d's'sx 'tt x'.y 1'2 a\x1cb \x85c\xa0 d  e", "\x01a \x01", ""]
+    texts += ["".join(rng.choice(" \n\t\r'.a1éB \x1c\x85 !-st") for _ in range(60)) for _ in range(400)]
+    for at in range(0, len(texts), 50):
+        ids, ends = v.encode(texts[at : at + 50])
+        assert [ids[a:b].tolist() for a, b in zip(ends, ends[1:])] == [lib.encode(t, add_special_tokens=False).ids for t in texts[at : at + 50]]
 
 
 def test_bpe_vectorised_merges_equal_the_heap():

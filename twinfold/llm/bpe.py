@@ -4,7 +4,8 @@ For each distinct pre-token of a batch, a greedy longest match proposes tokens.
 true encoding exactly when every token of it encodes to itself and every two neighbours, encoded
 together, stay as they are. Those tests run once for each distinct token and neighbour pair of the
 batch (arrays of packed pairs, ``np.unique``); only the words that fail one are merged exactly,
-lowest rank first.
+lowest rank first. Texts are cut, as arrays, at places where the split pattern always cuts; what each distinct
+piece encodes to is remembered in an array of ids, and a text's ids are taken from there.
 
 Defined cases: a null or empty text has no ids and decodes to the empty string; the special token's
 string in a text is the special token, as the library's default has it; whole texts of any length
@@ -27,18 +28,20 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from twinfold.common import ship
 from twinfold.llm.memory import tidy
 
-#: Distinct words, and distinct neighbour pairs, remembered by a worker before its memory is cleared.
-CACHE_WORDS, CACHE_PAIRS = 150_000, 200_000
-#: Characters of text handled together.
-BATCH_CHARS = 1_000_000
+#: Distinct pieces, and distinct neighbour pairs, of a generation; a worker remembers two.
+CACHE_WORDS, CACHE_PAIRS = 150_000, 150_000
+#: Bytes of text handled together.
+BATCH_CHARS = 4_000_000
 #: A longer word is merged with a heap, a shorter one by repeated scans.
 SCAN_MAX = 48
 NO_MERGE, RIGHT = np.iinfo(np.int64).max, 0x7FFFFFFF
 
 #: The pre-tokenizer's published split pattern.
 SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-#: Whether a space stands beside other white space.
-DOUBLE_SPACE = re.compile(r" \s|\s ").search
+#: A letter or number and an ASCII sign after it: the split pattern always cuts between the two.
+SIGN = r"([\pL\pN])([!-/:-@\[-`{-~])"
+#: Put, after a space, before a line feed and before such a sign, so that cutting at spaces cuts there too.
+HERE = "\x01"
 
 
 def byte_chars() -> list[str]:
@@ -48,6 +51,52 @@ def byte_chars() -> list[str]:
     return [hidden.get(b, chr(b)) for b in range(256)]
 
 
+def _taken(ids: np.ndarray, starts: np.ndarray, sizes: np.ndarray, which: np.ndarray) -> np.ndarray:
+    """Stretches of ``ids``, one after another."""
+    n = sizes[which]
+    return ids[np.repeat(starts[which] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))]
+
+
+class Pieces:
+    """What pieces of text encode to: ids in one array, and of each piece where they stand.
+
+    When CACHE_WORDS pieces are known they become the old generation; of the old one before them only
+    what was met again in the meantime is left.
+    """
+
+    def __init__(self, learn):
+        self.learn = learn
+        self.old: tuple | None = None
+        self._clear()
+
+    def _clear(self) -> None:
+        self.slot: dict[str, int] = {}
+        self.ids, self.starts, self.sizes = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _add(self, pieces: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        at = len(self.sizes)
+        self.slot.update(zip(pieces, range(at, at + len(pieces)), strict=True))
+        self.starts = np.concatenate([self.starts, len(self.ids) + np.cumsum(sizes) - sizes])
+        self.ids, self.sizes = np.concatenate([self.ids, ids]), np.concatenate([self.sizes, sizes])
+
+    def slots(self, pieces: list[str]) -> np.ndarray:
+        """The number of each piece, whose ids are known then; numbers hold until the next call."""
+        if len(self.slot) > CACHE_WORDS:
+            self.old = (self.slot, self.ids, self.starts, self.sizes)
+            self._clear()
+        new = [p for p in dict.fromkeys(pieces) if p not in self.slot]
+        if self.old and new:
+            slot, ids, starts, sizes = self.old
+            again = [p for p in new if p in slot]
+            if again:
+                which = np.fromiter(map(slot.__getitem__, again), np.int64, len(again))
+                self._add(again, _taken(ids, starts, sizes, which), sizes[which])
+                new = [p for p in new if p not in slot]
+        if new:
+            self._add(new, *self.learn(new))
+        return np.fromiter(map(self.slot.__getitem__, pieces), np.int64, len(pieces))
+
+
 class Vocabulary:
     """Tokens and merges of a tokenizer file."""
 
@@ -79,10 +128,8 @@ class Vocabulary:
         self.prefix = bool(spec["pre_tokenizer"].get("add_prefix_space"))
         self.split = regex.compile(SPLIT).findall
         self.cut_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")").split if self.special else lambda t: [t]
-        self.found: dict[str, bytes] = {}  # of the words being learned
-        self.plain: dict[str, bytes] = {}  # of pieces of text
-        self.spaced: dict[str, bytes] = {}  # of a space and the piece
-        self.fits: dict[int, bool] = {}
+        self.known = Pieces(self._learn)
+        self.fits: tuple[dict[int, bool], dict[int, bool]] = ({}, {})
 
     def _grow_trie(self) -> None:
         """Transitions packed as state and byte, sorted; the token that ends in each state, or -1."""
@@ -206,19 +253,19 @@ class Vocabulary:
 
     def _tests(self, keys: np.ndarray) -> np.ndarray:
         """Whether each packed neighbour pair, or single token (left half all ones), stays as it is."""
-        fits = self.fits
-        if len(fits) > CACHE_PAIRS:
-            fits.clear()
-        new = [k for k in keys.tolist() if k not in fits]
+        young, old = self.fits
+        if len(young) > CACHE_PAIRS:
+            young, old = self.fits = {}, young
+        all_ = keys.tolist()
+        young.update((k, old[k]) for k in all_ if k not in young and k in old)
+        new = [k for k in all_ if k not in young]
         wants = [[k & RIGHT] if k >> 32 == RIGHT else [k >> 32, k & RIGHT] for k in new]
         for k, want, got in zip(new, wants, self.exact([b"".join(map(self.bytes.__getitem__, w)) for w in wants]), strict=True):
-            fits[k] = got.tolist() == want
-        return np.fromiter(map(fits.__getitem__, keys.tolist()), bool, len(keys))
+            young[k] = got.tolist() == want
+        return np.fromiter(map(young.__getitem__, all_), bool, len(all_))
 
-    def learn(self, words: list[str]) -> None:
-        """Encodes distinct words, all at once, into ``found``."""
-        if not words:
-            return
+    def _code(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct words, one word after another, and how many each has."""
         raw = [w.encode() for w in words]
         ids, owner = self.propose(raw)
         inner = owner[1:] == owner[:-1]
@@ -226,54 +273,104 @@ class Vocabulary:
         for keys, of in (((ids[:-1] << 32 | ids[1:])[inner], owner[1:][inner]), (np.int64(RIGHT) << 32 | ids, owner)):
             each, at = np.unique(keys, return_inverse=True)
             bad[of[~self._tests(each)[at]]] = True
-        packed, ends = ids.astype(np.int32).tobytes(), np.searchsorted(owner, np.arange(len(words) + 1)) * 4
-        self.found.update((w, packed[a:b]) for w, a, b in zip(words, ends[:-1].tolist(), ends[1:].tolist(), strict=True))
-        wrong = np.flatnonzero(bad).tolist()
-        self.found.update((words[k], x.astype(np.int32).tobytes()) for k, x in zip(wrong, self.exact([raw[k] for k in wrong]), strict=True))
-
-    def _words(self, known: dict[str, bytes], new: set[str], lead: str) -> None:
-        """Adds what ``lead`` and each new piece encode to."""
-        if not new:
-            return
-        split = {c: self.split(lead + c) for c in new}
-        self.learn(list({w for ws in split.values() for w in ws}))
-        get = self.found.__getitem__
-        known.update((c, b"".join(map(get, ws))) for c, ws in split.items())
-        self.found.clear()
-
-    def encode(self, texts: list[str | None]) -> list[np.ndarray]:
-        """Ids of each text.
-
-        Where no space stands next to other white space, the split pattern always cuts before a
-        space; such texts are cut there, and what lies between is split and encoded once.
+        wrong = np.flatnonzero(bad)
+        merged = self.exact([raw[k] for k in wrong.tolist()])
+        fine = ~bad[owner]
+        owner = np.concatenate([owner[fine], np.repeat(wrong, np.fromiter(map(len, merged), np.int64, len(merged)))])
+        order = np.argsort(owner, kind="stable")
+        return np.concatenate([ids[fine], *merged])[order].astype(np.int32), np.bincount(owner, minlength=len(words))
+
+    def _learn(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of new pieces, and how many each has: the split pattern cuts them into words."""
+        split = [[p] if p in self.special else self.split(p) for p in pieces]
+        place = {w: k for k, w in enumerate(dict.fromkeys(w for ws in split for w in ws if w not in self.special))}
+        ids, sizes = self._code(list(place)) if place else (np.zeros(0, np.int32), np.zeros(0, np.int64))
+        for t, i in self.special.items():
+            place[t] = len(sizes)
+            ids, sizes = np.append(ids, np.int32(i)), np.append(sizes, 1)
+        words = np.fromiter((place[w] for ws in split for w in ws), np.int64)
+        many = np.fromiter(map(len, split), np.int64, len(split))
+        return _taken(ids, np.cumsum(sizes) - sizes, sizes, words), np.bincount(np.repeat(np.arange(len(split)), many), sizes[words], len(split)).astype(np.int64)
+
+    def _sections(self, texts: pa.Array) -> tuple[pa.Array, np.ndarray, dict[int, str]]:
+        """Texts cut at special tokens: the sections, whose each is, and which are a special token."""
+        if not self.special and not self.prefix:
+            return texts, np.arange(len(texts)), {}
+        odd = pc.match_substring_regex(texts, "|".join(map(re.escape, self.special))).to_numpy(zero_copy_only=False) if self.special else np.zeros(len(texts), bool)
+        if not odd.any() and not self.prefix:
+            return texts, np.arange(len(texts)), {}
+        sections, owner, special = [], [], {}
+        for k, t in enumerate(texts.to_pylist()):
+            for piece in self.cut_special(t) if odd[k] else [t]:
+                if piece in self.special:
+                    special[len(sections)] = piece
+                    piece = ""
+                elif self.prefix and piece and piece[0] != " ":
+                    piece = f" {piece}"
+                sections.append(piece)
+                owner.append(k)
+        return pa.array(sections, pa.string()), np.array(owner, np.int64), special
+
+    def encode(self, texts: pa.Array | list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one text after another, and where each text's end, with a 0 before.
+
+        A text is cut before each space, line feed and, after a letter or number, ASCII sign. That
+        is where the split pattern cuts too, except after white space: there pieces are joined again.
         """
-        for known in (self.plain, self.spaced):
-            if len(known) > CACHE_WORDS:
-                known.clear()
+        texts = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
+        sections, owner, special = self._sections(texts)
+        if pc.any(pc.match_substring(sections, HERE)).as_py():
+            return self._plainly(texts)
+        marked = pc.replace_substring(pc.replace_substring_regex(sections, SIGN, rf"\1 {HERE}\2"), "\n", f" {HERE}\n")
+        lists = pc.split_pattern(marked, " ")
+        first = lists.offsets.to_numpy()[:-1].astype(np.int64)
+        coded = lists.flatten().dictionary_encode()
+        at, values = coded.indices.to_numpy(), coded.dictionary.to_pylist()
+        pieces = [v[1:] if v[:1] == HERE else " " + v for v in values]
+        solid = np.fromiter((not p[-1].isspace() for p in pieces), bool, len(pieces))
+        begins = np.ones(len(at), bool)
+        begins[1:] = solid[at[:-1]]
+        begins[first] = True
+        starts = np.flatnonzero(begins)
+        ends = np.append(starts[1:], len(at))
+        opening = np.zeros(len(at), bool)
+        opening[first] = True
+        odd = np.flatnonzero((ends - starts > 1) | opening[starts])
+        simple = np.ones(len(starts), bool)
+        simple[odd] = False
+        used = np.unique(at[starts[simple]])
+        special = {int(first[k]): t for k, t in special.items()}
+        joined = []
+        for a, b in zip(starts[odd].tolist(), ends[odd].tolist(), strict=True):
+            head = pieces[at[a]]
+            if opening[a]:
+                head = special.get(a) or (head[1:] if values[at[a]][:1] != HERE else head)
+            joined.append(head if b - a == 1 else head + "".join([pieces[k] for k in at[a + 1 : b].tolist()]))
+        slots = self.known.slots([pieces[k] for k in used.tolist()] + joined)
+        slot_of = np.zeros(len(values), np.int64)
+        slot_of[used] = slots[: len(used)]
+        group = np.empty(len(starts), np.int64)
+        group[simple] = slot_of[at[starts[simple]]]
+        group[odd] = slots[len(used) :]
+        known = self.known
+        sizes = known.sizes[group]
+        ids = _taken(known.ids, known.starts, known.sizes, group)
+        section = np.searchsorted(first, starts, "right") - 1
+        return ids, np.concatenate([[0], np.cumsum(np.bincount(owner[section], sizes, len(texts)).astype(np.int64))])
+
+    def _plainly(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """``encode`` for texts that hold the sign HERE themselves: the split pattern cuts them."""
         rows = []
-        for t in texts:
-            row: list = []
-            for piece in self.cut_special(t or ""):
+        for t in texts.to_pylist():
+            words = []
+            for piece in self.cut_special(t):
                 if piece in self.special:
-                    row.append(self.special[piece])
+                    words.append(piece)
                 elif piece:
-                    piece = f" {piece}" if self.prefix and piece[0] != " " else piece
-                    row += [self.split(piece), []] if DOUBLE_SPACE(piece) else [(c := piece.split(" "))[:1], c[1:]]
-            rows.append(row)
-        lists = [x for row in rows for x in row if not isinstance(x, int)]
-        for known, lead, start in ((self.plain, "", 0), (self.spaced, " ", 1)):
-            self._words(known, {w for x in lists[start::2] for w in x}.difference(known), lead)
-        out = []
-        for row in rows:
-            parts, spaced = [], False
-            for x in row:
-                if isinstance(x, int):
-                    parts.append(np.int32(x).tobytes())
-                else:
-                    parts += map((self.spaced if spaced else self.plain).__getitem__, x)
-                    spaced = not spaced
-            out.append(np.frombuffer(b"".join(parts), np.int32))
-        return out
+                    words += self.split(f" {piece}" if self.prefix and piece[0] != " " else piece)
+            group = self.known.slots(words)
+            rows.append(_taken(self.known.ids, self.known.starts, self.known.sizes, group))
+        return np.concatenate([np.zeros(0, np.int32), *rows]), np.cumsum([0, *map(len, rows)])
 
     def decode(self, ids: np.ndarray) -> str:
         return text_of(self.bytes, ids)
@@ -319,9 +416,8 @@ def slices(batch: pa.RecordBatch, name: str, most: int = BATCH_CHARS) -> Iterato
         yield batch.slice(at)
 
 
-def _lists(rows: list[np.ndarray]) -> pa.Array:
-    ends = np.cumsum([0, *map(len, rows)])
-    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int32), pa.int32()))
+def _lists(ids: np.ndarray, ends: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))
 
 
 def _set(batch: pa.RecordBatch, name: str, values: pa.Array) -> pa.RecordBatch:
@@ -333,17 +429,24 @@ def _typed(df: DataFrame, name: str, kind: T.DataType) -> T.StructType:
     return T.StructType([*(T.StructField(f.name, f.dataType) for f in df.schema if f.name != name), T.StructField(name, kind)])
 
 
-def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """``df`` with the array of token ids of each text. ``path``: a tokenizer file all executors can read."""
+def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", decoded: str | None = None, keep_text: bool = True) -> DataFrame:
+    """``df`` with the array of token ids of each text and, if named, what the ids decode to, in one pass.
+
+    ``path``: a tokenizer file all executors can read."""
     ship(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(path)
         for batch in batches:
             for part in slices(batch, text):
-                yield _set(part, ids, _lists(v.encode(part.column(text).to_pylist())))
-
-    return df.mapInArrow(tidy(run), _typed(df, ids, T.ArrayType(T.IntegerType())))
+                found, ends = v.encode(part.column(text))
+                out = _set(part if keep_text else part.drop_columns([text]), ids, _lists(found, ends))
+                yield out if decoded is None else _set(out, decoded, pa.array((v.decode(found[a:b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)), pa.string()))
+
+    shape = _typed(df if keep_text else df.drop(text), ids, T.ArrayType(T.IntegerType()))
+    if decoded is not None:
+        shape = T.StructType([*(f for f in shape if f.name != decoded), T.StructField(decoded, T.StringType())])
+    return df.mapInArrow(tidy(run), shape)
 
 
 def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
