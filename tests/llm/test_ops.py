@@ -162,6 +162,39 @@ def test_graph_search_meets_what_is_in_range(monkeypatch):
     assert found >= 0.99 * truth.sum()
 
 
+def run_sql(sql, **tables):
+    """Rows of DuckDB SQL over tables given as (columns with types, rows)."""
+    import duckdb
+
+    con = duckdb.connect()
+    for name, (columns, rows) in tables.items():
+        con.execute(f"CREATE TABLE {name} ({columns})")
+        if rows:
+            con.executemany(f"INSERT INTO {name} VALUES ({', '.join('?' * len(rows[0]))})", rows)
+    out = con.execute(sql)
+    names = [c[0] for c in out.description]
+    return sorted((dict(zip(names, r, strict=True)) for r in out.fetchall()), key=repr)
+
+
+def as_dicts(df):
+    return sorted((r.asDict() for r in df.collect()), key=repr)
+
+
+@pytest.mark.parametrize("overlap_most,sample", [(32, 16_384), (1, 16_384), (32, 40)])
+def test_embeddings_of_several_lengths_equal_the_sql(spark, tmp_path, monkeypatch, overlap_most, sample):
+    monkeypatch.setattr(embeddings, "OVERLAP_MOST", overlap_most)
+    monkeypatch.setattr(embeddings, "SHARD", 64)
+    monkeypatch.setattr(embeddings, "SAMPLE", sample)
+    rng = np.random.default_rng(10)
+    rows = [(k, [float(v) for v in c + 0.02 * rng.normal(size=n)]) for k, (n, c) in enumerate((n, c) for n in (2, 3, 8) for c in rng.normal(size=(40, n)) for _ in range(3))]
+    rows += [(500, [1e-200, 1.0]), (501, [0.0, 1.0]), (502, []), (503, None), (504, [1e150, 1.01e150]), (505, rows[9][1]), (9, rows[30][1]), (9, rows[9][1]), (None, rows[60][1]), (None, [1.0] * 5), (None, [1.0] * 5), (None, None)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<double>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = as_dicts(queries.op3_embeddings(spark, str(tmp_path)))
+    assert got == run_sql(queries.OP3_SQL, embeddings=("vec_id BIGINT, embedding DOUBLE[]", rows))
+    huge = spark.createDataFrame([(0, [1e300, 1e300]), (1, [1e-300, 1.1e-300]), (2, [-1.0, 1.0]), (2, [1.0, 1.0])], "vec_id long, embedding array<double>")
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in embeddings.near_duplicates(huge).collect()) == [(0, 2, 0), (1, 2, 0), (2, 0, 2), (2, 2, 0)]
+
+
 def test_hot_shards_are_tiled(spark, monkeypatch):
     monkeypatch.setattr(embeddings, "TILE", 100)
     rng = np.random.default_rng(7)
@@ -410,6 +443,85 @@ def test_chat_keeps_calls_of_null_and_repeated_rows(spark):
     assert sorted((str(r.conv_id), r.place, r.rank, r.n_linked) for r in got if r.role == "tool") == [("3", 4, 1, 1), ("5", 2, 1, 0), ("None", 1, 1, 1)]
 
 
+CONV = "conv_id long, turn long, role string, text string"
+
+
+def planted_conversations(rng, n=60):
+    """Chains of calls and results, some late, repeated, unanswered, malformed or without keys."""
+    import json
+
+    rows = []
+    for conv in [*range(n), None]:
+        turn = 0
+        for _ in range(rng.randrange(1, 6)):
+            ids = [rng.choice(["a", "b", "c", "d", None, 7]) for _ in range(rng.randrange(0, 4))]
+            calls = [{"id": i, "name": rng.choice(["find", "stop", None]), "arguments": rng.choice([{"q": "x é \"", "n": rng.randrange(9)}, {"z/~": [1, {"a": None}], "b": True}, {}, "plain", '{"n":1}', None])} for i in ids]
+            calls = [{k: v for k, v in c.items() if v is not None or rng.random() < 0.5} for c in calls]
+            rows.append((conv, turn, "user", rng.choice(["hi", "", None, "{", '{"tool_call_id":"a"}'])))
+            rows.append((conv, turn + 1, "assistant", json.dumps({"content": rng.choice(["ok\n", None, ""]), "tool_calls": calls}, ensure_ascii=rng.random() < 0.5)))
+            for i in ids:
+                if i is not None and rng.random() < 0.8:
+                    rows.append((conv, rng.choice([turn + 2, turn, 0, None]), "tool", json.dumps({"tool_call_id": i, "content": "r"})))
+            turn += 3
+        if rng.random() < 0.3:
+            rows += rows[-2:]
+    return rows
+
+
+def brute_chat(rows):
+    import json
+
+    dump = lambda x: json.dumps(x, sort_keys=True, separators=(",", ":"), ensure_ascii=False)
+    parsed = []
+    for conv, turn, role, text in rows:
+        role, text, calls, answers, content = role or "", text or "", [], None, text or ""
+        try:
+            o = json.loads(text) if text.lstrip().startswith("{") else None
+        except ValueError:
+            o = None
+        if o and role == "assistant":
+            for c in o.get("tool_calls") or []:
+                given = c.get("arguments")
+                raw = given if isinstance(given, str) else dump(given) if given is not None else None
+                one = {"id": None if c.get("id") is None else str(c["id"]), "name": c.get("name"), "arguments": raw}
+                if any(v is not None for v in one.values()):
+                    one["arguments"] = "{}" if raw is None else raw
+                    try:
+                        back = json.loads(one["arguments"])
+                        one["arguments"] = dump(back) if isinstance(back, dict) else one["arguments"]
+                    except ValueError:
+                        pass
+                    calls.append(one)
+            content = (o.get("content") or "") if calls else content
+        if o and role == "tool" and o.get("tool_call_id") is not None:
+            answers, content = str(o["tool_call_id"]), o.get("content") or ""
+        parsed.append((conv, turn, role, content, calls, answers))
+    first = {}
+    for conv, turn, _, _, calls, _ in parsed:
+        for c in calls:
+            if c["id"] is not None:
+                old = first.get((conv, c["id"]))
+                first[conv, c["id"]] = turn if old is None else old if turn is None else min(old, turn)
+    answered = {(conv, a, first[conv, a]) for conv, _, _, _, _, a in parsed if a is not None and (conv, a) in first}
+    out = []
+    for conv, turn, role, content, calls, answers in parsed:
+        called = first.get((conv, answers)) if answers is not None else None
+        place = max((x for x in (turn, called) if x is not None), default=None)
+        linked = int((conv, answers) in first) if answers is not None else sum((conv, c["id"], turn) in answered for c in calls)
+        message = {"content": content, "role": role} | ({"tool_call_id": answers} if answers is not None else {}) | ({"tool_calls": [{k: v for k, v in c.items() if v is not None} for c in calls]} if calls else {})
+        out.append({"conv_id": conv, "turn": turn, "place": place, "rank": int(answers is not None), "role": role, "n_calls": len(calls), "n_linked": linked, "n_invalid": len(calls), "message": dump(message)})
+    return sorted(out, key=repr)
+
+
+def test_chat_equals_brute_force_and_its_sql(spark, tmp_path):
+    rows = planted_conversations(random.Random(15))
+    assert sum("tool_calls" in (r[3] or "") for r in rows) > 100
+    spark.createDataFrame(rows, CONV).write.parquet(str(tmp_path / "conversations.parquet"))
+    got = as_dicts(queries.op7_chat(spark, str(tmp_path)))
+    assert got == brute_chat(rows)
+    assert got == run_sql(queries.OP7_SQL, conversations=("conv_id BIGINT, turn BIGINT, role VARCHAR, text VARCHAR", rows))
+
+
 # The pipeline and the registered queries
 
 

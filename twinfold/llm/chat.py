@@ -11,7 +11,7 @@ Only DataFrame operations are used, and no conversation is collected: a message
 (conv_id, place, rank, turn, content). Defined cases: null role or text are written as empty
 strings; malformed JSON is plain content; a result without a call, or a call without a result, is
 kept and marked; of several results for one call each is linked; a call identifier used twice
-in a conversation links to its first turn; a call without an identifier is kept, linked with nothing;
+in a conversation links at its first turn only; a call without an identifier is kept, linked with nothing;
 a null conversation is one of its own; repeated rows stay, each with its own calls. Extra columns are not carried.
 """
 
@@ -79,10 +79,10 @@ def format(messages: DataFrame, tools: DataFrame | None = None, conv: str = "con
     calls = validated(asked.dropDuplicates(["key"]), tools if tools is not None else no_tools(messages.sparkSession))
     first = calls.filter("id is not null").groupBy(F.col("conv_id").alias("of"), F.col("id").alias("call")).agg(F.min("turn").alias("called"))
     results = parsed.filter("answers is not null").join(first, F.col("conv_id").eqNullSafe(F.col("of")) & (F.col("answers") == F.col("call")), "left")
-    answered = results.filter("call is not null").select("of", "call").distinct().withColumn("linked", F.lit(True))
+    answered = results.filter("call is not null").select("of", "call", "called").distinct().withColumn("linked", F.lit(True))
     # Of one message's calls, all are in one row again: a message is the unit that was split.
     shape = F.sort_array(F.collect_list(F.struct("slot", F.struct("arguments", "id", "name", "valid").alias("c"), F.coalesce("linked", F.lit(False)).alias("linked"))))
-    per = calls.join(answered, F.col("conv_id").eqNullSafe(F.col("of")) & (F.col("id") == F.col("call")), "left").groupBy("key").agg(shape.alias("s"))
+    per = calls.join(answered, F.col("conv_id").eqNullSafe(F.col("of")) & (F.col("id") == F.col("call")) & F.col("turn").eqNullSafe(F.col("called")), "left").groupBy("key").agg(shape.alias("s"))
     done = asked.join(per, "key", "left").select("conv_id", "turn", "role", "content", F.lit(None).cast("string").alias("answers"), F.transform("s", lambda x: F.struct(x["c"]["arguments"].alias("arguments"), x["c"]["id"].alias("id"), x["c"]["name"].alias("name"))).alias("calls"), F.size("s").alias("n_calls"), F.size(F.filter("s", lambda x: x["linked"])).alias("n_linked"), F.size(F.filter("s", lambda x: ~x["c"]["valid"])).alias("n_invalid"), F.col("turn").alias("place"), F.lit(0).alias("rank"))
     none = F.lit(None).cast("array<struct<arguments:string,id:string,name:string>>")
     rest = lambda df, place, rank, linked: df.select("conv_id", "turn", "role", "content", "answers", none.alias("calls"), F.lit(0).alias("n_calls"), linked.alias("n_linked"), F.lit(0).alias("n_invalid"), place.alias("place"), F.lit(rank).alias("rank"))

@@ -1,8 +1,9 @@
 """Embedding near-dedup on robust-pruned flat graphs.
 
 Centres fitted on a bounded sample cut the vectors into shards; each vector lives in the shard of its
-nearest centre and is a member of the next OVERLAP - 1 as well. In each shard a flat graph is built
-by robust pruning; the adjacency lists that a vector has in its shards are united. From the shard's
+nearest centre and is a member of the next OVERLAP - 1 as well. In each shard a flat graph is built:
+every member searches it greedily from the medoid and takes robust-pruned edges to what it met. The
+adjacency lists that a vector has in its shards are united. From the shard's
 medoid, a greedy search for every vector that lives there first narrows to the best BEAM members and
 then expands for as long as it meets members in range. What it found is verified in double
 precision. An audit compares sampled vectors with all vectors, block by block, every vector weighing
@@ -13,19 +14,20 @@ dealt in tiles, pairs of hashed parts, so that none grows with a hot group.
 Equal vectors are one class, with their number. A shard counts links and emits a spanning forest of
 them, never all pairs.
 
-Defined cases: null and zero vectors, and those with null or non-finite components or of another
-length than most of the sample's, link with nothing, not even with equal ones, and are components of their own; an
-empty table gives no rows; equal vectors link; repeated keys are counted as vectors of their own
-and share a component; extra columns are not carried.
+Defined cases: null, empty and zero vectors, and those with null or non-finite components, link
+with nothing, not even with equal ones, and are components of their own; vectors link with those of
+their own length only, which have centres of their own; floats are compared as doubles; an
+empty table gives no rows; equal vectors link; rows that repeat a key, or have none, are vectors of their
+own, and a component is named by the least key in it, null where it has none; extra columns are not carried.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from twinfold.common import cut, ship
@@ -42,6 +44,8 @@ AUDIT, RECALL, TOGETHER = 512, 0.95, 256
 
 
 def unit(rows: np.ndarray) -> np.ndarray:
+    """Rows of length 1; scaled first, so that squares neither overflow nor vanish."""
+    rows = rows / np.abs(rows).max(axis=1, keepdims=True)
     return rows / np.linalg.norm(rows, axis=1, keepdims=True)
 
 
@@ -84,79 +88,139 @@ def prune(x: np.ndarray, order: np.ndarray, sims: np.ndarray, most: int, chosen:
     return chosen
 
 
+def choose(x: np.ndarray, who: np.ndarray, met: np.ndarray, sims: np.ndarray, cosine: float) -> np.ndarray:
+    """Out-edges of each node of ``who`` among its candidates (``met``, of similarity -2 or less where there is none).
+
+    Half of the edges may go to candidates in range, the nearest; the others are robust-pruned from those out of
+    range, so that a group of near-copies stays connected with the rest.
+    """
+    sims = np.where(met == who[:, None], -3, sims)
+    half = DEGREE // 2
+    parts = []
+    for inside in (True, False):
+        value = np.where((sims >= cosine) == inside, sims, -3)
+        k = min(half if inside else POOL, value.shape[1])
+        top = np.argpartition(-value, k - 1, axis=1)[:, :k]
+        value = np.take_along_axis(value, top, 1)
+        by = np.argsort(-value, axis=1, kind="stable")
+        order, value = np.take_along_axis(np.take_along_axis(met, top, 1), by, 1), np.take_along_axis(value, by, 1)
+        parts.append(np.where(value > -2, order, -1) if inside else prune(x, order, value, half, np.full((len(who), 0), -1)))
+    both = np.concatenate(parts, 1)
+    return np.pad(both, ((0, 0), (0, DEGREE - both.shape[1])), constant_values=-1) if both.shape[1] < DEGREE else both
+
+
+def walk(x: np.ndarray, table: np.ndarray, entry: int, q: np.ndarray, cosine: float = 2.0) -> np.ndarray:
+    """Greedy search of each query from ``entry`` over a table of edges: similarities of what it meets, -2 elsewhere.
+
+    It narrows to the best BEAM members and then expands for as long as it meets members in range.
+    """
+    n, rows = len(x), np.arange(len(q))
+    sim = np.full((len(q), n), -2.0)
+    sim[:, entry] = q @ x[entry]
+    todo = np.full((len(q), n), -2.0)  # similarity of what is met and not expanded
+    todo[:, entry] = sim[:, entry]
+    live, k = rows, min(BEAM, n)
+    while len(live):
+        floor = np.minimum(np.partition(sim[live], n - k, axis=1)[:, n - k], cosine)
+        open_ = todo[live] >= np.maximum(floor, -1.5)[:, None]
+        waiting = open_.sum(1)
+        live, open_ = live[waiting > 0], open_[waiting > 0]
+        if not len(live):
+            break
+        e = int(min(64, n, max(4, waiting.max() // 4)))
+        value = np.where(open_, todo[live], -3)
+        top = np.argpartition(-value, e - 1, axis=1)[:, :e] if e < n else np.tile(np.arange(n), (len(live), 1))
+        fine = np.take_along_axis(value, top, 1) > -2
+        who, node = np.repeat(live, e).reshape(len(live), e)[fine], top[fine]
+        todo[who, node] = -2
+        got = table[node]
+        b, m = np.repeat(who, got.shape[1]), got.ravel()
+        keys = np.unique(b[m >= 0] * n + m[m >= 0])
+        b, m = keys // n, keys % n
+        new = sim[b, m] <= -2
+        b, m = b[new], m[new]
+        s = np.einsum("ij,ij->i", q[b], x[m])
+        sim[b, m] = s
+        todo[b, m] = s
+    return sim
+
+
+def _nearest(value: np.ndarray, k: int) -> np.ndarray:
+    """The k greatest of each row, -1 for those that were not met."""
+    k = min(k, value.shape[1])
+    top = np.argpartition(-value, k - 1, axis=1)[:, :k]
+    return np.where(np.take_along_axis(value, top, 1) > -2, top, -1)
+
+
+def _medoid(x: np.ndarray) -> int:
+    return int((x @ x.mean(0)).argmax())
+
+
 def build(x: np.ndarray, cosine: float = COSINE, seed: int = 0) -> list[np.ndarray]:
-    """Adjacency of a flat graph. Half of a node's edges may go to members in range; the others are pruned
-    from those out of range, so that a group of near-copies stays connected with the rest."""
+    """Adjacency of a flat graph, built by greedy search and robust pruning.
+
+    Members come in random order, in batches at most as large as what is there. Each searches the graph
+    for itself from the medoid; its edges are chosen from what it met and from some members at random, and
+    go both ways; a node much pointed at chooses anew.
+    """
     n, rng = len(x), np.random.default_rng(seed)
-    near, out = np.full((n, DEGREE // 2), -1), np.full((n, 0), -1)
-    chosen = []
-    for a in range(0, n, 512):
-        s = x[a : a + 512] @ x.T
-        s[np.arange(len(s)), np.arange(a, a + len(s))] = -3
-        inside = np.where(s >= cosine, s, -3)
-        k = min(DEGREE // 2, n)
-        top = np.argpartition(-inside, k - 1, axis=1)[:, :k]
-        near[a : a + 512, :k] = np.where(np.take_along_axis(inside, top, 1) > -2, top, -1)
-        s[s >= cosine] = -3
-        k = min(POOL, n)
-        top = np.argpartition(-s, k - 1, axis=1)[:, :k]
-        order = np.concatenate([top, rng.integers(0, n, (len(s), RANDOM))], 1)
-        sims = np.take_along_axis(s, order, 1)
-        by = np.argsort(-sims, axis=1, kind="stable")
-        chosen.append(prune(x, np.take_along_axis(order, by, 1), np.take_along_axis(sims, by, 1), DEGREE // 2, out[a : a + 512]))
-    width = max(c.shape[1] for c in chosen) if chosen else 0
-    far = np.concatenate([np.pad(c, ((0, 0), (0, width - c.shape[1])), constant_values=-1) for c in chosen]) if chosen else out
-    both = np.concatenate([near, far], 1)
-    u, v = np.repeat(np.arange(n), both.shape[1]), both.ravel()
-    u, v = u[v >= 0], v[v >= 0]
-    keys = np.unique(np.concatenate([u * n + v, v * n + u]))
-    u, v = keys // n, keys % n
-    # A node much pointed at keeps DEGREE * 2 of its reverse edges, at random, beside its own.
-    return [w if len(w) <= 3 * DEGREE else np.union1d(both[i][both[i] >= 0], rng.choice(w, 2 * DEGREE, replace=False)) for i, w in enumerate(np.split(v, np.searchsorted(u, np.arange(1, n))))]
+    most = 3 * DEGREE
+    table, degree = np.full((n, most), -1), np.zeros(n, np.int64)
+    medoid = _medoid(x) if n else 0
+    order = rng.permutation(n)
+    at = int(np.flatnonzero(order == medoid)[0]) if n else 0
+    order[[0, at]] = order[[at, 0]] if n else order[[0, at]]
+
+    def keep(who: np.ndarray, lists: np.ndarray) -> None:
+        by = np.argsort(lists < 0, axis=1, kind="stable")
+        table[who] = -1
+        table[who, : lists.shape[1]] = np.take_along_axis(lists, by, 1)
+        degree[who] = (lists >= 0).sum(1)
+
+    def point_back(who: np.ndarray, lists: np.ndarray) -> None:
+        u, v = np.repeat(who, lists.shape[1]), lists.ravel()
+        u, v = u[v >= 0], v[v >= 0]
+        new = ~(table[v] == u[:, None]).any(1)
+        u, v = u[new], v[new]
+        by = np.argsort(v, kind="stable")
+        u, v = u[by], v[by]
+        to, first, count = np.unique(v, return_index=True, return_counts=True)
+        place = degree[v] + np.arange(len(v)) - np.repeat(first, count)
+        fits = place < most
+        table[v[fits], place[fits]] = u[fits]
+        full = to[degree[to] + count > most]
+        degree[to] = np.minimum(degree[to] + count, most)
+        for node in full.tolist():
+            met = np.union1d(table[node][: degree[node]], u[v == node])[None]
+            keep(np.array([node]), choose(x, np.array([node]), met, (x[met[0]] @ x[node])[None], cosine))
+
+    at = 1
+    while at < n:
+        who = order[at : at + min(at, TOGETHER)]
+        sim = walk(x, table, medoid, x[who])
+        # What is out of range is pruned from the nearest of it, however many are in range.
+        near, far = (_nearest(v, k) for v, k in ((sim, POOL), (np.where(sim >= cosine, -3, sim), POOL)))
+        some = order[rng.integers(0, at, (len(who), RANDOM))]
+        met = np.sort(np.concatenate([near, far, some, table[who]], 1), axis=1)
+        met[:, 1:][met[:, 1:] == met[:, :-1]] = -1
+        sims = np.where(met >= 0, np.einsum("nd,nwd->nw", x[who], x[met]), -3)
+        lists = choose(x, who, met, sims, cosine)
+        keep(who, lists)
+        point_back(who, lists)
+        at += len(who)
+    return [table[i, : degree[i]] for i in range(n)]
 
 
 def search(x: np.ndarray, edges: list[np.ndarray], queries: np.ndarray, cosine: float = COSINE) -> Iterator[tuple[int, np.ndarray]]:
     """Of each query (a position), the members in range that a range-expanding greedy search from the medoid meets."""
-    n = len(x)
-    width = max(map(len, edges), default=0)
-    table = np.full((n, max(1, width)), -1)
+    table = np.full((len(x), max(1, max(map(len, edges), default=0))), -1)
     for i, e in enumerate(edges):
         table[i, : len(e)] = e
-    medoid = int((x @ x.mean(0)).argmax())
+    medoid = _medoid(x)
     for at in range(0, len(queries), TOGETHER):
         qs = queries[at : at + TOGETHER]
-        q, rows = x[qs], np.arange(len(qs))
-        sim = np.full((len(qs), n), -2.0)
-        sim[:, medoid] = q @ x[medoid]
-        todo = np.full((len(qs), n), -2.0)  # similarity of what is met and not expanded
-        todo[:, medoid] = sim[:, medoid]
-        live = rows
-        while len(live):
-            k = min(BEAM, n)
-            floor = np.minimum(np.partition(sim[live], n - k, axis=1)[:, n - k], cosine)
-            open_ = todo[live] > -2
-            open_ &= todo[live] >= np.maximum(floor, -1.5)[:, None]
-            waiting = open_.sum(1)
-            live, open_ = live[waiting > 0], open_[waiting > 0]
-            if not len(live):
-                break
-            e = int(min(64, n, max(4, waiting.max() // 4)))
-            value = np.where(open_, todo[live], -3)
-            top = np.argpartition(-value, e - 1, axis=1)[:, :e] if e < n else np.tile(np.arange(n), (len(live), 1))
-            fine = np.take_along_axis(value, top, 1) > -2
-            who, node = np.repeat(live, e).reshape(len(live), e)[fine], top[fine]
-            todo[who, node] = -2
-            got = table[node]
-            b, m = np.repeat(who, got.shape[1]), got.ravel()
-            keys = np.unique(b[m >= 0] * n + m[m >= 0])
-            b, m = keys // n, keys % n
-            new = sim[b, m] <= -2
-            b, m = b[new], m[new]
-            s = np.einsum("ij,ij->i", q[b], x[m])
-            sim[b, m] = s
-            todo[b, m] = s
-        for i, row in enumerate(sim):
-            yield int(qs[i]), np.flatnonzero(row >= cosine)
+        for q, row in zip(qs, walk(x, table, medoid, x[qs], cosine), strict=True):
+            yield int(q), np.flatnonzero(row >= cosine)
 
 
 def compared(x: np.ndarray, queries: np.ndarray, cosine: float = COSINE) -> Iterator[tuple[int, np.ndarray]]:
@@ -173,19 +237,31 @@ def valid(df: DataFrame, vector: str) -> DataFrame:
     return df.filter(F.coalesce(fine, F.lit(False)))
 
 
+def _by_length(rows: pa.RecordBatch) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """At most 2,048 rows together whose vectors have one length."""
+    for at in range(0, rows.num_rows, 2048):
+        part = rows.slice(at, 2048)
+        sizes = pc.list_value_length(part.column("vector")).to_numpy()
+        for n in np.unique(sizes).tolist():
+            yield n, part.take(pa.array(np.flatnonzero(sizes == n))) if (sizes != n).any() else part
+
+
 def _route(points: DataFrame, shared, overlap: int, cuts) -> DataFrame:
-    """(tile, shard, rep, n, vector, home, part): every membership; in hot shards, each part in its tiles."""
+    """(tile, shard, rep, n, vector, home, part): every membership; in hot shards, each part in its tiles.
+
+    ``shared``: of each length, the number of its first shard and its centres. A length without centres is a shard of its own.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        c = shared.value
         for batch in batches:
-            for at in range(0, batch.num_rows, 2048):
-                rows = batch.slice(at, 2048)
-                s = unit(matrix(rows.column("vector"))) @ c.T
-                k = min(overlap, len(c))
-                top = np.argsort(-s, axis=1, kind="stable")[:, :k]
+            for length, rows in _by_length(batch):
+                if length in shared.value:
+                    first, c = shared.value[length]
+                    top = first + np.argsort(-(unit(matrix(rows.column("vector"))) @ c.T), axis=1, kind="stable")[:, :overlap]
+                else:
+                    top = np.full((rows.num_rows, 1), -length)
                 reps = rows.column("rep").to_numpy()
-                for rank in range(k):
+                for rank in range(top.shape[1]):
                     parts = np.array([cuts.value.get(x, 1) for x in top[:, rank].tolist()])
                     own = ((reps.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % parts
                     for other in range(int(parts.max())):
@@ -194,12 +270,12 @@ def _route(points: DataFrame, shared, overlap: int, cuts) -> DataFrame:
                         some = rows.take(pa.array(keep))
                         yield pa.RecordBatch.from_arrays([pa.array(top[keep, rank], pa.int64()), pa.array(i << 32 | j, pa.int64()), some.column("rep"), some.column("n"), some.column("vector"), pa.array(np.full(len(keep), rank == 0)), pa.array(own[keep], pa.int64())], names=["shard", "tile", "rep", "n", "vector", "home", "part"])
 
-    return points.mapInArrow(run, "shard long, tile long, rep long, n long, vector array<float>, home boolean, part long")
+    return points.mapInArrow(run, f"shard long, tile long, rep long, n long, vector {points.schema['vector'].dataType.simpleString()}, home boolean, part long")
 
 
 def _linked(points: DataFrame, shared, overlap: int, cosine: float, exact: bool = False) -> DataFrame:
     """(u, v, n): with v null, n links of u's class to other classes; else an edge of a forest. Exact compares
-    all members of a tile; with a single centre these are all pairs there are."""
+    all members of a tile; without centres these are all pairs of vectors of a length."""
     spark = points.sparkSession
     none = spark.sparkContext.broadcast({})
     sizes = _route(points, shared, overlap, none).groupBy("shard").count().filter(F.col("count") > TILE).collect()
@@ -259,17 +335,21 @@ def _audit(points: DataFrame, counts: DataFrame, total: int, cosine: float) -> f
     asked = points.filter(F.pmod(F.xxhash64(F.lit("audit"), "rep"), F.lit(1 << 40)) < int(share * (1 << 40))).collect()
     if not asked:
         return 1.0
-    shared = spark.sparkContext.broadcast(([r.rep for r in asked], unit(np.array([r.vector for r in asked], np.float64))))
+    of: dict[int, list] = {}
+    for r in asked:
+        of.setdefault(len(r.vector), []).append(r)
+    shared = spark.sparkContext.broadcast({n: (np.array([r.rep for r in rs]), unit(np.array([r.vector for r in rs], np.float64))) for n, rs in of.items()})
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        reps, q = shared.value
-        found = np.zeros(len(reps), np.int64)
+        found = {n: np.zeros(len(reps), np.int64) for n, (reps, _) in shared.value.items()}
         for batch in batches:
-            for at in range(0, batch.num_rows, 2048):
-                rows = batch.slice(at, 2048)
-                hit = (unit(matrix(rows.column("vector"))) @ q.T >= cosine) & (rows.column("rep").to_numpy()[:, None] != np.array(reps))
-                found += (hit * rows.column("n").to_numpy()[:, None]).sum(0)
-        yield pa.RecordBatch.from_arrays([pa.array(reps, pa.int64()), pa.array(found, pa.int64())], names=["u", "truth"])
+            for length, rows in _by_length(batch):
+                if length in found:
+                    reps, q = shared.value[length]
+                    hit = (unit(matrix(rows.column("vector"))) @ q.T >= cosine) & (rows.column("rep").to_numpy()[:, None] != reps)
+                    found[length] += (hit * rows.column("n").to_numpy()[:, None]).sum(0)
+        for n, links in found.items():
+            yield pa.RecordBatch.from_arrays([pa.array(shared.value[n][0], pa.int64()), pa.array(links, pa.int64())], names=["u", "truth"])
 
     truth = points.mapInArrow(compare, "u long, truth long").groupBy("u").agg(F.sum("truth").alias("truth"))
     part = F.least("truth", F.coalesce("n_links", F.lit(0))) / F.col("truth")
@@ -277,40 +357,46 @@ def _audit(points: DataFrame, counts: DataFrame, total: int, cosine: float) -> f
     return min((x.found for x in r), default=1.0)
 
 
-def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding", cosine: float = COSINE) -> DataFrame:
-    """(key, n_links, component_id, kept, audited_recall) of each row."""
-    spark = ship(df.sparkSession)
-    rows = df.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<float>").alias("vector"))
-    good = valid(rows.filter("id is not null"), "vector")
-    points = cut(good.groupBy("vector").agg(F.min("id").alias("rep"), F.count("*").alias("n")).select("rep", "n", "vector"))
+def _searched(points: DataFrame, cosine: float) -> tuple[DataFrame, float]:
+    """What ``_linked`` gives, found with enough overlap or from all pairs, and its recall as audited."""
+    spark = points.sparkSession
     total = points.count()
     share = min(1.0, SAMPLE / max(1, total))
-    sample = [r.vector for r in points.filter(F.pmod(F.xxhash64(F.lit("fit"), "rep"), F.lit(1 << 40)) < int(share * (1 << 40))).select("vector").collect()]
-    length = Counter(map(len, sample)).most_common(1)[0][0] if sample else 1
-    points = points.filter(F.size("vector") == length)
-    linked, counts, recall = None, None, 1.0
+    sample: dict[int, list] = {}
+    for r in points.filter(F.pmod(F.xxhash64(F.lit("fit"), "rep"), F.lit(1 << 40)) < int(share * (1 << 40))).select("vector").collect():
+        sample.setdefault(len(r.vector), []).append(r.vector)
     overlap = OVERLAP
-    while sample:
-        k = min(CENTRES, max(1, round(total * overlap / SHARD)))
-        shared = spark.sparkContext.broadcast(centres(unit(np.array([v for v in sample if len(v) == length], np.float64)), k))
-        linked = cut(_linked(points, shared, overlap, cosine))
-        counts = linked.filter("v is null").groupBy("u").agg(F.sum("n").alias("n_links"))
-        recall = _audit(points, counts, total, cosine)
-        overlap *= 2
+    while True:
+        fitted, first = {}, 0
+        for length, rows in sorted(sample.items()):
+            k = min(max(1, CENTRES * len(rows) // SAMPLE), max(1, round(len(rows) / share * overlap / SHARD)))
+            fitted[length] = (first, centres(unit(np.array(rows, np.float64)), k))
+            first += len(fitted[length][1])
+        linked = cut(_linked(points, spark.sparkContext.broadcast(fitted), overlap, cosine))
+        recall = _audit(points, _counts(linked), total, cosine)
         if recall >= RECALL:
-            break
-        if overlap > min(OVERLAP_MOST, 2 * k):
-            one = spark.sparkContext.broadcast(np.zeros((1, length)))
-            linked, recall = cut(_linked(points, one, 1, cosine, exact=True)), 1.0
-            counts = linked.filter("v is null").groupBy("u").agg(F.sum("n").alias("n_links"))
-            break
-    edges = linked.filter("v is not null").select("u", "v") if counts is not None else None
-    if counts is None:
-        classes = points.select("vector", F.lit(0).cast("long").alias("links"), F.col("rep").alias("component"))
-    else:
-        found = components(edges)
-        classes = points.join(counts, points.rep == counts.u).join(found, points.rep == found.node, "left").select("vector", (F.col("n_links") + F.col("n") - 1).alias("links"), F.coalesce("component", "rep").alias("component"))
+            return linked, recall
+        overlap *= 2
+        if overlap > min(OVERLAP_MOST, 2 * first):
+            return cut(_linked(points, spark.sparkContext.broadcast({}), 1, cosine, exact=True)), 1.0
+
+
+def _counts(linked: DataFrame) -> DataFrame:
+    return linked.filter("v is null").groupBy("u").agg(F.sum("n").alias("n_links"))
+
+
+def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding", cosine: float = COSINE) -> DataFrame:
+    """(key, n_links, component_id, kept, audited_recall) of each row. Vectors of unlike length link with nothing."""
+    spark = ship(df.sparkSession)
+    kind = "array<float>" if df.schema[vector].dataType.simpleString() == "array<float>" else "array<double>"
+    rows = df.select(F.col(key).cast("long").alias("id"), F.col(vector).cast(kind).alias("vector"))
+    classes = valid(rows, "vector").groupBy("vector").agg(F.min("id").alias("least"), F.count("*").alias("n"))
+    # The numbers hold since what is cut is written.
+    points = cut(classes.select(F.monotonically_increasing_id().alias("rep"), "least", "n", "vector"))
+    linked, recall = _searched(points.select("rep", "n", "vector"), cosine)
+    found, counts = components(linked.filter("v is not null").select("u", "v")), _counts(linked)
+    rooted = cut(points.join(counts, points.rep == counts.u).join(found, points.rep == found.node, "left").select("vector", "least", (F.col("n_links") + F.col("n") - 1).alias("links"), F.coalesce("component", "rep").alias("root")))
+    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("vector", "links", "component_id")
     # Rows that link with nothing must not meet a class: their vectors are none of its.
-    joined = rows.join(cut(classes), "vector", "left")
-    out = joined.select(F.col("id").alias(key), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "id").alias("component_id"))
-    return out.withColumn("kept", F.col(key) == F.col("component_id")).withColumn("audited_recall", F.lit(float(recall)))
+    out = rows.join(named, "vector", "left").select(F.col("id").alias(key), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
+    return out.withColumn("kept", F.col(key).eqNullSafe(F.col("component_id"))).withColumn("audited_recall", F.lit(float(recall)))

@@ -32,15 +32,17 @@ def op2_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings")).select("vec_id", "n_links", "component_id", "kept")
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings")).select("vec_id", "n_links", "component_id", "kept", "audited_recall")
 
 
 OP3_SQL = """
-WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
-p AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.95),
+WITH RECURSIVE t AS (SELECT row_number() OVER () AS n, vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+v AS (SELECT * FROM t WHERE len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(e, lambda x: x <> 0)) > 0),
+p AS (SELECT a.n AS a, b.n AS b FROM v a JOIN v b ON a.n <> b.n AND len(a.e) = len(b.e) WHERE list_cosine_similarity(a.e, b.e) >= 0.95),
 reach(node, r) AS (SELECT DISTINCT a, a FROM p UNION SELECT p.b, reach.r FROM reach JOIN p ON p.a = reach.node),
-c AS (SELECT node, min(r) AS component FROM reach GROUP BY node), n AS (SELECT a, count(*) AS k FROM p GROUP BY a)
-SELECT vec_id, coalesce(k, 0)::BIGINT AS n_links, coalesce(component, vec_id) AS component_id, coalesce(component, vec_id) = vec_id AS kept FROM embeddings LEFT JOIN n ON n.a = vec_id LEFT JOIN c ON c.node = vec_id
+c AS (SELECT node, min(vec_id) AS component FROM reach JOIN v ON v.n = r GROUP BY node), k AS (SELECT a, count(*) AS links FROM p GROUP BY a)
+SELECT vec_id, coalesce(links, 0)::BIGINT AS n_links, CASE WHEN node IS NULL THEN vec_id ELSE component END AS component_id,
+vec_id IS NOT DISTINCT FROM CASE WHEN node IS NULL THEN vec_id ELSE component END AS kept, 1.0::DOUBLE AS audited_recall FROM t LEFT JOIN k ON k.a = t.n LEFT JOIN c ON c.node = t.n
 """
 
 
@@ -95,8 +97,22 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 OP7_SQL = """
-SELECT conv_id, turn, turn AS place, 0 AS rank, coalesce(role, '') AS role, 0 AS n_calls, 0 AS n_linked, 0 AS n_invalid,
-to_json({'content': coalesce(text, ''), 'role': coalesce(role, '')})::VARCHAR AS message FROM conversations
+WITH m AS (SELECT row_number() OVER () AS n, conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text, ltrim(coalesce(text, '')) LIKE '{%' AND json_valid(coalesce(text, '')) AS object FROM conversations),
+j AS (SELECT *, CASE WHEN object AND role = 'assistant' THEN text::JSON END AS a, CASE WHEN object AND role = 'tool' THEN text::JSON END AS b FROM m),
+k AS (SELECT n, conv_id, turn, unnest(json_extract(a, '$.tool_calls[*]')) AS c, unnest(range(len(json_extract(a, '$.tool_calls[*]')))) AS slot FROM j WHERE a IS NOT NULL),
+c AS (SELECT n, conv_id, turn, slot, c ->> '$.id' AS id, c ->> '$.name' AS name, coalesce(c ->> '$.arguments', '{}') AS raw FROM k WHERE coalesce(c ->> '$.id', c ->> '$.name', c ->> '$.arguments') IS NOT NULL),
+f AS (SELECT conv_id, id, min(turn) AS called FROM c WHERE id IS NOT NULL GROUP BY conv_id, id),
+r AS (SELECT j.*, b ->> '$.tool_call_id' AS answers, f.id IS NOT NULL AS linked, called FROM j LEFT JOIN f ON j.conv_id IS NOT DISTINCT FROM f.conv_id AND f.id = b ->> '$.tool_call_id'),
+d AS (SELECT DISTINCT conv_id, answers, called FROM r WHERE linked),
+g AS (SELECT c.n, count(*) AS n_calls, sum((d.answers IS NOT NULL)::INT) AS n_linked,
+  string_agg('{"arguments":' || to_json(CASE WHEN json_valid(raw) AND json_type(raw) = 'OBJECT' THEN '{' || array_to_string(list_transform(list_sort(json_keys(raw)), lambda x: to_json(x)::VARCHAR || ':' || json_extract(raw::JSON, '/' || replace(replace(x, '~', '~0'), '/', '~1'))::VARCHAR), ',') || '}' ELSE raw END)::VARCHAR
+    || coalesce(',"id":' || to_json(c.id)::VARCHAR, '') || coalesce(',"name":' || to_json(name)::VARCHAR, '') || '}', ',' ORDER BY slot) AS calls
+  FROM c LEFT JOIN d ON c.conv_id IS NOT DISTINCT FROM d.conv_id AND c.id = d.answers AND c.turn IS NOT DISTINCT FROM d.called GROUP BY c.n)
+SELECT conv_id, turn, greatest(turn, called) AS place, (answers IS NOT NULL)::INT AS rank, role, coalesce(n_calls, 0)::INT AS n_calls,
+CASE WHEN answers IS NOT NULL THEN linked::INT ELSE coalesce(n_linked, 0)::INT END AS n_linked, coalesce(n_calls, 0)::INT AS n_invalid,
+'{"content":' || to_json(CASE WHEN n_calls > 0 THEN coalesce(a ->> '$.content', '') WHEN answers IS NOT NULL THEN coalesce(b ->> '$.content', '') ELSE text END)::VARCHAR || ',"role":' || to_json(role)::VARCHAR
+|| coalesce(',"tool_call_id":' || to_json(answers)::VARCHAR, '') || coalesce(',"tool_calls":[' || calls || ']', '') || '}' AS message
+FROM r LEFT JOIN g USING (n)
 """
 
 
