@@ -46,7 +46,7 @@ def unseen(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """What each document encodes to, checked by decoding."""
     path = tokenizer_file()
-    coded = bpe.decode(bpe.encode(docs.select("doc_id", "text"), path).drop("text"), path)
+    coded = bpe.encode(docs.select("doc_id", "text"), path, decoded="decoded", keep_text=False)
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), bpe.ids_digest(F.col("ids")).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
