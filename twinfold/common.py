@@ -1,11 +1,12 @@
-"""Session helpers shared by every operator: table access, lineage cuts, module shipping."""
+"""Session helpers shared by every operator: table access, lineage cuts, shared folders, module shipping."""
 
 from __future__ import annotations
 
 import tempfile
 from pathlib import Path
+from uuid import uuid4
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 ROOT = str(Path(__file__).resolve().parent.parent)
 
@@ -28,24 +29,71 @@ def ship(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def _file_system(spark: SparkSession, path: str) -> tuple:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder wherever Spark's file systems reach."""
+    files, at = _file_system(spark, path)
+    files.delete(at, True)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    files, at = _file_system(spark, path)
+    return files.exists(at)
+
+
+def remove_at_exit(spark: SparkSession, path: str) -> None:
+    """Deletes a folder when the driver ends."""
+    files, at = _file_system(spark, path)
+    files.mkdirs(at)
+    files.deleteOnExit(at)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, from ``spark.checkpoint.dir``.
 
-    A folder of our own is set only where the session names none, which is the case in local tests.
+    A temporary folder is made only where the session names none and runs on one machine, as in tests.
     """
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     if not sc._jsc.sc().getCheckpointDir().isDefined():
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="twinfold-checkpoint-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder in the shared one, deleted when the driver ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid4().hex}"
+    remove_at_exit(spark, path)
+    return path
+
+
+_marked: set[str] = set()
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: the rows go to the shared folder, so a lost executor loses nothing."""
+    """Reliable checkpoint: the rows go to the shared folder, so a lost executor loses nothing. Deleted when the driver ends."""
     spark = df.sparkSession
     at = shared_dir(spark)
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(at)
+    own = spark.sparkContext._jsc.sc().getCheckpointDir().get()
+    if own not in _marked:
+        _marked.add(own)
+        remove_at_exit(spark, own)
     return df.checkpoint(eager=True)
+
+
+def written(df: DataFrame, *measures: Column) -> tuple[DataFrame, str, dict]:
+    """The rows as a Parquet table in the shared folder: read again, its path, and measures taken while writing."""
+    spark, path = df.sparkSession, scratch(df.sparkSession, "table")
+    seen = Observation() if measures else None
+    (df.observe(seen, *measures) if measures else df).write.mode("overwrite").parquet(path)
+    return spark.read.schema(df.schema).parquet(path), path, seen.get if measures else {}
