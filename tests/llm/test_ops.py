@@ -128,7 +128,17 @@ def test_near_duplicates_edge_cases(spark):
     assert simhash.near_duplicates(df.filter("false")).count() == 0
     odd = df.unionByName(df.filter("doc_id in (0, 7)")).unionByName(df.filter("doc_id = 7").withColumn("doc_id", F.lit(None).cast("long")))
     kept = [r.doc_id for r in simhash.deduplicate(odd).collect()]
-    assert sorted(k for k in kept if k is not None) == sorted(set(brute_links(fps, lambda a, b: (a ^ b).bit_count() <= 3))) and kept.count(None) == 1
+    assert sorted(kept, key=str) == sorted(set(brute_links(fps, lambda a, b: (a ^ b).bit_count() <= 3)), key=str)
+
+
+@pytest.mark.parametrize("most", [500_000, 0])
+def test_deduplication_decides_by_row(spark, monkeypatch, most):
+    monkeypatch.setattr(simhash, "BROADCAST", most)
+    rng = random.Random(17)
+    a, b, c, d = (prose(rng, ["an", "the", "or", "ing", "ble", "st"], 60) for _ in range(4))
+    rows = [(2, a), (5, a), (5, b), (5, b), (None, c), (None, c), (None, a), (9, d), (None, d), (3, None), (None, "")]
+    kept = simhash.deduplicate(spark.createDataFrame([(k, t, "en", None, None) for k, t in rows], DOC)).collect()
+    assert sorted((str(r.doc_id), r.text) for r in kept if r.text) == sorted([("2", a), ("5", b), ("None", c), ("9", d)]) and [r.doc_id for r in kept if not r.text] == [3]
 
 
 # Embeddings
@@ -347,16 +357,41 @@ def test_decontamination_against_brute_force(spark):
     items = [(k, text(rng.randrange(10, 40))) for k in range(6)] + [(90, "only four words, HERE"), (91, ""), (92, None), (93, "one"), (94, text(9)), (None, text(20)), (9, "x y " * 15)]
     texts = [None, "", "one", "two", LONG, "x y " * 30] + [text(rng.randrange(1, 60)) for _ in range(25)]
     texts += [text(20) + " \n " + items[k % 6][1].upper().replace(" ", "; ") + " " + text(15) for k in range(10)] + ["so only four words, here too"]
-    df = docs(spark, texts).withColumn("items", F.lit("clash"))
+    df = docs(spark, texts).withColumn("items", F.lit("clash")).withColumn("n_words", F.lit("clash"))
     bench = spark.createDataFrame([(k, t) for k, t in items], "item_id long, text string")
-    got = {r.doc_id: (r.n_words, r.n_hit, list(r["items"])) for r in decontam.report(df, bench).collect()}
-    want = {k: brute_decontam(t, [x for x in items if x[0] is not None]) for k, t in enumerate(texts)}
-    assert got == want
+    got = {r.doc_id: (r.n_words, r.n_hit, r.n_items, list(r["items"])) for r in decontam.report(df, bench).collect()}
+    want = {k: brute_decontam(t, items) for k, t in enumerate(texts)}
+    assert got == {k: (n, h, len(found), sorted(x for x in found if x != "None")) for k, (n, h, found) in want.items()}
     kept = {r.doc_id for r in decontam.decontaminate(df, bench).collect()}
     assert kept == {k for k, v in want.items() if not v[1]}
     assert decontam.report(df, bench.filter("false")).filter("contaminated").count() == 0 and decontam.report(df.filter("false"), bench).count() == 0
 
 
+def test_decontamination_of_repeated_and_null_keys_equals_its_sql(spark, tmp_path):
+    rng = random.Random(16)
+    item = prose(rng, ["an", "the", "or", "ing"], 30)
+    words = item.split()
+    rows = [(7, "clean words only"), (7, item), (7, " ".join(words[3:15]) + " x"), (None, item.upper()), (None, "clean"), (None, None), (8, item), (8, item), (9, None), (10, "four short words here")]
+    items = [(1, item), (1, item), (2, " ".join(words[:20])), (None, " ".join(words[10:])), (None, "short words"), (3, "Short words"), (4, None), (5, "")]
+    df = spark.createDataFrame([(k, t, None, None, None) for k, t in rows], DOC)
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    bench.write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = as_dicts(queries.op5_decontam(spark, str(tmp_path)))
+    assert got == run_sql(queries.OP5_SQL, documents=("doc_id BIGINT, text VARCHAR", rows), benchmark=("item_id BIGINT, text VARCHAR", items))
+    assert sorted((str(r.doc_id), str(r.text)) for r in decontam.decontaminate(df, bench).collect()) == [("7", "clean words only"), ("9", "None"), ("None", "None"), ("None", "clean")]
+
+
+def test_decontamination_of_long_texts_that_repeat_themselves(spark, monkeypatch):
+    rows = [(0, "x y " * 100_000, None, None, None), (1, "x y " * 7, None, None, None), (2, "y x " * 50 + "z", None, None, None)]
+    df, bench = spark.createDataFrame(rows, DOC), spark.createDataFrame([(1, "x y " * 15)], "item_id long, text string")
+    want = [(0, 200_000, 200_000, ["1"]), (1, 14, 14, ["1"]), (2, 101, 100, ["1"])]
+    for most in (500_000, 0):
+        monkeypatch.setattr(decontam, "BROADCAST", most)
+        assert sorted((r.doc_id, r.n_words, r.n_hit, list(r["items"])) for r in decontam.report(df, bench).collect()) == want
+        assert decontam.decontaminate(df, bench).count() == 0
+
+
 # WARC
 
 
@@ -367,11 +402,11 @@ def test_warc_round_trip(spark, tmp_path):
     warc.write(warc.plan(pages), at)
     rows = warc.assemble(warc.read(spark, at)).collect()
     assert len(rows) == len(htmls)
-    bodies = {int(re.search(r"page: (\d+)", r.metadata.text)[1]): r for r in rows}
+    bodies = {int(re.search(r"page: (\d+)", r.metadata[0].text)[1]): r for r in rows}
     for k, h in enumerate(htmls):
         data = (h or "").encode()
         last = max(j for j, o in enumerate(htmls) if (o or "") == (h or ""))
-        assert bodies[k].warc_type == ("response" if k == last else "revisit") and bodies[k].request.text.startswith("GET ")
+        assert bodies[k].warc_type == ("response" if k == last else "revisit") and bodies[k].request[0].text.startswith("GET ")
         if k == last:
             import base64
 
@@ -384,10 +419,33 @@ def test_warc_round_trip(spark, tmp_path):
     assert warc.plan(pages.filter("false")).count() == 0
 
 
+def test_warc_of_repeated_and_null_keys_equals_its_sql(spark, tmp_path):
+    rows = [(5, "u", "AAA"), (5, "u", "AAA"), (3, "v", "AAA"), (None, None, "AAA"), (None, None, "BBB"), (None, "w", "BBB"), (6, "x", None), (6, "x", ""), (7, "y", "CCC"), (7, "z", "DDD"), (8, "z", "DDD")]
+    spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, html string, digest string").write.parquet(str(tmp_path / "pages.parquet"))
+    assert as_dicts(queries.op6_warc(spark, str(tmp_path))) == run_sql(queries.OP6_SQL, pages=("page_id BIGINT, url VARCHAR, html VARCHAR", rows))
+    spark.createDataFrame([], "page_id long, url string, html string").write.parquet(str(tmp_path / "none" / "pages.parquet"))
+    assert queries.op6_warc(spark, str(tmp_path / "none")).count() == 0
+
+
+def test_warc_links_in_either_direction_and_repeated_headers(spark, tmp_path):
+    import gzip
+
+    def record(kind, ident, names, block=b"x"):
+        named = "".join(f"WARC-Concurrent-To: {n}\r\n" for n in names)
+        return f"WARC/1.0\r\nWARC-Type: {kind}\r\nWARC-Record-ID: {ident}\r\n{named}Content-Length: {len(block)}\r\n\r\n".encode() + block + b"\r\n\r\n"
+
+    with gzip.open(tmp_path / "a.warc.gz", "wb") as f:
+        f.write(record("request", "q1", []) + record("response", "r1", ["q1", "m1"]) + record("metadata", "m1", []))
+    with gzip.open(tmp_path / "b.warc.gz", "wb") as f:
+        f.write(record("response", "r2", []) + record("request", "q2", ["r2", "m9"]) + record("metadata", "m2", ["q2"]) + record("metadata", "m3", ["r2"]) + record("metadata", "m4", ["gone"]) + record("response", "r3", []) + record("warcinfo", "i", []))
+    got = {r.record_id: ([x.id for x in r.request], [x.id for x in r.metadata]) for r in warc.assemble(warc.read(spark, str(tmp_path))).collect()}
+    assert got == {"r1": (["q1"], ["m1"]), "r2": (["q2"], ["m2", "m3"]), "r3": ([], [])}
+
+
 def test_warc_parser_rejects_cut_files():
-    lines = b"WARC/1.0\r\nContent-Length: 100\r\n\r\nshort".split(b"\n")
-    with pytest.raises(ValueError):
-        list(warc.parse(("f", x) for x in lines))
+    for text in (b"WARC/1.0\r\nContent-Length: 100\r\n\r\nshort", b"WARC/1.0\r\nWARC-Type: response\r\n\r\n", b"WARC/1.0\r\nContent-Length: x\r\n\r\n"):
+        with pytest.raises(ValueError):
+            list(warc.parse(("f", x) for x in text.split(b"\n")))
 
 
 # Licenses and chat

@@ -10,8 +10,8 @@ forest of their links, never all pairs of a group; components of the forests are
 
 Defined cases: a null or empty text, or one of white space, has fingerprint 0 and is linked like any
 other; texts of fewer words than a shingle have one shingle. Equal fingerprints are one
-point. An empty table gives no rows. A null key takes no part in links and keeps a null component.
-Repeated rows get the same component. Extra columns are not carried: join the result on the key.
+point. An empty table gives no rows. Rows with a null key are linked like any other; a component is
+named by the least key in it, null where it has none. Repeated rows get the same component. Extra columns are not carried: join the result on the key.
 """
 
 from __future__ import annotations
@@ -22,9 +22,9 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from twinfold.common import cut, ship
+from twinfold.common import cut, ship, written
 from twinfold.llm.bpe import slices
 from twinfold.llm.memory import tidy
 from twinfold.operators.components import components
@@ -33,6 +33,8 @@ from twinfold.operators.components import components
 SHINGLE, SEED, BITS = 3, 42, 3
 #: Fingerprints that the trees are grown on, members of a leaf aimed at, deepest tree, members of a tile.
 SAMPLE, LEAF, DEPTH, TILE = 65_536, 1_024, 12, 16_384
+#: Rows of key and hash that are sent to all executors; more are joined by a shuffle.
+BROADCAST = 500_000
 #: Shingle hashes summed at once, rows compared at once.
 BLOCK, ROWS = 32_768, 256
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -54,18 +56,18 @@ def fingerprint(text: str | None, size: int = SHINGLE, seed: int = SEED) -> int:
     return int(np.packbits(counts * 2 > len(starts), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(df: DataFrame, text: str = "text", key: str = "doc_id", size: int = SHINGLE, seed: int = SEED) -> DataFrame:
-    """(key, fp): the fingerprint of each row as the bit pattern of a long."""
+def fingerprints(df: DataFrame, text: str = "text", key: str = "doc_id", size: int = SHINGLE, seed: int = SEED, more: tuple[str, ...] = ()) -> DataFrame:
+    """(key, fp) and the other columns named: the fingerprint of each row as the bit pattern of a long."""
     ship(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, text):
                 found = np.array([fingerprint(t, size, seed) for t in part.column(text).to_pylist()], np.uint64)
-                yield pa.RecordBatch.from_arrays([part.column(key), pa.array(found.view(np.int64), pa.int64())], names=[key, "fp"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in (key, *more)), pa.array(found.view(np.int64), pa.int64())], names=[key, *more, "fp"])
 
-    kind = df.schema[key].dataType.simpleString()
-    return df.select(key, text).mapInArrow(tidy(run), f"`{key}` {kind}, fp long")
+    kept = [T.StructField(c, df.schema[c].dataType) for c in (key, *more)]
+    return df.select(key, text, *more).mapInArrow(tidy(run), T.StructType([*kept, T.StructField("fp", T.LongType())]))
 
 
 def hexed(fp: Column) -> Column:
@@ -195,27 +197,47 @@ def links(points: DataFrame, most: int = BITS) -> DataFrame:
         us, vs = forest(fps, rows.column("home").to_numpy(), most)
         return pa.table({"u": pa.array(reps[us] if us else [], pa.int64()), "v": pa.array(reps[vs] if vs else [], pa.int64())})
 
-    dealt = points.filter("rep is not null").select("fp", "rep").mapInArrow(deal, "leaf long, tile long, fp long, rep long, home boolean")
+    dealt = points.select("fp", "rep").mapInArrow(deal, "leaf long, tile long, fp long, rep long, home boolean")
     return dealt.groupBy("leaf", "tile").applyInArrow(join, "u long, v long")
 
 
+def _components(rows: DataFrame, key: str, most: int) -> DataFrame:
+    """(fp, component, least): of each fingerprint among the rows, the least one reachable over links, and the least key there."""
+    # A fingerprint is its own number: keys may repeat or be null.
+    points = cut(rows.groupBy("fp").agg(F.min(F.col(key).cast("long")).alias("least")).withColumn("rep", F.col("fp")))
+    found = components(links(points, most))
+    rooted = cut(points.join(found, points.rep == found.node, "left").select("fp", F.coalesce("component", "fp").alias("component"), "least"))
+    return rooted.drop("least").join(rooted.groupBy("component").agg(F.min("least").alias("least")), "component")
+
+
 def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", size: int = SHINGLE, seed: int = SEED, most: int = BITS) -> DataFrame:
     """(key, fp, component_id) of each row; the component is the least key reachable over links."""
     rows = cut(fingerprints(df, text, key, size, seed))
-    points = cut(rows.groupBy("fp").agg(F.min(F.col(key).cast("long")).alias("rep")))
-    found = components(links(points, most))
-    named = points.join(found, points.rep == found.node, "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return rows.join(named, "fp").select(key, "fp", F.when(F.col(key).isNotNull(), F.col("component_id")).alias("component_id"))
+    named = cut(_components(rows, key, most).select("fp", F.col("least").alias("component_id")))  # so that Spark can split a hot fingerprint
+    return rows.join(named, "fp").select(key, "fp", "component_id")
 
 
 def deduplicate(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """``df`` with one row of each group of near-duplicates, that of the least key; rows with a null key stay.
+    """``df`` with one row of each group of near-duplicates, of those with the least key one; a null key is more than any other.
 
-    Of rows that repeat a key, one stays.
+    What goes is told by key and a hash of the text, and sent to the texts while it is at most BROADCAST rows.
     """
-    found = cut(near_duplicates(df, text, key))
-    kept = df.join(found.filter(F.col("component_id") != F.col(key)).select(key).distinct(), key, "left_anti")
-    repeated = cut(found.filter(F.col(key).isNotNull()).groupBy(key).count().filter("count > 1").select(key))
-    if not repeated.isEmpty():
-        kept = kept.join(repeated, key, "left_anti").unionByName(kept.join(repeated, key, "left_semi").dropDuplicates([key]))
+    mark = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
+    prints = fingerprints(df.select(F.col(key), F.col(text), mark.alias("mark")), text, key, more=("mark",))
+    rows = written(prints.groupBy(key, "mark").agg(F.min("fp").alias("fp"), F.count(F.lit(1)).alias("n")))[0]
+    named = rows.join(_components(rows, key, BITS).select("fp", "component"), "fp")
+    order = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), F.col("mark"))
+    best = named.groupBy("component").agg(F.min(order).alias("best"))
+    told = named.join(best, "component").select(key, "mark", "n", (order == F.col("best")).alias("stays"))
+    told, path, seen = written(told.filter("not stays or n > 1"), F.count(F.when(~F.col("stays"), 1)).alias("go"), F.count(F.when(F.col("stays"), 1)).alias("again"))
+
+    def joined(left: DataFrame, right: DataFrame, n: int, how: str) -> DataFrame:
+        few = right.select(F.col(key).alias("_key"), F.col("mark").alias("_mark"))
+        return left.join(F.broadcast(few) if n <= BROADCAST else few, F.col(key).eqNullSafe(F.col("_key")) & (mark == F.col("_mark")), how)
+
+    kept = joined(df, told.filter("not stays"), seen["go"], "left_anti")
+    if seen["again"]:
+        again = told.filter("stays")
+        one = joined(kept, again, seen["again"], "left_semi").withColumn("_mark", mark).dropDuplicates([key, "_mark"]).drop("_mark")
+        kept = joined(kept, again, seen["again"], "left_anti").unionByName(one)
     return kept.select(*df.columns)
