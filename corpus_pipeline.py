@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-from uuid import uuid4
-
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from twinfold.common import shared_dir, ship, table
+from twinfold.common import exists, remove, scratch, ship, table
 from twinfold.llm import bpe, decontam, langid, simhash, toxicity
 from twinfold.llm.queries import tokenizer_file
 from twinfold.llm.sampling import remainder
@@ -56,12 +54,21 @@ STAGES = [("language", language), ("toxicity", clean), ("near_duplicates", uniqu
 ORACLE_SQL = None
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to ``documents``; what each returns is written to the shared folder and read again."""
+def run(spark: SparkSession, sf_dir: str, at: str | None = None) -> DataFrame:
+    """Applies the stages to ``documents``; what each returns is written to the shared folder and read again.
+
+    A stage's folder is deleted when the next is written. With a folder of the caller's, ``at``, a run that failed
+    goes on after the last stage that it finished; else the folder is deleted when the driver ends.
+    """
     ship(spark)
-    docs, at = table(spark, sf_dir, "documents"), f"{shared_dir(spark)}/pipeline-{uuid4().hex}"
+    docs, folder = table(spark, sf_dir, "documents"), at or scratch(spark, "pipeline")
+    done = [k for k in range(len(STAGES)) if exists(spark, f"{folder}/{k}/_SUCCESS")]
     for k, (_, stage) in enumerate(STAGES):
-        path = f"{at}/{k}"
-        stage(spark, docs, sf_dir).write.mode("overwrite").parquet(path)
-        docs = spark.read.parquet(path)
+        path = f"{folder}/{k}"
+        if not done or k > done[-1]:
+            stage(spark, docs, sf_dir).write.mode("overwrite").parquet(path)
+            if k:
+                remove(spark, f"{folder}/{k - 1}")
+        if not done or k >= done[-1]:
+            docs = spark.read.parquet(path)
     return docs
