@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from itertools import combinations
+from math import comb
+
 from pyspark.sql import Column, functions as F
 
 
@@ -35,3 +38,36 @@ def bands(x: Column, most: int) -> Column:
     """most + 1 slices of the bits, each with its number: hashes within ``most`` bits agree in one at least."""
     edges = [round(64 * k / (most + 1)) for k in range(most + 2)]
     return F.array(*(F.struct(F.lit(k).alias("band"), F.shiftrightunsigned(F.shiftleft(x, 64 - b), 64 - b + a).alias("bits")) for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False))))
+
+
+def widths(slices: int) -> list[int]:
+    """Bits of each of so many slices."""
+    edges = [round(64 * k / slices) for k in range(slices + 1)]
+    return [b - a for a, b in zip(edges, edges[1:], strict=False)]
+
+
+def slices_for(n: int, most: int, probes: int = 5_000) -> int:
+    """Into how many slices to cut ``n`` hashes, so that probes and candidates together are fewest.
+
+    Of m slices, hashes within ``most`` bits differ in at most most // m bits of one: few wide slices are
+    probed often and meet few others by chance, many narrow ones the other way round.
+    """
+
+    def cost(m: int) -> float:
+        ball = [(w, sum(comb(w, k) for k in range(min(w, most // m) + 1))) for w in widths(m)]
+        return n * sum(b for _, b in ball) + n * n / 2 * sum(b / 2**w for w, b in ball) if max(b for _, b in ball) <= probes else float("inf")
+
+    return min(range(1, min(64, most + 1) + 1), key=cost)
+
+
+def probed(x: Column, slices: int, radius: int) -> Column:
+    """Of each slice, its number with all bits within ``radius`` of it."""
+
+    own = bands(x, slices - 1)
+
+    def near(k: int, w: int) -> Column:
+        found = [sum(1 << i for i in c) for r in range(min(w, radius) + 1) for c in combinations(range(w), r)]
+        masks = F.from_json(F.lit(str(found)), "array<bigint>")
+        return F.transform(masks, lambda m: F.struct(F.lit(k).alias("band"), F.get(own, k)["bits"].bitwiseXOR(m).alias("bits")))
+
+    return F.flatten(F.array(*(near(k, w) for k, w in enumerate(widths(slices)))))

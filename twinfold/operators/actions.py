@@ -4,27 +4,47 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from twinfold.functions.names import extension, stem
+from twinfold.functions.names import stem
 
 
 def plan_delete(files: DataFrame) -> DataFrame:
     return files.select(F.lit("delete").alias("action"), F.col("full_path").alias("path"), F.col("length").alias("bytes"))
 
 
-def plan_move(files: DataFrame, target: str) -> DataFrame:
-    """Destinations in one folder; the second file of a name gets the suffix (1), and so on, by path order.
+def plan_move(files: DataFrame, target: str, existing: DataFrame | None = None) -> DataFrame:
+    """Destinations in one folder, no two the same, any case, and none that ``existing`` (file_name) has there.
 
-    A name that a suffix makes may be one that another file has: the folder is checked again when files move.
+    The first file of a name, by path, keeps it. Each further one gets the next number that no file's own name and
+    no existing one has: its own place among them, and one more for each taken number on the way.
     """
-    nth = F.row_number().over(Window.partitionBy(F.lower("file_name")).orderBy("full_path")) - 1
-    name = F.when(nth == 0, F.col("file_name")).otherwise(F.concat(stem(F.col("file_name")), F.lit(" ("), nth.cast("string"), F.lit(")"), F.regexp_extract("file_name", r"(\.[^.]*)$", 1)))
-    return files.select(F.lit("move").alias("action"), F.col("full_path").alias("path"), F.col("length").alias("bytes"), F.concat(F.lit(target.rstrip("/") + "/"), name).alias("destination"))
+    ending = r"(\.[^.]*)$"
+    rows = files.select("full_path", "length", "file_name", F.lower("file_name").alias("_own"), F.lower(F.concat(stem(F.col("file_name")), F.lit("/"), F.regexp_extract("file_name", ending, 1))).alias("_base"))
+    there = existing.select(F.lower("file_name").alias("_own")).distinct() if existing is not None else None
+    names = rows.select("_own").unionByName(there) if there is not None else rows.select("_own")
+    # "stem (7).end" takes the number 7 of "stem.end".
+    parts = names.distinct().select(F.regexp_extract("_own", r"^(.*) \(([1-9]\d{0,8})\)((?:\.[^.]*)?)$", 1).alias("s"), F.regexp_extract("_own", r"^(.*) \(([1-9]\d{0,8})\)((?:\.[^.]*)?)$", 2).alias("k"), F.regexp_extract("_own", r"^(.*) \(([1-9]\d{0,8})\)((?:\.[^.]*)?)$", 3).alias("e")).filter("k <> ''")
+    taken = parts.select(F.concat_ws("/", "s", "e").alias("_base"), F.col("k").cast("long").alias("k"))
+    by = Window.partitionBy("_base")
+    free = taken.withColumn("_n", F.col("k") - F.row_number().over(by.orderBy("k"))).select("_base", F.col("_n").alias("_at"), F.lit(1).alias("_taken"))
+    nth = F.row_number().over(by.orderBy("full_path"))
+    numbered = rows.join(there.withColumn("_there", F.lit(1)), "_own", "left").withColumn("_at", (nth - F.when(F.col("_there").isNull(), 1).otherwise(0)).cast("long")) if there is not None else rows.withColumn("_at", (nth - 1).cast("long"))
+    # A taken number counts for those whose place comes after the free numbers before it.
+    both = numbered.select("full_path", "length", "file_name", "_base", "_at", F.lit(0).alias("_taken")).unionByName(free, allowMissingColumns=True)
+    over = F.sum("_taken").over(by.orderBy("_at", "_taken").rowsBetween(Window.unboundedPreceding, 0))
+    told = both.withColumn("_k", F.col("_at") + over).filter("_taken = 0")
+    name = F.when(F.col("_at") == 0, F.col("file_name")).otherwise(F.concat(stem(F.col("file_name")), F.lit(" ("), F.col("_k").cast("string"), F.lit(")"), F.regexp_extract("file_name", ending, 1)))
+    return told.select(F.lit("move").alias("action"), F.col("full_path").alias("path"), F.col("length").alias("bytes"), F.concat(F.lit(target.rstrip("/") + "/"), name).alias("destination"))
 
 
 def report(outcomes: DataFrame) -> DataFrame:
-    """(succeeded, bytes_freed, errors) of (path, bytes, error) rows."""
+    """(succeeded, bytes_freed, n_errors) of (path, bytes, error) rows."""
     ok = F.col("error").isNull()
-    return outcomes.agg(F.count_if(ok).alias("succeeded"), F.coalesce(F.sum(F.when(ok, F.col("bytes"))), F.lit(0)).alias("bytes_freed"), F.sort_array(F.collect_list(F.when(~ok, F.concat_ws(": ", "path", "error")))).alias("errors"))
+    return outcomes.agg(F.count_if(ok).alias("succeeded"), F.coalesce(F.sum(F.when(ok, F.col("bytes"))), F.lit(0)).alias("bytes_freed"), F.count_if(~ok).cast("int").alias("n_errors"))
+
+
+def errors(outcomes: DataFrame) -> DataFrame:
+    """(path, message) of what failed, a row each."""
+    return outcomes.filter("error is not null").select("path", F.concat_ws(": ", "path", "error").alias("message"))
 
 
 def after(members: DataFrame, files: DataFrame, gone: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ Working form: members (group_key, pos, file_id) and reasons (group_key, method,
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from twinfold.common import cut
 from twinfold.options import METHODS
@@ -51,14 +51,12 @@ def measured(members: DataFrame, reasons: DataFrame, files: DataFrame) -> DataFr
     return g.join(r.select("group_key", F.col("f.method").alias("method"), "methods", "similarity", F.col("f.signature").alias("signature")), "group_key")
 
 
-def ranked(groups: DataFrame) -> DataFrame:
-    """Groups with their ordinal: most reclaimable first, then most files, then the least file.
+def numbered(rows: DataFrame, *order: Column) -> DataFrame:
+    """Rows with their ordinal in an order that has no ties.
 
     Ordinals come from range partitions and their counts, not from one task that holds all rows.
     """
-    order = [F.desc("reclaimable_bytes"), F.desc("n_files"), F.asc("group_id")]
-    dealt = groups.repartitionByRange(*order).withColumn("_p", F.spark_partition_id())
-    dealt = cut(dealt)
+    dealt = cut(rows.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()))
     counts = {r._p: r["count"] for r in dealt.groupBy("_p").count().collect()}
     before, total = {}, 0
     for p in sorted(counts):
@@ -68,6 +66,27 @@ def ranked(groups: DataFrame) -> DataFrame:
     return dealt.join(F.broadcast(base), "_p").withColumn("ordinal", (within + F.col("_before")).cast("long")).drop("_p", "_before")
 
 
+def ranked(groups: DataFrame) -> DataFrame:
+    """Groups with their ordinal: most reclaimable first, then most files, then the least file."""
+    return numbered(groups, F.desc("reclaimable_bytes"), F.desc("n_files"), F.asc("group_id"))
+
+
+def sorted_by(rows: DataFrame, column: str, descending: bool = False, key: str = "group_id") -> DataFrame:
+    """Rows with their ordinal when a list is sorted by one of its columns; ties by key."""
+    return numbered(rows, F.desc(column) if descending else F.asc(column), F.asc(key))
+
+
+def reasons_shown(reasons: DataFrame) -> DataFrame:
+    """Reasons with their place within the group as it is shown: greatest similarity first, then by method."""
+    by = Window.partitionBy("group_key").orderBy(F.desc("similarity"), method_order(F.col("method")), "signature")
+    return reasons.withColumn("place", F.row_number().over(by) - 1)
+
+
+def visible(groups: DataFrame, condition: Column | None = None) -> DataFrame:
+    """One row: how many groups there are, and how many a filter leaves; without one, all."""
+    return groups.agg(F.count(F.lit(1)).alias("n_groups"), F.count_if(condition if condition is not None else F.lit(True)).alias("n_visible"))
+
+
 def nested(members: DataFrame, reasons: DataFrame, files: DataFrame) -> DataFrame:
     """One row per group with its files and reasons as ordered arrays, for sinks."""
     f = members.join(files, "file_id").groupBy("group_key").agg(F.sort_array(F.collect_list(F.struct("pos", *[c for c in files.columns if c != "content"]))).alias("files"))

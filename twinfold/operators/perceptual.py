@@ -1,7 +1,7 @@
 """Perceptual duplicates: hashes or frame sets within a number of bits, found by bands that must agree.
 
-Hashes that differ in at most t bits agree in at least one of t + 1 bands, so an equality join on
-(band, bits) finds every pair; each candidate is verified and counted once. Equal hashes are one node.
+Hashes that differ in at most t bits differ in at most t // m bits of one of m slices, so an equality join on
+(slice, bits near it) finds every pair; each candidate is verified and counted once. Equal hashes are one node.
 """
 
 from __future__ import annotations
@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from twinfold.common import cut
-from twinfold.functions.bits import bands, hamming, hex16
+from twinfold.functions.bits import bands, hamming, hex16, probed, slices_for
 from twinfold.functions.video import frame_match
 from twinfold.operators.components import components
 from twinfold.options import FRAME_MATCH
@@ -18,13 +18,17 @@ from twinfold.options import FRAME_MATCH
 def hash_pairs(points: DataFrame, most: int, key: str = "id", value: str = "h") -> DataFrame:
     """(a, b, bits): pairs of keys with a < b whose hashes differ in at most ``most`` bits; no cross join.
 
-    A pair is kept in the first band that it agrees in, so none comes twice and no distinct is needed.
+    One side is spelt out with all bits near each of its slices, so an equality join finds the other. A pair is kept
+    in the first slice that it is near in, so none comes twice and no distinct is needed. ``points`` is counted first: cut its lineage.
     """
-    banded = points.select(F.col(key).alias("k"), F.col(value).alias("v"), F.explode(bands(F.col(value), most)).alias("s")).select("k", "v", "s.band", "s.bits")
-    a, b = (banded.select(F.col("k").alias(f"k{x}"), F.col("v").alias(f"v{x}"), "band", "bits") for x in "ab")
+    m = slices_for(points.count(), most)
+    r = most // m
+    given = points.select(F.col(key).alias("k"), F.col(value).alias("v"))
+    a = given.select(F.col("k").alias("ka"), F.col("v").alias("va"), F.explode(probed(F.col("v"), m, r)).alias("s")).select("ka", "va", "s.band", "s.bits")
+    b = given.select(F.col("k").alias("kb"), F.col("v").alias("vb"), F.explode(bands(F.col("v"), m - 1)).alias("s")).select("kb", "vb", "s.band", "s.bits")
     met = a.join(b, ["band", "bits"]).filter("ka < kb").withColumn("n", hamming(F.col("va"), F.col("vb"))).filter(F.col("n") <= most)
-    agree = F.transform(F.arrays_zip(bands(F.col("va"), most).alias("x"), bands(F.col("vb"), most).alias("y")), lambda p: p["x"]["bits"] == p["y"]["bits"])
-    return met.filter(F.array_position(agree, True) == F.col("band") + 1).select(F.col("ka").alias("a"), F.col("kb").alias("b"), F.col("n").alias("bits"))
+    near = F.transform(F.arrays_zip(bands(F.col("va"), m - 1).alias("x"), bands(F.col("vb"), m - 1).alias("y")), lambda p: hamming(p["x"]["bits"], p["y"]["bits"]) <= r)
+    return met.filter(F.array_position(near, True) == F.col("band") + 1).select(F.col("ka").alias("a"), F.col("kb").alias("b"), F.col("n").alias("bits"))
 
 
 def image_clusters(files: DataFrame, most: int) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from twinfold.functions.media import media_class
+from twinfold.operators.exact import quick_key, repeated
 
 CLASSES = ["Images", "Videos", "Other"]
 
@@ -52,3 +53,22 @@ def top(groups: DataFrame, n: int = 5) -> DataFrame:
 def import_totals(groups: DataFrame) -> DataFrame:
     """Totals of reloaded groups: all their files count as scanned."""
     return groups.agg(F.sum("n_files").alias("files_scanned"), F.sum(F.col("n_files") - 1).alias("redundant_files"), F.sum("reclaimable_bytes").alias("reclaimable_bytes"))
+
+
+def photo_counts(photos: DataFrame) -> DataFrame:
+    """One row: photos, and those with any flag."""
+    return photos.agg(F.count(F.lit(1)).alias("n_photos"), F.count_if(F.size("flags") > 0).alias("n_flagged"))
+
+
+def selection(files: DataFrame, chosen: DataFrame) -> DataFrame:
+    """One row: how many files are chosen (file_id), each once, and their bytes."""
+    some = files.join(chosen.select("file_id").distinct(), "file_id", "left_semi")
+    return some.agg(F.count(F.lit(1)).alias("n_selected"), F.coalesce(F.sum("length"), F.lit(0)).alias("bytes_selected"))
+
+
+def candidates(files: DataFrame) -> DataFrame:
+    """One row: files and bytes that share a size, so are sampled, and that share the sample too, so are read in full."""
+    quick = repeated(files, ["length"]).withColumn("quick", quick_key(F.col("content"), F.col("length")))
+    sizes = quick.groupBy("length", "quick").agg(F.count(F.lit(1)).alias("n"), F.sum("length").alias("b"))
+    zero = F.lit(0).cast("long")
+    return sizes.agg(F.coalesce(F.sum("n"), zero).alias("n_quick"), F.coalesce(F.sum("b"), zero).alias("bytes_quick"), F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("n"))), zero).alias("n_full"), F.coalesce(F.sum(F.when(F.col("n") > 1, F.col("b"))), zero).alias("bytes_full"))

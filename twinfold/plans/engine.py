@@ -20,7 +20,7 @@ Detector = Callable[[DataFrame, ScanOptions], tuple[DataFrame, DataFrame]]
 
 def _exact(files: DataFrame, o: ScanOptions) -> tuple[DataFrame, DataFrame]:
     if "content" in files.columns:
-        return exact.detect(cut(exact.hashed(files).drop("content")))
+        return exact.detect(cut(exact.hashed(files.filter("content is not null")).drop("content")))
     from twinfold.sources import content
 
     return exact.detect(content.hashed(files)[0])

@@ -21,9 +21,9 @@ def normalized(c: str) -> str:
     return rf"trim(regexp_replace(regexp_replace(regexp_replace(trim(lower({c})), '(?i)[\(\[\{{]?\s*(copy|\d+)\s*[\)\]\}}]?$', ''), '(?i)\b(copy|copie|kopie|kopya|duplicate|final|new|edit|edited)\b', '', 'g'), '[^\p{{L}}\p{{Nd}}]+', ' ', 'g'))"
 
 
-def reach(edges: str) -> str:
-    """Components of an edge list (a, b): node and least node reached."""
-    return f"""s AS (SELECT a, b FROM {edges} UNION SELECT b, a FROM {edges}), reach(node, r) AS (SELECT DISTINCT a, a FROM s UNION SELECT s.b, reach.r FROM reach JOIN s ON s.a = reach.node), cc AS (SELECT node, min(r) AS component FROM reach GROUP BY node)"""
+def reach(edges: str, n: str = "") -> str:
+    """Components of an edge list (a, b): node and least node reached, as ``cc``."""
+    return f"""s{n} AS (SELECT a, b FROM {edges} UNION SELECT b, a FROM {edges}), reach{n}(node, r) AS (SELECT DISTINCT a, a FROM s{n} UNION SELECT s{n}.b, reach{n}.r FROM reach{n} JOIN s{n} ON s{n}.a = reach{n}.node), cc{n} AS (SELECT node, min(r) AS component FROM reach{n} GROUP BY node)"""
 
 
 PARTS = rf"""pn AS (SELECT p_partkey AS file_id, p_name AS file_name, {normalized(r"regexp_replace(p_name, '\.[^.]*$', '')")} AS name FROM part WHERE p_name IS NOT NULL),
@@ -31,6 +31,12 @@ dn AS (SELECT name, min(file_id) AS id FROM pn WHERE name <> '' GROUP BY name),
 np AS (SELECT least(x.id, y.id) AS a, greatest(x.id, y.id) AS b, 1 - levenshtein(x.name, y.name)::DOUBLE / greatest(length(x.name), length(y.name)) AS ratio FROM dn x JOIN dn y ON x.name[1] = y.name[1] AND x.id < y.id),
 ne AS (SELECT * FROM np WHERE ratio >= 0.6)"""
 
+NUMBERED = r"^(.*) \(([1-9]\d{0,8})\)((?:\.[^.]*)?)$"
+#: A pair of videos whose smaller id's frames are counted, with their negative keys in that order.
+SHARES = "SELECT x.file_id AS a, y.file_id AS b, len(list_filter(x.frames, lambda g: len(list_filter(y.frames, lambda q: bit_count(xor(g, q)) <= 2)) > 0)) / least(len(x.frames), len(y.frames)) AS share FROM v x, v y WHERE x.file_id > y.file_id"
+TREE = r"""t AS (SELECT *, folder || '/' || file_name AS path FROM (SELECT doc_id, strlen(coalesce(text, ''))::BIGINT AS length, coalesce(text, '') AS content, 's' || (doc_id % 5)::VARCHAR || CASE WHEN doc_id % 7 = 0 THEN '/.hid' ELSE '' END || CASE WHEN doc_id % 3 = 0 THEN '/deep/er' ELSE '' END AS folder,
+CASE WHEN doc_id % 11 = 0 THEN '.' ELSE '' END || 'f' || doc_id::VARCHAR || CASE WHEN doc_id % 2 = 0 THEN '.TXT' ELSE '.md' END AS file_name FROM documents WHERE doc_id IS NOT NULL))"""
+
 SIZED = "sg AS (SELECT length::VARCHAR AS group_key, row_number() OVER (PARTITION BY length ORDER BY day, file_id) - 1 AS pos, * FROM f WHERE length IN (SELECT length FROM f GROUP BY length HAVING count(*) > 1))"
 
 MERGED = rf"""{FILES}, {SIZED},
@@ -132,13 +138,38 @@ SELECT ordinal, to_json({{'id': ordinal, 'method': method, 'similarity': similar
     "report_csv_rows": f"WITH {MERGED} SELECT rk.ordinal AS group_number, km.pos::INT AS pos, rk.method, CASE WHEN rk.similarity >= 1 THEN '1' ELSE '0.9' END AS similarity_text, km.full_path AS file_path, km.length AS size_bytes, rk.reclaimable_bytes FROM rk JOIN km USING (sk)",
     "session_roundtrip": f"WITH {MERGED} SELECT count(*)::INT AS n_files, any_value(CASE WHEN km.methods = 3 THEN 2 ELSE 1 END)::INT AS n_reasons, min_by(full_path, pos) AS first_path, sum(length)::BIGINT AS total_bytes FROM km GROUP BY sk",
     "session_import_defaults": f"WITH {FILES} SELECT length, count(*)::INT AS n_files, 'ExactContent' AS method, 1.0::DOUBLE AS similarity FROM f GROUP BY length HAVING count(*) > 1",
-    "action_plan_move": rf"WITH {FILES}, {SIZED}, x AS (SELECT *, row_number() OVER (PARTITION BY lower(file_name) ORDER BY full_path) - 1 AS n FROM sg WHERE pos > 0) SELECT 'move' AS action, full_path AS path, length AS bytes, '/trash/' || CASE WHEN n = 0 THEN file_name ELSE regexp_replace(file_name, '\.[^.]*$', '') || ' (' || n::VARCHAR || ')' || regexp_extract(file_name, '(\.[^.]*)$', 1) END AS destination FROM x",
+    "action_plan_move": rf"""WITH {FILES}, {SIZED}, x AS (SELECT full_path, length, 'item ' || (file_id % 20)::VARCHAR || CASE WHEN file_id % 3 = 0 THEN ' (' || (file_id % 4)::VARCHAR || ')' ELSE '' END || regexp_replace(file_name, '^item \d+', '') AS name FROM sg WHERE pos > 0),
+own AS (SELECT DISTINCT lower(name) AS n FROM x UNION SELECT unnest(['item 3.txt', 'item 7 (2).txt'])),
+tk AS (SELECT regexp_extract(n, '{NUMBERED}', 1) || '/' || regexp_extract(n, '{NUMBERED}', 3) AS base, list(regexp_extract(n, '{NUMBERED}', 2)::BIGINT) AS ks FROM own WHERE regexp_matches(n, '{NUMBERED}') GROUP BY 1),
+y AS (SELECT *, regexp_replace(name, '\.[^.]*$', '') AS stem, regexp_extract(name, '(\.[^.]*)$', 1) AS ext, row_number() OVER (PARTITION BY lower(name) ORDER BY full_path) - CASE WHEN lower(name) IN ('item 3.txt', 'item 7 (2).txt') THEN 0 ELSE 1 END AS nth FROM x)
+SELECT 'move' AS action, full_path AS path, length AS bytes, '/trash/' || CASE WHEN nth = 0 THEN name ELSE stem || ' (' || (list_filter(range(1, nth + coalesce(len(ks), 0) + 1), lambda k: NOT list_contains(coalesce(ks, []), k))[nth])::VARCHAR || ')' || ext END AS destination FROM y LEFT JOIN tk ON base = lower(stem || '/' || ext)""",
+    "action_plan_delete": f"WITH {FILES}, {SIZED} SELECT 'delete' AS action, full_path AS path, length AS bytes FROM sg WHERE pos > 0",
+    "action_errors": f"WITH {FILES} SELECT full_path AS path, full_path || ': denied' AS message FROM f WHERE file_id % 100 = 0",
+    "photos_by_score": f"WITH {PHOTOS} SELECT row_number() OVER (ORDER BY score, file_id) AS ordinal, file_id, score FROM ph",
+    "reasons_by_similarity": f"WITH {MERGED}, {REASONS} SELECT group_id, n_files, (row_number() OVER (PARTITION BY sk ORDER BY similarity DESC, CASE method WHEN 'ExactContent' THEN 0 ELSE 1 END, gk) - 1)::INT AS place, method, similarity FROM rs",
+    "groups_by_column": f"WITH {MERGED} SELECT row_number() OVER (ORDER BY total_bytes DESC, group_id) AS ordinal, total_bytes FROM g",
+    "files_by_name": f"WITH {FILES} SELECT row_number() OVER (ORDER BY file_name, file_id) AS ordinal, file_id, file_name FROM f",
+    "photo_counts": f"WITH {PHOTOS} SELECT count(*) AS n_photos, count(*) FILTER (len(flags) > 0) AS n_flagged FROM ph",
+    "selection_totals": f"WITH {FILES}, {SIZED} SELECT count(*) AS n_selected, coalesce(sum(length), 0)::BIGINT AS bytes_selected FROM (SELECT *, row_number() OVER (PARTITION BY group_key ORDER BY day DESC, pos) AS rn FROM sg) WHERE rn > 1",
+    "candidate_bytes": f"WITH {FILES}, q AS (SELECT length, count(*) AS n, count(*) * length AS b FROM f GROUP BY length HAVING count(*) > 1), h AS (SELECT length, content[1:65536] || CASE WHEN length > 131072 THEN content[-65536:] ELSE '' END AS part FROM f), r AS (SELECT length, count(*) AS n, count(*) * length AS b FROM h GROUP BY length, part HAVING count(*) > 1) SELECT (SELECT coalesce(sum(n), 0)::BIGINT FROM q) AS n_quick, (SELECT coalesce(sum(b), 0)::BIGINT FROM q) AS bytes_quick, (SELECT coalesce(sum(n), 0)::BIGINT FROM r) AS n_full, (SELECT coalesce(sum(b), 0)::BIGINT FROM r) AS bytes_full",
+    "visible_groups": f"WITH {MERGED} SELECT count(*) AS n_groups, count(*) FILTER (n_files >= 3) AS n_visible FROM g",
     "after_action_groups": f"WITH {FILES}, {SIZED} SELECT group_key, count(*) AS n_files FROM sg WHERE file_id % 3 <> 0 GROUP BY 1 HAVING count(*) > 1",
     "action_report": f"WITH {FILES} SELECT count(*) FILTER (file_id % 100 <> 0) AS succeeded, (sum(length) FILTER (file_id % 100 <> 0))::BIGINT AS bytes_freed, (count(*) FILTER (file_id % 100 = 0))::INT AS n_errors FROM f",
-    "engine_scan": f"""WITH {FILES}, {NAMED}, e AS (SELECT length::VARCHAR || ':' || sha256(content) AS k, * FROM f),
+    "engine_scan": rf"""WITH RECURSIVE {FILES}, {IMAGES}, {VIDEOS}, al AS (SELECT file_id, file_name, length FROM f UNION ALL SELECT -(2 * vec_id + 1), file_name, length FROM i UNION ALL SELECT -(2 * file_id + 2), file_id::VARCHAR || '.mp4', length FROM v),
+nm AS (SELECT {normalized(STEM)} AS name, * FROM al), dn AS (SELECT name, min(file_id) AS id FROM nm WHERE name <> '' GROUP BY name),
+ne AS (SELECT x.id AS a, y.id AS b FROM dn x JOIN dn y ON x.name[1] = y.name[1] AND x.id < y.id WHERE 1 - levenshtein(x.name, y.name)::DOUBLE / greatest(length(x.name), length(y.name)) >= 0.85),
+i24 AS (SELECT -(2 * vec_id + 1) AS file_id, length, h & 16777215 AS h FROM i), pe AS (SELECT a.file_id AS a, b.file_id AS b FROM i24 a JOIN i24 b ON a.file_id < b.file_id WHERE bit_count(xor(a.h, b.h)) <= 2),
+ok2 AS (SELECT -(2 * a + 2) AS a, -(2 * b + 2) AS b FROM (SELECT * FROM ({SHARES}) WHERE share >= 0.6)), {reach("ne", "1")}, {reach("pe", "2")}, {reach("ok2", "3")}, e AS (SELECT length::VARCHAR || ':' || sha256(content) AS k, * FROM f),
 m AS (SELECT 0 AS o, 'ExactContent' AS method, k AS gk, row_number() OVER (PARTITION BY k ORDER BY day, file_id) AS rn, file_id, length, count(*) OVER (PARTITION BY k) AS c FROM e
-UNION ALL SELECT 1, 'NameSimilarity', name, row_number() OVER (PARTITION BY name ORDER BY file_name, file_id), file_id, length, count(*) OVER (PARTITION BY name) FROM nm WHERE name <> ''),
+UNION ALL SELECT 1, 'NameSimilarity', root::VARCHAR, row_number() OVER (PARTITION BY root ORDER BY file_name, file_id), file_id, length, count(*) OVER (PARTITION BY root) FROM (SELECT nm.*, coalesce(component, id) AS root FROM nm JOIN dn USING (name) LEFT JOIN cc1 ON node = id)
+UNION ALL SELECT 2, 'PerceptualImage', component::VARCHAR, row_number() OVER (PARTITION BY component ORDER BY length DESC, file_id), file_id, length, count(*) OVER (PARTITION BY component) FROM cc2 JOIN i24 ON node = file_id
+UNION ALL SELECT 3, 'PerceptualVideo', component::VARCHAR, row_number() OVER (PARTITION BY component ORDER BY length DESC, node), node, length, count(*) OVER (PARTITION BY component) FROM cc3 JOIN v ON node = -(2 * file_id + 2)),
 s AS (SELECT o, method, gk, string_agg(file_id::VARCHAR, ',' ORDER BY file_id) AS sk, min(file_id) AS group_id, count(*) AS n_files, sum(CASE WHEN rn > 1 THEN length ELSE 0 END)::BIGINT AS reclaimable_bytes, sum(length)::BIGINT AS total_bytes FROM m WHERE c > 1 GROUP BY ALL),
 d AS (SELECT *, row_number() OVER (PARTITION BY sk ORDER BY o) AS q FROM s)
 SELECT row_number() OVER (ORDER BY reclaimable_bytes DESC, n_files DESC, group_id) AS ordinal, group_id, method, n_files, reclaimable_bytes, total_bytes FROM d WHERE q = 1""",
+    "tree_walk": f"WITH {TREE} SELECT path, file_name, regexp_extract(lower(file_name), '(\\.[^.]+)$', 1) AS extension, length FROM t WHERE doc_id % 7 <> 0 AND doc_id % 11 <> 0 AND doc_id % 5 <> 1",
+    "tree_walk_hidden": f"WITH {TREE} SELECT path, length FROM t",
+    "tree_walk_flat": f"WITH {TREE} SELECT file_name, length FROM t WHERE folder = 's2' AND doc_id % 11 <> 0",
+    "tree_warnings": "SELECT '/missing: No such file or directory' AS warning",
+    "tree_exact_groups": f"WITH {TREE} SELECT length::VARCHAR || ':' || sha256(content) AS group_key, count(*) AS n_files FROM t GROUP BY 1 HAVING count(*) > 1",
 }

@@ -6,16 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from twinfold.common import cut, ship, table
+from twinfold.common import cut, local_path, scratch, ship, table
 from twinfold.functions import media, photo, text
 from twinfold.functions.bits import dhash_ring, hex16
 from twinfold.functions.names import copy_marker_score, normalize, stem
 from twinfold.functions.video import sample_positions
 from twinfold.operators import actions, exact, filters, groups, names, perceptual, scan, select, stats
 from twinfold.operators.components import components
-from twinfold.options import EXACT, NAME, ScanOptions
+from twinfold.options import EXACT, IMAGE, NAME, VIDEO, ScanOptions
 from twinfold.plans import engine
-from twinfold.sources import bindings, session
+from twinfold.sources import bindings, content, filewalk, session
 
 #: Thresholds at which the driver's tables hold links; the defaults hold none there.
 NAME_THRESHOLD, HASH_BITS, FRAME_BITS, BLUR = 0.6, 17, 3, 15_000.0
@@ -402,9 +402,18 @@ def session_import_defaults(spark, d):
 
 @query
 def action_plan_move(spark, d):
+    """Names are made to meet: of each twenty folders' items one name."""
     files, members = _by_size(spark, d)
     gone = select.redundant(members, files, "first").select("file_id")
-    return actions.plan_move(files.join(gone, "file_id", "left_semi"), "/trash/")
+    named = files.withColumn("file_name", F.regexp_replace("file_name", r"^item \d+", F.concat(F.lit("item "), (F.col("file_id") % 20).cast("string"), F.when(F.col("file_id") % 3 == 0, F.concat(F.lit(" ("), (F.col("file_id") % 4).cast("string"), F.lit(")"))).otherwise(""))))
+    return actions.plan_move(named.join(gone, "file_id", "left_semi"), "/trash/", spark.createDataFrame([("ITEM 3.txt",), ("item 7 (2).txt",)], "file_name string"))
+
+
+@query
+def action_plan_delete(spark, d):
+    files, members = _by_size(spark, d)
+    gone = select.redundant(members, files, "first").select("file_id")
+    return actions.plan_delete(files.join(gone, "file_id", "left_semi"))
 
 
 @query
@@ -417,11 +426,115 @@ def after_action_groups(spark, d):
 @query
 def action_report(spark, d):
     rows = bindings.documents(spark, d).select(F.col("full_path").alias("path"), F.col("length").alias("bytes"), F.when(F.col("file_id") % 100 == 0, F.lit("denied")).alias("error"))
-    return actions.report(rows).select("succeeded", "bytes_freed", F.size("errors").alias("n_errors"))
+    return actions.report(rows)
+
+
+@query
+def action_errors(spark, d):
+    rows = bindings.documents(spark, d).select(F.col("full_path").alias("path"), F.col("length").alias("bytes"), F.when(F.col("file_id") % 100 == 0, F.lit("denied")).alias("error"))
+    return actions.errors(rows)
+
+
+# Lists and counts as they are shown
+
+
+@query
+def photos_by_score(spark, d):
+    return groups.numbered(_photos(spark, d).select("file_id", "score"), F.asc("score"), F.asc("file_id"))
+
+
+@query
+def reasons_by_similarity(spark, d):
+    _, _, reasons, g = _merged(spark, d)
+    return groups.reasons_shown(reasons).join(g.select("group_key", "group_id", "n_files"), "group_key").select("group_id", "n_files", "place", "method", "similarity")
+
+
+@query
+def groups_by_column(spark, d):
+    return groups.sorted_by(_merged(spark, d)[3].select("group_id", "n_files", "total_bytes"), "total_bytes", True).select("ordinal", "total_bytes")
+
+
+@query
+def files_by_name(spark, d):
+    return groups.sorted_by(bindings.documents(spark, d).select("file_id", "file_name"), "file_name", key="file_id")
+
+
+@query
+def photo_counts(spark, d):
+    return stats.photo_counts(_photos(spark, d))
+
+
+@query
+def selection_totals(spark, d):
+    files, members = _by_size(spark, d)
+    return stats.selection(files, select.redundant(members, files, "newest"))
+
+
+@query
+def candidate_bytes(spark, d):
+    return stats.candidates(bindings.documents(spark, d))
+
+
+@query
+def visible_groups(spark, d):
+    return groups.visible(_merged(spark, d)[3], F.col("n_files") >= 3)
 
 
 @query
 def engine_scan(spark, d):
-    """The whole engine: exact content and equal names over one set of files."""
-    out = engine.run(spark, bindings.documents(spark, d), ScanOptions(methods=EXACT | NAME, name_threshold=1.0))
+    """The whole engine: all four detectors over one set of documents, images and videos."""
+    out = engine.run(spark, bindings.everything(spark, d), ScanOptions(methods=EXACT | NAME | IMAGE | VIDEO, perceptual_threshold=2))
     return out.groups.select("ordinal", "group_id", "method", "n_files", "reclaimable_bytes", "total_bytes")
+
+
+# A tree of files, written from documents and walked again
+
+
+def _tree(spark, d) -> tuple[str, DataFrame]:
+    """The root of a tree with a file for each document, some of them hidden or in hidden or deep folders, and the rows it was made of."""
+    key = F.col("doc_id")
+    folder = F.concat(F.lit("s"), (key % 5).cast("string"), F.when(key % 7 == 0, "/.hid").otherwise(""), F.when(key % 3 == 0, "/deep/er").otherwise(""))
+    path = F.concat(folder, F.when(key % 11 == 0, "/.").otherwise("/"), F.lit("f"), key.cast("string"), F.when(key % 2 == 0, ".TXT").otherwise(".md"))
+    rows = table(spark, d, "documents").filter("doc_id is not null").select(path.alias("path"), F.coalesce("text", F.lit("")).cast("binary").alias("content"))
+    root = local_path(scratch(spark, "tree"))
+    content.write_files(rows, root)
+    return root, rows
+
+
+def _walked(spark, d, **options) -> tuple[DataFrame, DataFrame, str]:
+    root, _ = _tree(spark, d)
+    files, warnings = filewalk.scan(spark, ScanOptions(roots=(root, f"{root}/missing"), **{k: tuple(f"{root}/{x}" for x in v) if k == "excluded_folders" else v for k, v in options.items()}))
+    return files.withColumn("path", F.expr(f"substring(full_path, {len(root) + 2})")), warnings, root
+
+
+@query
+def tree_walk(spark, d):
+    """Hidden files and folders stay out, one folder is excluded."""
+    return _walked(spark, d, excluded_folders=("S1",))[0].select("path", "file_name", "extension", "length")
+
+
+@query
+def tree_walk_hidden(spark, d):
+    return _walked(spark, d, include_hidden=True)[0].select("path", "length")
+
+
+@query
+def tree_walk_flat(spark, d):
+    """Without recursion only the files of the roots themselves are listed: here, of one folder."""
+    root, _ = _tree(spark, d)
+    return filewalk.scan(spark, ScanOptions(roots=(f"{root}/s2", f"{root}/S2/"), recursive=False))[0].select("file_name", "length")
+
+
+@query
+def tree_warnings(spark, d):
+    """A root that is missing is a warning, not an error."""
+    _, warnings, root = _walked(spark, d)
+    return warnings.select(F.replace("warning", F.lit(root), F.lit("")).alias("warning"))
+
+
+@query
+def tree_exact_groups(spark, d):
+    """Sizes, samples and whole contents, read from the files."""
+    files, _, _ = _walked(spark, d, include_hidden=True)
+    signed, _ = content.hashed(files)
+    return signed.groupBy("group_key").agg(F.count("*").alias("n_files")).filter("n_files > 1")

@@ -62,3 +62,12 @@ def videos(spark: SparkSession, sf_dir: str) -> DataFrame:
     frames = F.slice(F.array(*(dhash_ring(F.col("embedding"), 16 * k, 16) for k in range(4))), F.lit(1), (key % 3 + 2).cast("int"))
     rows = v.select(key.alias("file_id"), F.concat(F.lit("/videos/"), key.cast("string"), F.lit(".mp4")).alias("full_path"), (key % 50 * 1000).alias("length"), _time(key).alias("last_write_utc"), frames.alias("frame_hashes"))
     return from_paths(rows)
+
+
+def everything(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents, images (of 24-bit hashes) and videos as one set of files; the keys of the latter two are negative."""
+    common = ["file_id", "full_path", "length", "last_write_utc"]
+    pictures = images(spark, sf_dir).select(*common, F.col("perceptual_hash").bitwiseAND((1 << 24) - 1).alias("perceptual_hash")).withColumn("file_id", -(F.col("file_id") * 2 + 1))
+    clips = videos(spark, sf_dir).select(*common, "frame_hashes").withColumn("file_id", -(F.col("file_id") * 2 + 2))
+    rows = documents(spark, sf_dir).select(*common, "content")
+    return from_paths(rows.unionByName(pictures, allowMissingColumns=True).unionByName(clips, allowMissingColumns=True))

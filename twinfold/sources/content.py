@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import os
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -32,6 +33,24 @@ def full_hash(path: str, length: int = 0) -> str:
     return h.hexdigest()
 
 
+def write_files(rows: DataFrame, root: str) -> None:
+    """Writes a file for each row (path below ``root``, content), by the executors; ``root`` is mounted on all of them."""
+    ship(rows.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        n = 0
+        for batch in batches:
+            for path, data in zip(batch.column("path"), batch.column("content"), strict=True):
+                at = os.path.join(root, path.as_py())
+                os.makedirs(os.path.dirname(at), exist_ok=True)
+                with open(at, "wb") as f:
+                    f.write(data.as_py())
+                n += 1
+        yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
+
+    rows.select("path", "content").mapInArrow(run, "n long").agg(F.sum("n")).collect()
+
+
 def with_hash(files: DataFrame, out: str, full: bool) -> DataFrame:
     """``files`` with a hash of each; null where a file can't be read, with the reason in ``warning``."""
     ship(files.sparkSession)

@@ -1,7 +1,7 @@
 """Directory listing as a Python data source: metadata only, hidden and empty files included.
 
-``spark.read.format("filewalk").option("roots", json_list)``. One partition for each first-level folder of a
-root, so that large trees are walked in parallel; what can't be read becomes a warning row.
+``spark.read.format("filewalk").option("roots", json_list)``. Folders are opened level by level until there are
+enough to walk in parallel, one partition each; what can't be read becomes a warning row.
 """
 
 from __future__ import annotations
@@ -20,6 +20,8 @@ from twinfold.operators import scan as filters
 from twinfold.options import ScanOptions
 from twinfold.sources.bindings import from_paths
 
+#: Folders of one level from which on each is walked whole by one task.
+ENOUGH = 256
 SCHEMA = "full_path string, length long, last_write_utc timestamp, is_hidden boolean, warning string"
 
 
@@ -46,8 +48,14 @@ class Walk(DataSourceReader):
             if self._gone(root):
                 continue
             out.append(Folder(root, False))
-            if self.recursive and os.path.isdir(root):
-                out += [Folder(p, True) for p in self._folders(root)]
+            level = self._folders(root) if self.recursive and os.path.isdir(root) else []
+            while level and len(level) < ENOUGH:
+                below = [p for at in level for p in self._folders(at)]
+                if not below:
+                    break
+                out += [Folder(p, False) for p in level]
+                level = below
+            out += [Folder(p, True) for p in level]
         return out or [Folder("", False)]
 
     def _folders(self, at: str) -> list[str]:

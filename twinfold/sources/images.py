@@ -49,7 +49,8 @@ def grids(images: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            # One decoded image at a time is in Python's memory.
+            for row in (batch.slice(k, 1).to_pylist()[0] for k in range(batch.num_rows)):
                 if row["width"] is None or row["width"] <= 0:
                     one = (row["origin"], None, None, None, None, None)
                 else:

@@ -37,6 +37,24 @@ def write_csv(rows: DataFrame, path: str) -> None:
             f.write(r.line + "\n")
 
 
+def write_csv_parts(rows: DataFrame, path: str) -> None:
+    """The same lines in a folder of files, written by the executors; each begins with the columns' names, and they are in order."""
+    rows.repartitionByRange("GroupId", "_pos").sortWithinPartitions("GroupId", "_pos").select(*COLUMNS).write.mode("overwrite").option("header", "true").option("escape", '"').csv(path)
+
+
+def write_json_parts(path: str, groups: DataFrame) -> None:
+    """A line of JSON for each group, of a report or a session, in a folder of files written by the executors, in order."""
+    groups.repartitionByRange("ordinal").sortWithinPartitions("ordinal").select("json").write.mode("overwrite").text(path)
+
+
+def load_parts(spark: SparkSession, path: str) -> DataFrame:
+    """(group_key, reasons, files) of a session written in parts."""
+    one = SESSION[SESSION.index("STRUCT<") : -1]
+    lines = spark.read.text(path).select(F.from_json("value", one).alias("g"))
+    found = imported(lines.select(F.array("g").alias("Groups")))
+    return found.withColumn("group_key", F.monotonically_increasing_id())
+
+
 def json_groups(ranked: DataFrame, members: DataFrame, files: DataFrame, reasons: DataFrame) -> DataFrame:
     """(ordinal, json) of each group."""
     rows = ranked.join(nested(members, reasons, files).select("group_key", "files"), "group_key")
