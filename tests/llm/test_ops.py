@@ -275,6 +275,113 @@ def test_quality(spark):
     assert {r.score for r in quality.score(odd, quality.fit(df, labels.filter("false"))).collect()} == {0.5}
 
 
+def test_language_scores_equal_brute_force(spark):
+    import math
+
+    rng = random.Random(18)
+    kinds = {"aa": ["ka", "lo", "mi"], "bb": ["ör", "sch", "ung"], "cc": ["ka", "ör", "x"]}
+    model = langid.fit(spark.createDataFrame([(k, prose(rng, s, 40), lang, None, None) for k, (lang, s) in enumerate(x for x in kinds.items() for _ in range(20))], DOC))
+    texts = [prose(rng, rng.choice([*kinds.values(), ["zz", "ka"]]), rng.randrange(1, 30)) for _ in range(60)] + ["Ka LO2mi", "²³", "q", "ka_lo", "the same", "the same"]
+    df = spark.createDataFrame([(k // 2, t, "aa", None, None) for k, t in enumerate(texts)], DOC)
+    got = sorted((r.doc_id, r.lang_pred, round(r.score, 9)) for r in langid.predict(df, model).collect())
+
+    def score(text):
+        words = [w for w in re.findall(r"[^\W\d_]+", text.lower())]
+        if not any(ch.isalpha() for w in words for ch in w):
+            return "und", 0.0
+        total = [0.0] * len(model.langs)
+        for w in words:
+            rows = [model.words[w]] if w in model.words else []
+            if not rows:
+                padded = f" {w} "
+                for i in range(len(padded)):
+                    known = [padded[i : i + n] for n in (4, 3, 2, 1) if i + n <= len(padded) and padded[i : i + n] in model.grams]
+                    rows += [model.grams[known[0]]] if known else []
+                rows = rows or [0]
+            for c in range(len(total)):
+                total[c] += sum(model.table[r][c] for r in rows) / len(rows)
+        e = [math.exp(langid.SHARPNESS * (t - max(total)) / len(words)) for t in total]
+        best = max(range(len(e)), key=lambda c: e[c])
+        return model.langs[best], e[best] / sum(e)
+
+    assert got == sorted((k // 2, (s := score(t))[0], round(s[1], 9)) for k, t in enumerate(texts))
+
+
+def test_quality_scores_equal_brute_force(spark):
+    import math
+
+    import zstandard
+
+    rng = random.Random(19)
+    texts = [prose(rng, ["an", "the", "or", "ing"], rng.randrange(1, 200)) if k % 2 else " ".join(w.upper() + "!!" for w in prose(rng, ["an", "the"], rng.randrange(1, 200)).split()) for k in range(120)] + [None, "", LONG, "same", "same"]
+    df = spark.createDataFrame([(k // 2, t, None, None, None) for k, t in enumerate(texts)], DOC)
+    model = quality.fit(docs(spark, texts[:100]), spark.createDataFrame([(k, k % 2) for k in range(100)], "doc_id long, quality int"))
+
+    def size(text, words):
+        data, n = (text or "").encode(), 0
+        for at in range(0, max(1, len(data)), quality.BLOCK):
+            fresh = zstandard.ZstdCompressor(level=quality.LEVEL, dict_data=zstandard.ZstdCompressionDict(words), write_content_size=False, write_checksum=False, write_dict_id=False)
+            n += len(fresh.compress(data[at : at + quality.BLOCK]))
+        return n
+
+    def score(text):
+        good, bad = size(text, model.good), size(text, model.bad)
+        return 1 / (1 + math.exp(-(model.slope * (bad - good) / (bad + good) + model.offset)))
+
+    got = sorted((r.doc_id, round(r.score, 9)) for r in quality.score(df, model).collect())
+    assert model.slope and got == sorted((k // 2, round(score(t), 9)) for k, t in enumerate(texts))
+    assert quality.score(df.filter("false"), model).count() == 0
+
+
+def test_toxicity_scores_equal_brute_force(spark):
+    rng = random.Random(20)
+    terms = [("idiot", False, 0.9), ("scum", False, 0.8), ("grumblewort", False, 0.95), ("lowei", True, 0.99), ("bomente", True, 0.7)]
+    lexicon = toxicity.Lexicon(terms, ["scam", "idiom"], 0.03, ["lowei"])
+
+    def lev(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row
+
+    def weight(w):
+        exact = [toxicity.PLAIN * p for t, stem, p in terms if w == t and not stem] or [toxicity.PLAIN * p for t, stem, p in terms if stem and w.startswith(t)]
+        if exact or w in lexicon.clean:
+            return exact[0] if exact else 0.0
+        near = [(t, stem, p) for t, stem, p in terms if (min(lev(t, w)) if stem else lev(t, w)[-1]) == 1]
+        return max(((toxicity.MISSPELT if t in lexicon.lone or toxicity.misspelt(t, w, stem) else toxicity.FAINT) * p for t, stem, p in near), default=0.0)
+
+    def score(text):
+        low = (text or "").lower()
+        at = [(m.start(), m.end(), weight(m[0])) for m in re.finditer(r"\w(?:[\w@$*]*\w)?", low)]
+        for start, end, w in toxicity.with_signs(low):
+            inside = [p for p in at if p[0] < end and p[1] > start]
+            if weight(w) > max((p[2] for p in inside), default=0):
+                at = [p for p in at if p not in inside] + [(start, end, weight(w))]
+        left, weak, pairs = 1.0, 0.0, toxicity.quotations(low)
+        for start, end, x in at:
+            if not x:
+                continue
+            quoted = any(a < start and end <= b and a >= start - toxicity.WINDOW and b < end + toxicity.WINDOW for a, b in pairs) or toxicity.REPORTING.search(low[max(0, start - toxicity.WINDOW) : start])
+            if quoted:
+                weak = max(weak, toxicity.QUOTED * x)
+            elif x <= toxicity.FAINT:
+                weak = max(weak, x)
+            else:
+                left *= 1 - x
+        return max(lexicon.base, 1 - left * (1 - weak))
+
+    pool = ["idiot", "idiott", "idot", "1diot", "id!ot", "scum", "scam", "skum", "scums", "idiom", "loweiana", "lowxian", "bomentear", "bomxntear", "bmenteción", "grumblewrt", "grumbelwort", '"an', 'idiot"', "“scum”", "said", "the", "nice", "word", "\n", "$cum", "an", "or", "grumble", "wort"]
+    texts = [" ".join(rng.choice(pool) for _ in range(rng.randrange(1, 12))) for _ in range(300)] + [None, "", "same idiot", "same idiot", "x" * 50_000]
+    df = spark.createDataFrame([(k // 2, t, None, None, None) for k, t in enumerate(texts)], DOC)
+    got = sorted((r.doc_id, round(r.score, 9)) for r in toxicity.score(df, lexicon).collect())
+    assert got == sorted((k // 2, round(score(t), 9)) for k, t in enumerate(texts))
+    assert toxicity.score(df.filter("false"), lexicon).count() == 0
+    assert toxicity.fit(df.filter("false"), spark.createDataFrame([(1, 1)], "doc_id long, toxic int")).score("you idiot") >= 0.5
+
+
 def test_toxicity(spark):
     rng = random.Random(10)
     syllables = ["an", "the", "or", "ing"]
@@ -451,20 +558,79 @@ def test_warc_parser_rejects_cut_files():
 # Licenses and chat
 
 
-def test_licence_scan(spark):
+def brute_licences(texts, model):
+    """(text's number, place, family, probability) of every paragraph scored in full."""
+    import math
+
+    import regex
+
+    signed = lambda h: h - (1 << 64) if h >> 63 else h
+    out = []
+    for k, t in enumerate(texts):
+        for place, p in enumerate(regex.split(r"(?<=[^\p{L}\p{N}\s,(\-])[ \t]*\r?\n|\r?\n(?=[ \t]*\r?\n)", t) if t is not None else []):
+            w = regex.findall(r"[\p{L}\p{N}]+", p.lower())
+            one = [xxhash.xxh64_intdigest(x.encode(), 42) for x in w]
+            g = {signed(h) for h in one} | {signed(xxhash.xxh64_intdigest(b.encode(), a)) for a, b in zip(one, w[1:], strict=False)}
+            if not g:
+                continue
+            z = [o + sum(model.weights[x][c] for x in g if x in model.weights) / math.sqrt(len(g)) for c, o in enumerate(model.offsets)]
+            e = [math.exp(v - max(z)) for v in z]
+            best = max(range(len(z)), key=lambda c: z[c])
+            if model.names[best] != licences.UNKNOWN and max(e) / sum(e) >= licences.LEAST:
+                out.append((k, place, model.names[best], round(max(e) / sum(e), 6)))
+    return out
+
+
+def licence_corpus():
     rng = random.Random(13)
-    body = [prose(rng, ["an", "the", "or", "ing"], 30) for _ in range(60)]
-    lines = ["Released under the MIT License.", "Licensed under the Apache License, Version 2.0.", "Licensed under CC BY-NC 4.0.", "This work is licensed under the GNU General Public License, version 3.", "He lost his fishing license in the lake.", None, ""]
-    texts = [None if x is None else f"{body[k]}\n{x}\n{body[k + 9]}" for k, x in enumerate(lines)] + body[20:40] + [LONG + "\nreleased under the MIT licence\n", "Licensed under the MIT license.\nLicensed under the MIT license."]
-    df = docs(spark, texts).withColumn("family", F.lit("clash"))
-    rows = licences.scan(df).collect()
+    body = ["\n".join(prose(rng, ["an", "the", "or", "ing", "ble"], 12).capitalize() + rng.choice([".", ".", "!", ".***"]) for _ in range(8)) for _ in range(60)]
+    wrapped = "Copyright (c) 2020 A. Author\n\nPermission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell\ncopies of the Software, and to permit persons to whom the Software is\nfurnished to do so, subject to the following conditions:\n\nThe above copyright notice and this permission notice shall be included in all\ncopies or substantial portions of the Software."
+    notices = {
+        "MIT": ["Released under the MIT License.", "Licensed under the MIT license", wrapped], "Apache-2.0": ["Licensed under the Apache License, Version 2.0."], "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0."],
+        "GPL-3.0": ["This work is licensed under the GNU General Public License, version 3."], "GPL-2.0": ["Released under the GNU General Public License, version 2."], "CC-BY-SA-4.0": ["Licensed under CC BY-SA 4.0."], "CC-BY-ND-4.0": ["Released under CC BY-ND 4.0."], "CC-BY-4.0": ["This work is licensed under CC BY 4.0."],
+        "BSL-1.0": ["Distributed under the Boost Software License, Version 1.0."], "ISC": ["Released under the ISC License."], "EPL-2.0": ["Licensed under the Eclipse Public License 2.0."], "CC0-1.0": ["Released under CC0 1.0."], "Unlicense": ["This is free and unencumbered software released into the public domain."],
+        "AGPL-3.0": ["Licensed under the GNU Affero General Public License, version 3."],
+    }
+    none = ["He lost his fishing license in the lake.", "The MIT campus was licensed to serve beer under a new law.", "Licensed under terms that nobody has read so far.", "All rights reserved by the author of this work.", "See the license of the software for more."]
+    texts, want = [], []
+    for family, ts in [*notices.items(), (None, none)]:
+        for t in ts:
+            texts.append(f"{body[len(texts)]}\n{t}\n\n{body[len(texts) + 9]}")
+            want.append(family)
+    return [*texts, *body[40:], None, "", LONG + "\n\nreleased under the MIT license\n", "Licensed under the MIT license.\nLicensed under the MIT license."], [*want, *[None] * 22, "MIT", "MIT"]
+
+
+def test_licence_scan_equals_brute_force(spark):
+    texts, want = licence_corpus()
+    df = docs(spark, texts).select("*", *(F.lit("clash").alias(c) for c in ("family", "place", "paragraph", "probability", "_row", "gram")))
+    model = licences.fit(spark, df)
+    rows = licences.scan(df, model=model).collect()
+    assert sorted((r.doc_id, r.place, r.family, round(r.probability, 6)) for r in rows) == brute_licences(texts, model)
     got: dict = {}
     for r in rows:
-        got.setdefault(r.doc_id, []).append((r.family, r.confirmed))
-    n = len(lines) + 20
-    assert {k: v[0][0] for k, v in got.items() if k < len(lines)} == {0: "MIT", 1: "Apache-2.0", 2: "CC-BY-NC-4.0", 3: "GPL-3.0"}
-    assert set(got) == {0, 1, 2, 3, n, n + 1} and len(got[n + 1]) == 2 and all(c for v in got.values() for _, c in v)
-    assert licences.scan(df.filter("false")).count() == 0
+        got.setdefault(r.doc_id, set()).add((r.family, r.confirmed))
+    assert {k: {f for f, _ in v} for k, v in got.items()} == {k: {f} for k, f in enumerate(want) if f}
+    assert all(c for v in got.values() for _, c in v)
+    assert licences.scan(df.filter("false")).count() == 0 and licences.report(df.filter("false")).count() == 0
+
+
+def test_licences_of_repeated_and_null_keys(spark, tmp_path):
+    texts, _ = licence_corpus()
+    mit = "Released under the MIT License."
+    rows = [*enumerate(texts), (0, "nothing here"), (0, mit), (None, mit), (None, None), (500, mit), (500, mit), (501, f"{mit}\n{mit}\nReleased under the ISC License.")]
+    spark.createDataFrame([(k, t, None, None, None) for k, t in rows], DOC).write.parquet(str(tmp_path / "documents.parquet"))
+    got = queries.op2_licences(spark, str(tmp_path)).collect()
+    assert len(got) == len(rows)
+    of = lambda k: sorted((r.n_paragraphs, r.families, r.confirmed) for r in got if r.doc_id == k)
+    assert of(0) == [(0, "", False), (1, "MIT", True), (1, "MIT", True)] and of(None) == [(0, "", False), (1, "MIT", True)]
+    assert of(500) == [(1, "MIT", True)] * 2 and of(501) == [(3, "ISC,MIT", True)]
+
+
+def test_a_licence_in_other_words_is_not_confirmed(spark):
+    texts, _ = licence_corpus()
+    model = licences.fit(spark, docs(spark, texts))
+    odd = docs(spark, ["Licensed under CC BY-XX 4.0 with many changes of our own.", "Licensed under the MIT license and the moon and the stars and the sea and every song that was sung there before the war."])
+    assert not any(r.confirmed for r in licences.scan(odd, model=model).collect())
 
 
 def test_chat_links_orders_and_validates(spark):

@@ -124,7 +124,7 @@ def judge(docs: DataFrame, items: DataFrame, keep: tuple[str, ...] = (), text: s
     met = met.join(_few(wanted, wanted.count()), ["h", "size"]).groupBy("_digest").agg(F.collect_set(F.struct("size", "at")).alias("places"))
     met, _, seen = written(met, F.coalesce(F.sum(F.size("places") + 4), F.lit(0)).alias("n"))
     texts = docs.select(_digest(text).alias("_digest"), words(F.col(text)).alias("_w")).join(_few(met, seen["n"]), "_digest")
-    tested = texts.select("_digest", "_w", _around(F.col("places"), F.size("_w")).alias("spans")).select("_digest", F.explode(_tested(F.col("_w"), F.col("spans"))).alias("t")).select("_digest", "t.span", F.col("t.span").bitwiseAND(15).alias("size"), "t.a", "t.b")
+    tested = texts.select("_digest", "_w", _around(F.col("places"), F.size("_w")).alias("spans")).select("_digest", F.explode_outer(_tested(F.col("_w"), F.col("spans"))).alias("t")).select("_digest", "t.span", F.col("t.span").bitwiseAND(15).alias("size"), "t.a", "t.b")
     kinds = windows.select("size", "a", "b").distinct()
     hit, _, _ = written(tested.join(_few(kinds, windows.count()), ["size", "a", "b"]).distinct())
     words_hit = hit.groupBy("_digest").agg(covered(F.sort_array(F.collect_set("span"))).alias("n_hit"))

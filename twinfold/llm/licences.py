@@ -1,136 +1,243 @@
 """License scans: a trained paragraph classifier, confirmed by template comparison, in DataFrame operations only.
 
-Features of a paragraph (a line of text) are the word one- and two-grams it holds. A softmax
-regression over them, fitted from license templates, from near-misses and from a bounded sample of
+A paragraph ends at a blank line, or where a line ends with a sign that ends a sentence; lines broken
+within one belong together. Its features are the hashes of the word one- and two-grams it holds, weighted alike and scaled to
+length 1. A softmax regression over them, fitted from license wording, from near-misses and from a bounded sample of
 the corpus's own paragraphs as the unknown class, gives each paragraph a probability of each
-family; the unknown class's offset is calibrated so that at most a stated share of the corpus sample
-would be taken for a license. A family predicted is confirmed where enough of the paragraph's
-license words follow one of that family's templates.
+family. What it was not fitted on, some wording of each family and half of the other paragraphs, calibrates it: a temperature, and
+an offset of the unknown class so that at most a stated share of those would be taken for a license.
 
-A gram that no template holds has no weight, so a paragraph without a cue word, one that every
-family's templates need, is unknown without being scored. Whole texts are read.
+Every paragraph is scored. The sum of what each gram can add at most in favour of any family is taken
+first: where even that doesn't reach a family's least probability, the family's exact scores aren't needed. A
+prediction is confirmed where nearly all of the paragraph's grams stand in that family's wording and the paragraph holds nearly
+all of one form of it.
 
-Defined cases: null and empty texts hold no paragraphs and get no family; a line that repeats counts
-each time; documents with equal keys are told apart by nothing and counted together; a null key is
-kept as a group of its own; extra columns are not carried.
+Defined cases: null and empty texts hold no paragraphs and get no family; a paragraph that repeats counts
+each time; rows that repeat a key, or have none, are scanned each for itself by ``report``, and give
+rows of that key in ``scan``; extra columns are not carried, whatever their names. Whole texts are read.
 """
 
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-#: Texts by which each family names itself or begins.
-TEMPLATES = {
-    "MIT": ["Released under the MIT License.", "Licensed under the MIT license.", "This project is licensed under the MIT License, see the LICENSE file for details.", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction.", "SPDX-License-Identifier: MIT"],
-    "Apache-2.0": ["Licensed under the Apache License, Version 2.0.", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License.", "Released under the Apache License, Version 2.0.", "Apache License Version 2.0, January 2004", "SPDX-License-Identifier: Apache-2.0"],
-    "GPL-3.0": ["This work is licensed under the GNU General Public License, version 3.", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License.", "GNU General Public License version 3", "Released under the GNU GPL version 3.", "SPDX-License-Identifier: GPL-3.0-only"],
-    "CC-BY-NC-4.0": ["Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "Released under CC BY-NC 4.0.", "SPDX-License-Identifier: CC-BY-NC-4.0"],
-    "CC-BY-4.0": ["Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License.", "Released under CC BY 4.0.", "SPDX-License-Identifier: CC-BY-4.0"],
-    "BSD": ["Licensed under the BSD 3-Clause License.", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met.", "Released under the BSD license.", "SPDX-License-Identifier: BSD-3-Clause"],
-    "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, version 2.0.", "Licensed under the Mozilla Public License 2.0.", "SPDX-License-Identifier: MPL-2.0"],
-    "LGPL-3.0": ["Licensed under the GNU Lesser General Public License, version 3.", "GNU Lesser General Public License version 3", "SPDX-License-Identifier: LGPL-3.0-only"],
-}
-#: Sentences about licenses that name no family.
-NEAR_MISSES = ["All rights reserved.", "This license applies to you.", "He lost the license to drive.", "A fishing license was released under the new law.", "The work is free for any person.", "Released under great pressure.", "See the file for details.", "Version 2.0 of the program was released in January 2004.", "The general public may use the source.", "The following conditions are met.", "The license of this work is unknown.", "Licensed under terms that follow."]
+from twinfold.common import cut
+
+#: The names of each family, as notices give them, and its SPDX identifier.
+NAMES = {
+    "MIT": ("MIT", "the MIT License", "MIT license", "the Expat License"),
+    "ISC": ("ISC", "the ISC License", "ISC license"),
+    "BSD": ("BSD-3-Clause", "the BSD License", "the BSD 3-Clause License", "the BSD 2-Clause License", "the New BSD License", "a BSD-style license"),
+    "Apache-2.0": ("Apache-2.0", "the Apache License, Version 2.0", "the Apache License 2.0", "Apache License Version 2.0, January 2004"),
+    "GPL-2.0": ("GPL-2.0-only", "the GNU General Public License, version 2", "the GNU GPL version 2", "the GPLv2", "GNU General Public License v2.0"),
+    "GPL-3.0": ("GPL-3.0-only", "the GNU General Public License, version 3", "the GNU GPL version 3", "the GPLv3", "GNU General Public License v3.0"),
+    "LGPL-2.1": ("LGPL-2.1-only", "the GNU Lesser General Public License, version 2.1", "the GNU LGPL version 2.1", "the LGPLv2.1"),
+    "LGPL-3.0": ("LGPL-3.0-only", "the GNU Lesser General Public License, version 3", "the GNU LGPL version 3", "the LGPLv3"),
+    "AGPL-3.0": ("AGPL-3.0-only", "the GNU Affero General Public License, version 3", "the GNU AGPL version 3", "the AGPLv3"),
+    "MPL-2.0": ("MPL-2.0", "the Mozilla Public License, version 2.0", "the Mozilla Public License 2.0", "the MPL 2.0"),
+    "EPL-2.0": ("EPL-2.0", "the Eclipse Public License, version 2.0", "the Eclipse Public License 2.0", "the EPL 2.0"),
+    "BSL-1.0": ("BSL-1.0", "the Boost Software License, Version 1.0", "the Boost Software License 1.0"),
+    "CC0-1.0": ("CC0-1.0", "CC0 1.0", "the Creative Commons Zero 1.0 Universal License", "the CC0 1.0 Universal Public Domain Dedication"),
+    "Unlicense": ("Unlicense", "the Unlicense", "The Unlicense"),
+    "CC-BY-4.0": ("CC-BY-4.0", "CC BY 4.0", "a Creative Commons Attribution 4.0 International License", "the Creative Commons Attribution 4.0 License"),
+    "CC-BY-SA-4.0": ("CC-BY-SA-4.0", "CC BY-SA 4.0", "a Creative Commons Attribution-ShareAlike 4.0 International License", "the Creative Commons Attribution-ShareAlike 4.0 License"),
+    "CC-BY-ND-4.0": ("CC-BY-ND-4.0", "CC BY-ND 4.0", "a Creative Commons Attribution-NoDerivatives 4.0 International License", "the Creative Commons Attribution-NoDerivatives 4.0 License"),
+    "CC-BY-NC-4.0": ("CC-BY-NC-4.0", "CC BY-NC 4.0", "a Creative Commons Attribution-NonCommercial 4.0 International License", "the Creative Commons Attribution-NonCommercial 4.0 License"),
+    "CC-BY-NC-SA-4.0": ("CC-BY-NC-SA-4.0", "CC BY-NC-SA 4.0", "a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License"),
+    "CC-BY-NC-ND-4.0": ("CC-BY-NC-ND-4.0", "CC BY-NC-ND 4.0", "a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License"),
+}
+#: Sentences that notices put a family's name into.
+FORMS = (
+    "{}", "Licensed under {}.", "Released under {}.", "This work is licensed under {}.", "This project is licensed under {}, see the LICENSE file for details.", "Distributed under {}.",
+    "This software is released under {}.", "This file is available under {}.", "License: {}", "SPDX-License-Identifier: {}", "Published under the terms of {}.", "Dual licensed content is covered by {}.",
+)
+#: Wording of the licenses themselves.
+WORDING = {
+    "MIT": ("Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:", "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software."),
+    "ISC": ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",),
+    "BSD": ("Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met:", "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.", "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."),
+    "Apache-2.0": ("Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.", "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
+    "GPL-2.0": ("This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",),
+    "GPL-3.0": ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",),
+    "LGPL-2.1": ("This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",),
+    "LGPL-3.0": ("This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",),
+    "AGPL-3.0": ("This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",),
+    "MPL-2.0": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
+    "EPL-2.0": ("This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",),
+    "BSL-1.0": ("Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software",),
+    "CC0-1.0": ("To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",),
+    "Unlicense": ("This is free and unencumbered software released into the public domain.", "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
+}
+#: Sentences about licenses, or in their words, that name no family.
+NEAR_MISSES = (
+    "All rights reserved.", "This license applies to you.", "He lost the license to drive.", "A fishing license was released under the new law.", "The work is free for any person.", "Released under great pressure.",
+    "See the file for details.", "Version 2.0 of the program was released in January 2004.", "The general public may use the source.", "The following conditions are met.", "The license of this work is unknown.", "Licensed under terms that follow.",
+    "Which license should I use for my project?", "The software is licensed, not sold.", "This file is part of the documentation.", "The plumber is licensed and insured.", "Distributed under the counter to friends.", "Published under the name of her brother.",
+    "Our license server is down, see the support page.", "The public license hearing was held on Monday.", "Permission is granted to enter the building.", "Copyright and related rights are a matter of law.", "A driving license is required.", "The foundation published version 3 of its report.",
+    "The attribution of the painting is in doubt.", "The commons is open to the public.", "An international license fee was paid.", "The library is free and open on Sunday.", "Apache helicopters were seen in January.", "The eclipse was visible to the public in 2004.",
+    "The boost in software sales was noted.", "Mozilla released version 2.0 of the browser.", "The creative work of the commons was noted.", "Proprietary software may not be copied.", "The license text was changed by the author.", "This work is licensed under a license that the author wrote.",
+)
 UNKNOWN = "unknown"
-#: Corpus paragraphs of the unknown class, at most, and the share of them that may pass for a license.
-SAMPLE, FALSE_SHARE = 400, 0.002
-#: Probability from which a family is predicted, and share of license words that a template must explain.
-LEAST, CONFIRM = 0.6, 0.6
-ROUNDS, RATE, RIDGE = 300, 0.5, 0.002
-#: A paragraph without one of these holds no template's family name or first words.
-CUES = r"(?i)licen[cs]e|\bgpl|\blgpl|\bmpl|\bgnu\b|\bbsd\b|\bcc[ -]by|creative commons|apache|mozilla|free software|permission is hereby|redistribution and use|spdx"
+#: Documents, and paragraphs of theirs, that the unknown class is learned from, at most; the share of those held out that may pass for a license.
+DOCS, SAMPLE, FALSE_SHARE = 200, 400, 0.002
+#: Probability from which a family is predicted; shares of grams from which it is confirmed.
+LEAST, CONFIRM = 0.6, 0.8
+ROUNDS, RATE, MOMENTUM, RIDGE = 150, 2.0, 0.9, 1e-4
+#: Every so many forms of a family calibrate the model instead of fitting it.
+HELD = 5
+#: Weight of a sentence of a license's own wording, where a sentence that names the license weighs 1.
+WORDS = 8
+#: A blank line, or a line's end after a sign that no word or clause goes on after.
+BREAK = r"(?<=[^\p{L}\p{N}\s,(\-])[ \t]*\r?\n|\r?\n(?=[ \t]*\r?\n)"
+NOT_WORD = r"[^\p{L}\p{N}]+"
 
 
 def words(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    return F.filter(F.split(F.lower(text), NOT_WORD), lambda w: w != "")
 
 
 def grams(w: Column) -> Column:
-    """Distinct one- and two-grams."""
-    pairs = F.when(F.size(w) > 1, F.transform(F.sequence(F.lit(1), F.size(w) - 1), lambda i: F.concat_ws(" ", F.slice(w, i, 2)))).otherwise(F.array().cast("array<string>"))
-    return F.array_distinct(F.concat(w, pairs))
+    """Hashes of the distinct one- and two-grams."""
+    pairs = F.when(F.size(w) > 1, F.transform(F.sequence(F.lit(0), F.size(w) - 2), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1)))).otherwise(F.array().cast("array<bigint>"))
+    return F.array_distinct(F.concat(F.transform(w, lambda x: F.xxhash64(x)), pairs))
 
 
-def paragraphs(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, place, paragraph): lines of each text that hold a cue."""
-    return df.filter(F.col(text).rlike(CUES)).select(F.col(key), F.posexplode(F.split(text, "\r?\n")).alias("place", "paragraph")).filter(F.col("paragraph").rlike(CUES))
+def paragraphs(df: DataFrame, text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(the columns kept, place, paragraph): every paragraph with a letter or digit."""
+    return df.select(*keep, F.posexplode(F.split(text, BREAK)).alias("place", "paragraph")).filter(F.col("paragraph").rlike(r"[\p{L}\p{N}]"))
 
 
-def _gram_list(text: str) -> list[str]:
-    w, cur = [], ""
-    for ch in text.lower() + " ":
-        if ch.isalpha() or ch.isnumeric():
-            cur += ch
-        elif cur:
-            w.append(cur)
-            cur = ""
-    return sorted({*w, *(f"{a} {b}" for a, b in zip(w, w[1:], strict=False))})
+def templates() -> dict[str, list[str]]:
+    """All forms of each family: its names in each sentence, and its wording."""
+    return {f: [*(form.format(n) for n in names for form in FORMS), *WORDING.get(f, ())] for f, names in NAMES.items()}
 
 
-def fit(spark: SparkSession, corpus: DataFrame, text: str = "text", sample: int = SAMPLE) -> tuple[list[str], dict[str, list[float]], list[float]]:
-    """Families with the unknown class last, the weights of each gram, and the offsets.
+def _hashes(spark: SparkSession, texts: list[str]) -> list[list[int]]:
+    rows = spark.createDataFrame(list(enumerate(texts)), "k int, t string").select("k", words(F.col("t")).alias("w")).select("k", grams(F.col("w")).alias("g")).collect()
+    return [r.g for r in sorted(rows, key=lambda r: r.k)]
 
-    The templates are a few dozen sentences and the corpus sample is bounded, so the descent is
-    plain arithmetic on the driver.
-    """
-    lines = corpus.select(F.explode(F.split(text, "\r?\n")).alias("p")).filter(F.length("p").between(20, 400) & ~F.col("p").rlike(CUES))
-    others = [r.p for r in lines.orderBy(F.xxhash64("p"), "p").limit(sample).collect()]
-    names = [*TEMPLATES, UNKNOWN]
-    vocabulary = {g: k for k, g in enumerate(sorted({g for ts in TEMPLATES.values() for t in ts for g in _gram_list(t)}))}
-    rows = [(_gram_list(t), k) for k, ts in enumerate(TEMPLATES.values()) for t in ts for _ in range(4)]
-    rows += [(_gram_list(t), len(names) - 1) for t in NEAR_MISSES for _ in range(3)] + [(_gram_list(t), len(names) - 1) for t in others[::2]]
-    data = [([vocabulary[g] for g in gs if g in vocabulary], y) for gs, y in rows]
-    w, b = [[0.0] * len(names) for _ in vocabulary], [0.0] * len(names)
+
+@dataclass
+class Model:
+    """Families with the unknown class last; weights of each gram; offsets; hashed forms of each family."""
+
+    names: list[str]
+    weights: dict[int, list[float]]
+    offsets: list[float]
+    forms: dict[str, list[list[int]]]
+
+
+def _descend(x: np.ndarray, y: np.ndarray, weight: np.ndarray, classes: int) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and offsets of a softmax regression, by gradient descent with momentum."""
+    w, b = np.zeros((x.shape[1], classes)), np.zeros(classes)
+    vw, vb = np.zeros_like(w), np.zeros_like(b)
+    want = np.eye(classes)[y]
     for _ in range(ROUNDS):
-        step, shift = {}, [0.0] * len(names)
-        for gs, y in data:
-            p = probabilities([b[c] + sum(w[g][c] for g in gs) for c in range(len(names))])
-            p[y] -= 1
-            for c in range(len(names)):
-                shift[c] += p[c]
-            for g in gs:
-                if g in step:
-                    step[g] = [s + x for s, x in zip(step[g], p, strict=True)]
-                else:
-                    step[g] = list(p)
-        scale = RATE * 8 / len(data)
-        for g, s in step.items():
-            w[g] = [x * (1 - RIDGE) - scale * d for x, d in zip(w[g], s, strict=True)]
-        b = [x - scale * d for x, d in zip(b, shift, strict=True)]
-    held = sorted((max(b[c] + sum(w[vocabulary[g]][c] for g in _gram_list(t) if g in vocabulary) for c in range(len(names) - 1)) - b[-1] - sum(w[vocabulary[g]][-1] for g in _gram_list(t) if g in vocabulary) for t in others[1::2]), reverse=True)
-    if held:  # raise the unknown class until no more than the stated share of held-out paragraphs passes
-        b[-1] += max(0.0, held[int(len(held) * FALSE_SHARE)] - math.log(LEAST / (1 - LEAST)))
-    return names, {g: w[k] for g, k in vocabulary.items()}, b
-
-
-def probabilities(z: list[float]) -> list[float]:
-    e = [math.exp(x - max(z)) for x in z]
-    return [x / sum(e) for x in e]
-
-
-def classify(rows: DataFrame, model: tuple[list[str], dict[str, list[float]], list[float]], key: str = "doc_id") -> DataFrame:
-    """(key, place, paragraph, family, probability, similarity, confirmed) of paragraphs taken for a license."""
+        d = (_softmax(x @ w + b) - want) * weight[:, None]
+        vw = MOMENTUM * vw - RATE * (x.T @ d + RIDGE * w)
+        vb = MOMENTUM * vb - RATE * d.sum(0)
+        w, b = w + vw, b + vb
+    return w, b
+
+
+def _softmax(z: np.ndarray) -> np.ndarray:
+    e = np.exp(z - z.max(1, keepdims=True))
+    return e / e.sum(1, keepdims=True)
+
+
+def fit(spark: SparkSession, corpus: DataFrame, text: str = "text", sample: int = SAMPLE) -> Model:
+    """A model from the wording, and from at most ``sample`` paragraphs of about DOCS documents, which come to the driver."""
+    names = [*NAMES, UNKNOWN]
+    n = corpus.count()
+    few = corpus.filter(F.pmod(F.xxhash64(F.lit("licences"), text), F.lit(1 << 40)) < int(min(1.0, DOCS / max(1, n)) * (1 << 40)))
+    own = [r.paragraph for r in paragraphs(few, text).select(F.substring("paragraph", 1, 2_000).alias("paragraph")).orderBy(F.xxhash64("paragraph"), "paragraph").limit(sample).collect()]
+    forms = templates()
+    texts = [t for ts in forms.values() for t in ts]
+    labels = [k for k, ts in enumerate(forms.values()) for _ in ts]
+    hashed = _hashes(spark, [*texts, *NEAR_MISSES, *own])
+    form_grams = [set(g) for g in hashed[: len(texts)]]
+    # A paragraph of the corpus that says what a form says is no example of the unknown class.
+    others = [g for g in hashed[len(texts) + len(NEAR_MISSES) :] if g and not any(len(f & set(g)) >= 0.8 * len(f) and len(f & set(g)) >= 0.5 * len(g) for f in form_grams)]
+    misses = hashed[len(texts) : len(texts) + len(NEAR_MISSES)]
+    # A family's own wording is always fitted, and as weighty as the sentences that name it.
+    wording = [k >= len(ts) - len(WORDING.get(f, ())) for f, ts in forms.items() for k in range(len(ts))]
+    data = [(g, y, not own_words and k % HELD == HELD - 1, WORDS if own_words else 1) for k, (g, y, own_words) in enumerate(zip(hashed, labels, wording, strict=False))]
+    data += [(g, len(names) - 1, k % 3 == 2, 1) for k, g in enumerate(misses)] + [(g, len(names) - 1, k % 2 == 1, 1) for k, g in enumerate(others)]
+    place = {g: k for k, g in enumerate(sorted({g for gs, _, held, _ in data if not held for g in gs}))}
+    x = np.zeros((len(data), len(place)))
+    for row, (gs, *_) in enumerate(data):
+        for g in gs:
+            if g in place:
+                x[row, place[g]] = 1 / math.sqrt(len(gs))
+    y, held = np.array([d[1] for d in data]), np.array([d[2] for d in data])
+    # The unknown class weighs as much as all families together.
+    weight, unknown = np.array([d[3] for d in data], float)[~held], y[~held] == len(names) - 1
+    for part in (unknown, ~unknown):
+        weight[part] *= 0.5 / max(1.0, weight[part].sum())
+    w, b = _descend(x[~held], y[~held], weight, len(names))
+    z = x[held] @ w + b
+    scale = min((0.5, 0.75, 1.0, 1.5, 2.0, 3.0, 4.0, 6.0, 8.0), key=lambda s: -np.log(_softmax(z * s)[np.arange(len(z)), y[held]] + 1e-12).mean())
+    w, b, z = w * scale, b * scale, z * scale
+    apart = z[y[held] == len(names) - 1]
+    lead = np.sort(apart[:, :-1].max(1) - apart[:, -1])[::-1]
+    if len(lead):  # raise the unknown class until no more than the stated share of it passes
+        b[-1] += max(0.0, float(lead[int(len(lead) * FALSE_SHARE)]) - math.log(LEAST / (1 - LEAST)))
+    # A paragraph without any gram known is of the unknown class.
+    b[-1] = max(b[-1], b[:-1].max() - math.log(LEAST / (1 - LEAST)) + 1e-6)
+    kept = iter(hashed)
+    return Model(names, {g: [float(v) for v in w[k]] for g, k in place.items()}, [float(v) for v in b], {f: [next(kept) for _ in ts] for f, ts in forms.items()})
+
+
+def classify(rows: DataFrame, model: Model, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(the columns kept, place, paragraph, family, probability, similarity, confirmed) of paragraphs taken for a license.
+
+    ``keep`` and ``place`` tell paragraphs apart.
+    """
     spark = rows.sparkSession
-    names, weights, offsets = model
-    table = spark.createDataFrame([(g, [float(x) for x in w]) for g, w in weights.items()], "gram string, w array<double>")
-    hits = rows.withColumn("g", grams(words(F.col("paragraph")))).select(key, "place", "paragraph", F.explode("g").alias("gram")).join(F.broadcast(table), "gram")  # as many rows as templates hold grams
-    sums = hits.groupBy(key, "place", "paragraph").agg(*(F.sum(F.col("w")[c]).alias(f"z{c}") for c in range(len(names))), F.collect_set("gram").alias("found"))
-    z = F.array(*(F.col(f"z{c}") + F.lit(offsets[c]) for c in range(len(names))))
-    e = F.transform(z, lambda x: F.exp(x - F.array_max(z)))
-    p = F.transform(e, lambda x: x / F.aggregate(e, F.lit(0.0), lambda a, y: a + y))
-    scored = sums.withColumn("p", p).withColumn("best", F.array_position("p", F.array_max("p")).cast("int"))
-    scored = scored.withColumn("family", F.get(F.array(*map(F.lit, names)), F.col("best") - 1)).withColumn("probability", F.array_max("p")).filter((F.col("family") != UNKNOWN) & (F.col("probability") >= LEAST))
-    forms = spark.createDataFrame([(f, _gram_list(t)) for f, ts in TEMPLATES.items() for t in ts], "family string, form array<string>")
-    # Share of the template found in the paragraph, of the paragraph's license words found in the template: the better.
-    both = F.size(F.array_intersect("found", "form"))
-    near = scored.join(F.broadcast(forms), "family").withColumn("similarity", F.greatest(both / F.size("form"), both / F.size("found")))
-    best = near.groupBy(key, "place", "paragraph", "family", "probability").agg(F.max("similarity").alias("similarity"))
-    return best.withColumn("confirmed", F.col("similarity") >= CONFIRM)
-
-
-def scan(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """License paragraphs of all texts."""
-    return classify(paragraphs(df, key, text), fit(df.sparkSession, df, text), key)
+    by = [*keep, "place", "paragraph"]
+    last = len(model.names) - 1
+    best = {g: max(w[:-1]) - w[-1] for g, w in model.weights.items()}
+    most = max(model.offsets[:-1]) - model.offsets[-1]
+    # A family's probability is at least LEAST only if its lead on the unknown class is at least this.
+    least = math.log(LEAST / (1 - LEAST))
+    bound = spark.createDataFrame([(g, float(m)) for g, m in best.items() if m > 0], "gram long, most double")
+    table = spark.createDataFrame([(g, w) for g, w in model.weights.items()], "gram long, w array<double>")
+    # An outer explode: for others Spark adds a filter on the array and moves it below, where each use would make the words anew.
+    split = rows.select(*by, words(F.col("paragraph")).alias("_w")).select(*by, grams(F.col("_w")).alias("_g")).select(*by, F.size("_g").alias("_n"), F.explode_outer("_g").alias("gram"))
+    # As many rows as the bounded sample and the forms hold grams.
+    lead = split.join(F.broadcast(bound), "gram").groupBy(*by, "_n").agg(F.sum("most").alias("most"))
+    near = cut(lead.filter(F.col("most") / F.sqrt("_n") + F.lit(most) >= F.lit(least)).select(*by, "_n"))
+    again = near.select(*by, "_n", words(F.col("paragraph")).alias("_w")).select(*by, "_n", grams(F.col("_w")).alias("_g"))
+    sums = again.select(*by, "_n", "_g", F.explode_outer("_g").alias("gram")).join(F.broadcast(table), "gram").groupBy(*by, "_n", "_g").agg(*(F.sum(F.col("w")[c]).alias(f"_z{c}") for c in range(last + 1)))
+    z = F.array(*(F.col(f"_z{c}") / F.sqrt("_n") + F.lit(model.offsets[c]) for c in range(last + 1)))
+    scored = sums.select(*by, "_n", "_g", z.alias("_z")).withColumn("_e", F.transform("_z", lambda x: F.exp(x - F.array_max("_z"))))
+    scored = scored.withColumn("probability", F.array_max("_e") / F.aggregate("_e", F.lit(0.0), lambda a, x: a + x))
+    scored = scored.withColumn("family", F.get(F.array(*map(F.lit, model.names)), F.array_position("_e", F.array_max("_e")).cast("int") - 1)).filter((F.col("family") != UNKNOWN) & (F.col("probability") >= LEAST))
+    forms = spark.createDataFrame([(f, g, sorted({x for gs in model.forms[f] for x in gs})) for f in model.forms for g in model.forms[f]], "family string, form array<long>, wording array<long>")
+    held = F.size(F.array_intersect("_g", "form")) / F.size("form")
+    known = F.size(F.array_intersect("_g", "wording")) / F.col("_n")
+    judged = scored.join(F.broadcast(forms), "family").withColumn("_s", F.least(held, known)).groupBy(*by, "family", "probability").agg(F.max("_s").alias("similarity"))
+    return judged.withColumn("confirmed", F.col("similarity") >= CONFIRM)
+
+
+def scan(df: DataFrame, key: str = "doc_id", text: str = "text", model: Model | None = None) -> DataFrame:
+    """(key, place, paragraph, family, probability, similarity, confirmed) of the license paragraphs of all texts."""
+    rows = df.select(F.col(key).alias("_key"), F.col(text).alias("_text")).withColumn("_row", F.monotonically_increasing_id())
+    found = classify(paragraphs(rows, "_text", ("_key", "_row")), model or fit(df.sparkSession, rows, "_text"), ("_key", "_row"))
+    return found.select(F.col("_key").alias(key), "place", "paragraph", "family", "probability", "similarity", "confirmed")
+
+
+def report(df: DataFrame, key: str = "doc_id", text: str = "text", model: Model | None = None) -> DataFrame:
+    """(key, n_paragraphs, families, probability, confirmed) of every row: license paragraphs, the families' names sorted, the
+    greatest probability, and whether all were confirmed. Equal texts are equal rows' own: each is told by its text."""
+    texts = df.select(F.sha2(F.coalesce(F.col(text), F.lit("")), 256).alias("_digest"), F.col(text).alias("_text")).withColumn("_row", F.monotonically_increasing_id())
+    found = classify(paragraphs(texts, "_text", ("_digest", "_row")), model or fit(df.sparkSession, texts, "_text"), ("_digest", "_row"))
+    each = found.groupBy("_digest", "_row").agg(F.count("*").alias("n_paragraphs"), F.array_sort(F.collect_set("family")).alias("families"), F.max("probability").alias("probability"), F.bool_and("confirmed").alias("confirmed"))
+    # Rows of one text found the same.
+    one = cut(each.groupBy("_digest").agg(F.min(F.struct("n_paragraphs", "families", "probability", "confirmed")).alias("_r")).select("_digest", "_r.*"))
+    joined = df.select(F.col(key).alias(key), F.sha2(F.coalesce(F.col(text), F.lit("")), 256).alias("_digest")).join(one, "_digest", "left")
+    return joined.select(key, F.coalesce("n_paragraphs", F.lit(0).cast("long")).alias("n_paragraphs"), F.coalesce("families", F.array().cast("array<string>")).alias("families"), F.coalesce("probability", F.lit(0.0)).alias("probability"), F.coalesce("confirmed", F.lit(False)).alias("confirmed"))

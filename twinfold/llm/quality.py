@@ -21,7 +21,7 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from twinfold.common import ship
+from twinfold.common import cut, ship
 from twinfold.llm.bpe import slices
 from twinfold.llm.memory import tidy
 from twinfold.llm.sampling import bounded
@@ -121,7 +121,9 @@ def fit(df: DataFrame, labels: DataFrame, text: str = "text", label: str = "qual
                 rows = [(y, x) for y, t in zip(part.column(label).to_pylist(), part.column(text).to_pylist(), strict=True) if t for x in pieces(t.encode(), CHUNK)]
                 yield pa.RecordBatch.from_arrays([pa.array([y for y, _ in rows], pa.int32()), pa.array([x for _, x in rows], pa.binary())], names=["y", "chunk"])
 
-    chunks = bounded(build.mapInArrow(chunked, "y int, chunk binary"), "y", "chunk", CHUNKS).orderBy("y", F.xxhash64("chunk"), "chunk").collect()
+    # A chunk that repeats counts once, so copies bring no more than one; the bound is exact.
+    each = cut(build.mapInArrow(chunked, "y int, chunk binary").distinct())
+    chunks = [r for y in (1, 0) for r in each.filter(F.col("y") == y).orderBy(F.xxhash64("chunk"), "chunk").limit(CHUNKS).collect()]
     model = Model(*(dictionary([bytes(r.chunk) for r in chunks if r.y == y]) for y in (1, 0)))
     rows = _differences(texts.join(F.broadcast(bounded(usable.filter(half == 1), label, key, CURVE)), key).select(label, text), model, text, "x", False).collect()
     share = usable.groupBy(label).count().collect()

@@ -24,10 +24,8 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = licences.scan(docs).groupBy("doc_id").agg(F.count("*").alias("n_paragraphs"), F.array_join(F.array_sort(F.collect_set("family")), ",").alias("families"), F.max("probability").alias("probability"), F.bool_and("confirmed").alias("confirmed"))
-    none = F.lit(0).cast("long")
-    return docs.select("doc_id").join(found, "doc_id", "left").select("doc_id", F.coalesce("n_paragraphs", none).alias("n_paragraphs"), F.coalesce("families", F.lit("")).alias("families"), F.coalesce("probability", F.lit(0.0)).alias("probability"), F.coalesce("confirmed", F.lit(False)).alias("confirmed"))
+    found = licences.report(table(spark, sf_dir, "documents"))
+    return found.withColumn("families", F.array_join("families", ","))
 
 
 def op3_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
