@@ -163,8 +163,128 @@ def test_merge_filters_and_stats(spark, members):
 def test_move_plan_and_report(spark):
     files = spark.createDataFrame([("/a/x.txt", "x.txt", 3), ("/b/X.txt", "X.txt", 4), ("/c/y", "y", 5)], "full_path string, file_name string, length long")
     assert sorted(r.destination for r in actions.plan_move(files, "/t").collect()) == ["/t/X (1).txt", "/t/x.txt", "/t/y"]
-    r = actions.report(spark.createDataFrame([("/a", 3, None), ("/C:b", 4, "denied")], "path string, bytes long, error string")).first()
-    assert (r.succeeded, r.bytes_freed, list(r.errors)) == (1, 3, ["/C:b: denied"])
+    outcomes = spark.createDataFrame([("/a", 3, None), ("/C:b", 4, "denied")], "path string, bytes long, error string")
+    r = actions.report(outcomes).first()
+    assert (r.succeeded, r.bytes_freed, r.n_errors) == (1, 3, 1)
+    assert [r.message for r in actions.errors(outcomes).collect()] == ["/C:b: denied"]
+
+
+def test_planned_moves_never_meet(spark):
+    def moved(paths, there=None):
+        files = spark.createDataFrame([(p, 1, p.rsplit("/", 1)[1]) for p in paths], "full_path string, length long, file_name string")
+        rows = actions.plan_move(files, "/t", None if there is None else spark.createDataFrame([(n,) for n in there], "file_name string")).collect()
+        assert len(rows) == len(paths) and len({r.destination.lower() for r in rows}) == len(paths)
+        assert not {r.destination.lower() for r in rows} & {f"/t/{n.lower()}" for n in there or ()}
+        return {r.path: r.destination for r in rows}
+
+    assert moved(["/a/x.txt", "/b/x.txt", "/c/x (1).txt"]) == {"/a/x.txt": "/t/x.txt", "/b/x.txt": "/t/x (2).txt", "/c/x (1).txt": "/t/x (1).txt"}
+    assert moved(["/a/x.txt"], ["X.TXT", "x (1).txt", "x (3).txt"]) == {"/a/x.txt": "/t/x (2).txt"}
+    assert moved(["/a/x", "/b/x", "/b/x (1)", "/c/x (1)"]) == {"/a/x": "/t/x", "/b/x": "/t/x (2)", "/b/x (1)": "/t/x (1)", "/c/x (1)": "/t/x (1) (1)"}
+    rng = random.Random(21)
+    names = ["x", "X (1)", "x (2)", "x (1) (1)", "x (01)", "y"]
+    for _ in range(5):
+        moved([f"/{k}/{rng.choice(names)}{rng.choice(['.txt', '', '.tar.gz'])}" for k in range(40)], [rng.choice(names) + ".txt" for _ in range(3)])
+
+
+def test_hashes_are_found_with_any_slices(spark):
+    from twinfold.functions.bits import slices_for
+
+    rng = random.Random(22)
+    values = [rng.getrandbits(64) for _ in range(60)]
+    values += [v ^ sum(1 << b for b in rng.sample(range(64), rng.randrange(1, 12))) for v in values[:40]]
+    values = list(dict.fromkeys(values))
+    points = spark.createDataFrame([(k, v - (1 << 64) if v >> 63 else v) for k, v in enumerate(values)], "id long, h long")
+    assert slices_for(100, 0) == 1 and slices_for(10**9, 8) <= 4
+    for most in (0, 3, 8, 10):
+        got = sorted((r.a, r.b, r.bits) for r in perceptual.hash_pairs(points, most).collect())
+        assert got == [(a, b, n) for a in range(len(values)) for b in range(a + 1, len(values)) if (n := (values[a] ^ values[b]).bit_count()) <= most]
+
+
+@pytest.mark.parametrize("threshold", [0.6, 0.75, 0.85, 0.95, 1.0])
+def test_name_pairs_lose_none(spark, threshold):
+    rng = random.Random(24)
+
+    def lev(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    def changed(w):
+        w = list(w)
+        for _ in range(rng.randrange(1, 5)):
+            at, kind = rng.randrange(len(w) + 1), rng.random()
+            if kind < 0.4:
+                w.insert(at, rng.choice("abc"))
+            elif at < len(w) and len(w) > 1:
+                w[at : at + 1] = [] if kind < 0.7 else [rng.choice("abc")]
+        return "".join(w)
+
+    base = ["".join(rng.choice("abc ") for _ in range(rng.randrange(1, 40))) for _ in range(40)]
+    words = sorted({w for x in base for w in (x, changed(x), changed(x), x + "a", x[:-1]) if w})
+    got = {(r.a, r.b): round(r.ratio, 9) for r in names.pairs(spark.createDataFrame(list(enumerate(words)), "name_id long, name string"), threshold).collect()}
+    want = {}
+    for a, x in enumerate(words):
+        for b in range(a + 1, len(words)):
+            share = 1 - lev(x, words[b]) / max(len(x), len(words[b]))
+            if x[0] == words[b][0] and share >= threshold:
+                want[a, b] = round(share, 9)
+    assert got == want
+
+
+def test_portable_maps_and_targa(spark, tmp_path):
+    import numpy as np
+
+    grey = np.arange(12 * 10).reshape(10, 12) * 2
+    colour = np.stack([grey, grey // 2, 255 - grey], 2).astype(np.uint8)
+    luma = np.rint(colour @ np.array(images.LUMA))
+    binary = (grey > 100).astype(int)
+    (tmp_path / "a.pgm").write_bytes(b"P5\n# made\n12 10\n255\n" + grey.astype(np.uint8).tobytes())
+    (tmp_path / "b.PPM").write_bytes(b"P6 12 10 255\n" + colour.tobytes())
+    (tmp_path / "c.pbm").write_bytes(b"P4\n12 10\n" + np.packbits(1 - binary, axis=1).tobytes())
+    (tmp_path / "d.pbm").write_bytes(b"P1 12 10\n" + b"\n".join(b" ".join(b"%d" % (1 - v) for v in r) for r in binary))
+    (tmp_path / "e.ppm").write_bytes(b"P3 12 10 255\n" + b" ".join(b"%d" % v for v in colour.ravel()))
+    head = lambda kind, depth, flags: struct.pack("<BBBHHBHHHHBB", 0, 0, kind, 0, 0, 0, 0, 0, 12, 10, depth, flags)
+    (tmp_path / "f.tga").write_bytes(head(2, 24, 32) + colour[:, :, ::-1].tobytes())
+    (tmp_path / "g.tga").write_bytes(head(2, 24, 0) + colour[::-1, :, ::-1].tobytes())
+    (tmp_path / "h.tga").write_bytes(head(11, 8, 32) + b"".join(bytes([11]) + r.tobytes() for r in grey[:5].astype(np.uint8)) + bytes([128 | 59, 7]))
+    (tmp_path / "i.tga").write_bytes(b"cut")
+    flat = grey.copy()
+    flat[5:] = 7
+    for data, want in (("a.pgm", grey), ("b.PPM", luma), ("c.pbm", binary * 255), ("d.pbm", binary * 255), ("e.ppm", luma)):
+        assert (images.portable_map((tmp_path / data).read_bytes()) == want).all()
+    for data, want in (("f.tga", luma), ("g.tga", luma), ("h.tga", flat)):
+        assert (images.targa((tmp_path / data).read_bytes()) == want).all()
+    got = {os.path.basename(r.full_path): r for r in images.read(spark, str(tmp_path)).collect()}
+    assert len(got) == 9 and got["i.tga"].perceptual_hash is None and got["f.tga"].perceptual_hash == got["b.PPM"].perceptual_hash and (got["a.pgm"].width, got["a.pgm"].height) == (12, 10)
+
+
+def test_written_tables_and_hubs(spark, monkeypatch):
+    from twinfold import common
+    from twinfold.operators import components as c
+
+    hub = [(0, k) for k in range(1, 400)] + [(k, k + 1) for k in range(500, 540)]
+    for most in (500_000, 0):
+        monkeypatch.setattr(c, "BROADCAST", most)
+        got = {r.node: r.component for r in components(spark.createDataFrame(hub, "u long, v long")).collect()}
+        assert got == {**{k: 0 for k in range(400)}, **{k: 500 for k in range(500, 541)}}
+    rows, path, seen = common.written(spark.range(10), F.count(F.lit(1)).alias("n"), F.max("id").alias("m"))
+    assert rows.count() == 10 and seen == {"n": 10, "m": 9} and common.exists(spark, path)
+    common.remove(spark, path)
+    assert not common.exists(spark, path)
+
+
+def test_reports_in_parts(spark, tmp_path):
+    for p, t in (("a/one.bin", "same"), ("b/two.bin", "same"), ("c/x,y.bin", "more"), ("d/z.bin", "more")):
+        write(tmp_path, f"tree/{p}", t)
+    r = run(spark, tmp_path / "tree")
+    session.write_csv_parts(session.csv_rows(r.groups, r.members, r.files), str(tmp_path / "csv"))
+    back = spark.read.csv(str(tmp_path / "csv"), header=True)
+    assert back.columns == session.COLUMNS and back.count() == 4 and back.filter("FilePath like '%x,y.bin'").count() == 1
+    session.write_json_parts(str(tmp_path / "json"), session.session_groups(r.groups, r.members, r.files, r.reasons))
+    assert session.load_parts(spark, str(tmp_path / "json")).select(F.size("files").alias("n")).agg(F.sum("n")).first()[0] == 4
 
 
 def brute_components(edges):

@@ -10,6 +10,8 @@ DATA = "/root/testdata/sf0.001"
 CHECKED = [
     "exact_groups", "exact_members", "quick_hash_candidates", "name_pairs", "name_group_similarity", "hamming_pairs", "image_group_similarity", "video_clusters", "keep_cleanest_name",
     "merge_by_file_set", "groups_ranked", "filter_reasons_all", "scan_summary", "photo_quality", "parse_extensions", "report_csv_rows", "session_roundtrip", "action_plan_move", "engine_scan",
+    "action_plan_delete", "action_errors", "photos_by_score", "reasons_by_similarity", "groups_by_column", "files_by_name", "photo_counts", "selection_totals", "candidate_bytes", "visible_groups",
+    "tree_walk", "tree_walk_hidden", "tree_walk_flat", "tree_warnings", "tree_exact_groups",
 ]
 needs_data = pytest.mark.skipif(not os.path.isdir(DATA), reason="the driver's tables are not here")
 
@@ -24,6 +26,26 @@ def test_entry(spark):
     assert len(rows) == 10 and sum(r.n_files for r in rows) == 21
 
 
+def test_only_an_absent_subpackage_is_passed_over(monkeypatch):
+    import builtins
+
+    plain = builtins.__import__
+
+    def without(missing):
+        def imported(name, *rest, **more):
+            if name.startswith("twinfold.llm") or name == "corpus_pipeline":
+                raise ModuleNotFoundError(f"No module named {missing!r}", name=missing)
+            return plain(name, *rest, **more)
+
+        return imported
+
+    monkeypatch.setattr(builtins, "__import__", without("twinfold.llm"))
+    assert "exact_groups" in __spark_entry__.queries() and not any(n.startswith("op") for n in __spark_entry__.queries())
+    monkeypatch.setattr(builtins, "__import__", without("zstandard"))
+    with pytest.raises(ModuleNotFoundError):
+        __spark_entry__.queries()
+
+
 def _plain(v):
     if v is None or v != v:
         return None

@@ -17,6 +17,7 @@ SCREENS = [
     (720, 1280), (750, 1334), (828, 1792), (1125, 2436), (1440, 2560), (1440, 2960), (1440, 3040), (1440, 3200), (1920, 1080),
     (2560, 1440), (3840, 2160), (1366, 768), (1536, 864), (1280, 720), (1600, 900), (2880, 1800), (2560, 1600),
 ]
+#: Parts of names that tell a screenshot.
 SCREENSHOT_WORDS = ["screenshot", "screen shot", "screen_", "capture"]
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, functions as F
 
+#: Units of size texts.
 UNITS = ("B", "KB", "MB", "GB", "TB", "PB")
 
 
@@ -32,13 +33,19 @@ def similarity_number(x: Column) -> Column:
 
 
 def resolution(width: Column, height: Column) -> Column:
-    return F.when((width > 0) & (height > 0), F.concat(width.cast("string"), F.lit("×"), height.cast("string"))).otherwise(F.lit("-"))
+    return F.when(width > 0, F.concat(width.cast("string"), F.lit("×"), height.cast("string"))).otherwise(F.lit("-"))
 
 
 def megapixels(width: Column, height: Column) -> Column:
     return width.cast("double") * height / 1_000_000
 
 
+def megapixels_text(width: Column, height: Column) -> Column:
+    """One decimal, halves rounded up; exact, as it is counted in whole hundred thousands. A size of zero is a dash."""
+    tenths = F.floor((width.cast("long") * height.cast("long") + 50_000) / 100_000).cast("long")
+    return F.when((width > 0) & (height > 0), F.concat(F.floor(tenths / 10).cast("long").cast("string"), F.lit("."), (tenths % 10).cast("string"))).otherwise(F.lit("-"))
+
+
 def parse_extensions(text: Column) -> Column:
     """Distinct extensions of a list split at commas, semicolons and spaces: lower case, with a dot."""
     parts = F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[,; ]+"), lambda p: p != "")

@@ -1,4 +1,4 @@
-"""Name duplicates: distinct normalised names, joined within a block and lengths that can match, then closed."""
+"""Name duplicates: distinct normalised names, joined by a block, lengths that can match and a piece in common, then closed."""
 
 from __future__ import annotations
 
@@ -10,6 +10,8 @@ from twinfold.operators.components import components
 
 #: Keeps rounding from losing a pair at the bound.
 SLACK = 1e-9
+#: Letters that a piece of a name has at least.
+PIECE = 3
 
 
 def normalized(files: DataFrame, name: str = "file_name") -> DataFrame:
@@ -22,18 +24,38 @@ def distinct_names(rows: DataFrame) -> DataFrame:
     return rows.groupBy(F.col("normalized_name").alias("name")).agg(F.min("file_id").alias("name_id"))
 
 
+def _edits(n: Column, threshold: float) -> Column:
+    """Edits that a pair whose longer name has ``n`` letters may differ by."""
+    return F.floor(n * (1 - threshold) + SLACK).cast("int")
+
+
+def _pieces(least: Column, edits: Column) -> Column:
+    """Into how many pieces a name of ``least`` letters is cut: one more than edits, or one empty piece where they would be too short to tell much."""
+    return F.when(least >= PIECE * (edits + 1), edits + 1).otherwise(1)
+
+
 def pairs(names: DataFrame, threshold: float) -> DataFrame:
     """(a, b, ratio) of names with one first character and a ratio of the threshold or more.
 
-    Lengths that may match are spelt out on one side, so block and length are an equality that
-    both sides are dealt by.
+    If two names differ by at most d edits and the shorter is cut into d + 1 pieces, one of them stands in the longer as
+    it is, k places at most from its own where it is the k-th, and so many from the end likewise (Li, Deng, Wang and
+    Feng, 2011). So block, length, d, piece and its letters are an equality that both sides are dealt by, and it loses no pair.
     """
-    n = F.length("name")
+    n, d, m, k = F.length("name"), F.col("d"), F.col("len"), F.col("k")
     block = F.substring("name", 1, 1)
-    least, most = F.ceil(n * threshold - SLACK).cast("int"), n
-    a = names.select(F.col("name_id").alias("ia"), F.col("name").alias("na"), block.alias("block"), F.explode(F.sequence(F.greatest(F.lit(1), least), most)).alias("len"))
-    b = names.select(F.col("name_id").alias("ib"), F.col("name").alias("nb"), block.alias("block"), n.alias("len"))
-    met = a.join(b, ["block", "len"]).filter((F.length("na") > F.length("nb")) | (F.col("ia") < F.col("ib")))
+    start = lambda j: F.floor(j * m / (d + 1)).cast("int")
+    size = F.when(m >= PIECE * (d + 1), start(k + 1) - start(k)).otherwise(0)
+    given = names.select("name_id", "name", block.alias("block"), n.alias("n"))
+    short = given.select("name_id", "name", "block", F.col("n").alias("len"), F.explode(F.sequence(_edits(F.col("n"), threshold), _edits(F.floor(F.col("n") / threshold + SLACK), threshold))).alias("d"))
+    short = short.withColumn("k", F.explode(F.sequence(F.lit(0), _pieces(m, d) - 1)))
+    b = short.withColumns({"s": start(k), "z": size}).select(F.col("name_id").alias("ib"), F.col("name").alias("nb"), "block", "len", "d", "k", F.expr("substring(name, s + 1, z)").alias("piece"))
+    long = given.withColumn("d", _edits(F.col("n"), threshold)).withColumn("len", F.explode(F.sequence(F.greatest(F.lit(1), F.col("n") - d), F.col("n")))).withColumn("k", F.explode(F.sequence(F.lit(0), _pieces(m, d) - 1)))
+    long = long.withColumns({"s": start(k), "z": size})
+    more = F.col("n") - m
+    low, high = F.greatest(-k, more - (d - k), -F.col("s")), F.least(k, more + (d - k), F.col("n") - F.col("z") - F.col("s"))
+    shifts = F.when(F.col("z") == 0, F.array(F.lit(0))).when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
+    a = long.withColumn("t", F.explode(shifts)).select(F.col("name_id").alias("ia"), F.col("name").alias("na"), "block", "len", "d", "k", F.expr("substring(name, s + t + 1, z)").alias("piece"))
+    met = a.join(b, ["block", "len", "d", "k", "piece"]).filter((F.length("na") > F.length("nb")) | (F.col("ia") < F.col("ib"))).select("ia", "ib", "na", "nb").distinct()
     scored = met.withColumn("ratio", ratio(F.col("na"), F.col("nb"))).filter(F.col("ratio") >= threshold)
     return scored.select(F.least("ia", "ib").alias("a"), F.greatest("ia", "ib").alias("b"), "ratio")
 

@@ -149,6 +149,7 @@ SELECT 'move' AS action, full_path AS path, length AS bytes, '/trash/' || CASE W
     "reasons_by_similarity": f"WITH {MERGED}, {REASONS} SELECT group_id, n_files, (row_number() OVER (PARTITION BY sk ORDER BY similarity DESC, CASE method WHEN 'ExactContent' THEN 0 ELSE 1 END, gk) - 1)::INT AS place, method, similarity FROM rs",
     "groups_by_column": f"WITH {MERGED} SELECT row_number() OVER (ORDER BY total_bytes DESC, group_id) AS ordinal, total_bytes FROM g",
     "files_by_name": f"WITH {FILES} SELECT row_number() OVER (ORDER BY file_name, file_id) AS ordinal, file_id, file_name FROM f",
+    "photo_texts": f"WITH {IMAGES} SELECT file_id, width::VARCHAR || '×' || height::VARCHAR AS resolution, ((width::BIGINT * height + 50000) // 100000 // 10)::VARCHAR || '.' || ((width::BIGINT * height + 50000) // 100000 % 10)::VARCHAR AS megapixels FROM i",
     "photo_counts": f"WITH {PHOTOS} SELECT count(*) AS n_photos, count(*) FILTER (len(flags) > 0) AS n_flagged FROM ph",
     "selection_totals": f"WITH {FILES}, {SIZED} SELECT count(*) AS n_selected, coalesce(sum(length), 0)::BIGINT AS bytes_selected FROM (SELECT *, row_number() OVER (PARTITION BY group_key ORDER BY day DESC, pos) AS rn FROM sg) WHERE rn > 1",
     "candidate_bytes": f"WITH {FILES}, q AS (SELECT length, count(*) AS n, count(*) * length AS b FROM f GROUP BY length HAVING count(*) > 1), h AS (SELECT length, content[1:65536] || CASE WHEN length > 131072 THEN content[-65536:] ELSE '' END AS part FROM f), r AS (SELECT length, count(*) AS n, count(*) * length AS b FROM h GROUP BY length, part HAVING count(*) > 1) SELECT (SELECT coalesce(sum(n), 0)::BIGINT FROM q) AS n_quick, (SELECT coalesce(sum(b), 0)::BIGINT FROM q) AS bytes_quick, (SELECT coalesce(sum(n), 0)::BIGINT FROM r) AS n_full, (SELECT coalesce(sum(b), 0)::BIGINT FROM r) AS bytes_full",

@@ -349,6 +349,12 @@ def photo_flagged_only(spark, d):
     return _photos(spark, d).filter(F.size("flags") > 0).select("file_id", "score", text.resolution(F.col("width"), F.col("height")).alias("resolution"))
 
 
+@query
+def photo_texts(spark, d):
+    w, h = F.col("width"), F.col("height")
+    return bindings.images(spark, d).select("file_id", text.resolution(w, h).alias("resolution"), text.megapixels_text(w, h).alias("megapixels"))
+
+
 @query
 def screenshot_rule(spark, d):
     return bindings.images(spark, d).select("file_id", media.is_screenshot(F.col("file_name"), F.col("extension"), F.col("width"), F.col("height")).alias("screenshot"))
