@@ -756,7 +756,7 @@ def test_language_stage_keeps_texts_where_no_language_is_known(spark):
     assert sorted(r.doc_id for r in corpus_pipeline.language(spark, df, "").collect()) == [0, 2, 4]
 
 
-def test_pipeline_against_brute_force(spark, tmp_path):
+def test_pipeline_against_brute_force(spark, tmp_path, monkeypatch):
     import corpus_pipeline
     from tokenizers import Tokenizer
 
@@ -773,7 +773,12 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     df.write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame([(k, 1, int(k == 5)) for k in range(0, 60, 2)] + [(5, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
     spark.createDataFrame([(0, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
-    got = {r.doc_id: r for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    got = {r.doc_id: r for r in corpus_pipeline.run(spark, str(tmp_path), str(tmp_path / "run")).collect()}
+    # A run that failed after a stage goes on with the next; what came before is gone.
+    assert sorted(p.name for p in (tmp_path / "run").iterdir() if p.is_dir()) == ["4"]
+    again = [(name, (lambda *_: 1 / 0) if k < 4 else stage) for k, (name, stage) in enumerate(corpus_pipeline.STAGES)]
+    monkeypatch.setattr(corpus_pipeline, "STAGES", again)
+    assert {r.doc_id: r for r in corpus_pipeline.run(spark, str(tmp_path), str(tmp_path / "run")).collect()} == got
     left = [k for k in range(60) if k not in (5, 8, 9)]
     roots = brute_links([brute_fingerprint(texts[k]) for k in left], lambda a, b: (a ^ b).bit_count() <= 3)
     want = [k for i, k in enumerate(left) if roots[i] == i and not brute_decontam(texts[k], [(0, item)])[1]]
@@ -795,6 +800,21 @@ def test_stages_keep_columns(spark, tmp_path):
             assert stage(spark, rows, str(tmp_path)).columns == df.columns
 
 
+def test_stages_of_null_and_repeated_keys(spark, tmp_path):
+    """A benchmark passage goes whatever its key, a clean text of the same key stays; one row of a group stays."""
+    import corpus_pipeline
+
+    rng = random.Random(23)
+    a, b, c = (prose(rng, ["an", "the", "or", "ing", "ble", "st"], 60) for _ in range(3))
+    spark.createDataFrame([(0, c)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    rows = [(None, c), (None, a), (7, b), (7, c), (7, a), (8, a)]
+    df = spark.createDataFrame([(k, t, None, None, None) for k, t in rows], DOC)
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        df = stage(spark, df, str(tmp_path))
+    assert sorted((r.doc_id, r.text) for r in df.collect()) == sorted([(7, a), (7, b)])
+
+
 def test_remainder(spark):
     from twinfold.llm.sampling import remainder
 

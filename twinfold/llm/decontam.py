@@ -137,8 +137,8 @@ def judge(docs: DataFrame, items: DataFrame, keep: tuple[str, ...] = (), text: s
 def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
     """``docs`` without the documents that hold a window of an item; all columns stay."""
     _, found, n = judge(docs, items, (), text, item_key, item_text)
-    found = found.select(F.col("_digest").alias("_hit"))
-    return docs.join(_few(found, n), _digest(text) == F.col("_hit"), "left_anti").select(*docs.columns)
+    found = found.select(F.col("_digest").alias("__hit"))
+    return docs.join(_few(found, n), _digest(text) == F.col("__hit"), "left_anti").select(*docs.columns)
 
 
 def report(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:

@@ -396,7 +396,7 @@ def near_duplicates(df: DataFrame, key: str = "vec_id", vector: str = "embedding
     linked, recall = _searched(points.select("rep", "n", "vector"), cosine)
     found, counts = components(linked.filter("v is not null").select("u", "v")), _counts(linked)
     rooted = cut(points.join(counts, points.rep == counts.u).join(found, points.rep == found.node, "left").select("vector", "least", (F.col("n_links") + F.col("n") - 1).alias("links"), F.coalesce("component", "rep").alias("root")))
-    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("vector", "links", "component_id")
+    named = rooted.join(cut(rooted.groupBy("root").agg(F.min("least").alias("component_id"))), "root").select("vector", "links", "component_id")
     # Rows that link with nothing must not meet a class: their vectors are none of its.
     out = rows.join(named, "vector", "left").select(F.col("id").alias(key), F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "id").alias("component_id"))
     return out.withColumn("kept", F.col(key).eqNullSafe(F.col("component_id"))).withColumn("audited_recall", F.lit(float(recall)))

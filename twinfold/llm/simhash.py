@@ -207,7 +207,8 @@ def _components(rows: DataFrame, key: str, most: int) -> DataFrame:
     points = cut(rows.groupBy("fp").agg(F.min(F.col(key).cast("long")).alias("least")).withColumn("rep", F.col("fp")))
     found = components(links(points, most))
     rooted = cut(points.join(found, points.rep == found.node, "left").select("fp", F.coalesce("component", "fp").alias("component"), "least"))
-    return rooted.drop("least").join(rooted.groupBy("component").agg(F.min("least").alias("least")), "component")
+    # Cut, so the join is of two plain inputs and Spark can split a component that holds much.
+    return rooted.drop("least").join(cut(rooted.groupBy("component").agg(F.min("least").alias("least"))), "component")
 
 
 def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", size: int = SHINGLE, seed: int = SEED, most: int = BITS) -> DataFrame:
@@ -223,21 +224,21 @@ def deduplicate(df: DataFrame, text: str = "text", key: str = "doc_id") -> DataF
     What goes is told by key and a hash of the text, and sent to the texts while it is at most BROADCAST rows.
     """
     mark = F.xxhash64(F.coalesce(F.col(text), F.lit("")))
-    prints = fingerprints(df.select(F.col(key), F.col(text), mark.alias("mark")), text, key, more=("mark",))
-    rows = written(prints.groupBy(key, "mark").agg(F.min("fp").alias("fp"), F.count(F.lit(1)).alias("n")))[0]
+    prints = fingerprints(df.select(F.col(key), F.col(text), mark.alias("__mark")), text, key, more=("__mark",))
+    rows = written(prints.groupBy(key, "__mark").agg(F.min("fp").alias("fp"), F.count(F.lit(1)).alias("n")))[0]
     named = rows.join(_components(rows, key, BITS).select("fp", "component"), "fp")
-    order = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), F.col("mark"))
-    best = named.groupBy("component").agg(F.min(order).alias("best"))
-    told = named.join(best, "component").select(key, "mark", "n", (order == F.col("best")).alias("stays"))
+    order = F.struct(F.col(key).isNull().alias("none"), F.col(key).alias("key"), F.col("__mark"))
+    best = cut(named.groupBy("component").agg(F.min(order).alias("best")))
+    told = named.join(best, "component").select(key, "__mark", "n", (order == F.col("best")).alias("stays"))
     told, path, seen = written(told.filter("not stays or n > 1"), F.count(F.when(~F.col("stays"), 1)).alias("go"), F.count(F.when(F.col("stays"), 1)).alias("again"))
 
     def joined(left: DataFrame, right: DataFrame, n: int, how: str) -> DataFrame:
-        few = right.select(F.col(key).alias("_key"), F.col("mark").alias("_mark"))
-        return left.join(F.broadcast(few) if n <= BROADCAST else few, F.col(key).eqNullSafe(F.col("_key")) & (mark == F.col("_mark")), how)
+        few = right.select(F.col(key).alias("__key"), F.col("__mark").alias("__mark"))
+        return left.join(F.broadcast(few) if n <= BROADCAST else few, F.col(key).eqNullSafe(F.col("__key")) & (mark == F.col("__mark")), how)
 
     kept = joined(df, told.filter("not stays"), seen["go"], "left_anti")
     if seen["again"]:
         again = told.filter("stays")
-        one = joined(kept, again, seen["again"], "left_semi").withColumn("_mark", mark).dropDuplicates([key, "_mark"]).drop("_mark")
+        one = joined(kept, again, seen["again"], "left_semi").withColumn("__mark", mark).dropDuplicates([key, "__mark"]).drop("__mark")
         kept = joined(kept, again, seen["again"], "left_anti").unionByName(one)
     return kept.select(*df.columns)
