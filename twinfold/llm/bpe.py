@@ -28,12 +28,14 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from twinfold.common import ship
 from twinfold.llm.memory import tidy
 
-#: Distinct pieces, and distinct neighbour pairs, of a generation; a worker remembers two.
-CACHE_WORDS, CACHE_PAIRS = 150_000, 150_000
-#: Bytes of text handled together.
-BATCH_CHARS = 4_000_000
+#: Distinct pieces of a generation, of which a worker remembers two; distinct neighbour pairs remembered; pairs tested together.
+CACHE_WORDS, CACHE_PAIRS, TESTED = 60_000, 500_000, 20_000
+#: Bytes of text handled together, by other operators and by this one.
+BATCH_CHARS, TOGETHER = 1_000_000, 1_000_000
 #: A longer word is merged with a heap, a shorter one by repeated scans.
 SCAN_MAX = 48
+#: Cells of the tables in which words are merged in step.
+CELLS = 300_000
 NO_MERGE, RIGHT = np.iinfo(np.int64).max, 0x7FFFFFFF
 
 #: The pre-tokenizer's published split pattern.
@@ -128,8 +130,14 @@ class Vocabulary:
         self.prefix = bool(spec["pre_tokenizer"].get("add_prefix_space"))
         self.split = regex.compile(SPLIT).findall
         self.cut_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")").split if self.special else lambda t: [t]
+        del self.ids
         self.known = Pieces(self._learn)
-        self.fits: tuple[dict[int, bool], dict[int, bool]] = ({}, {})
+        self.fits = np.zeros(0, np.int64), np.zeros(0, bool)  # pairs known, in order, and whether they stay
+
+    def forget(self) -> None:
+        """Drops what texts taught: a worker does other tasks next, and keeps the vocabulary only."""
+        self.known = Pieces(self._learn)
+        self.fits = np.zeros(0, np.int64), np.zeros(0, bool)
 
     def _grow_trie(self) -> None:
         """Transitions packed as state and byte, sorted; the token that ends in each state, or -1."""
@@ -192,7 +200,7 @@ class Vocabulary:
         at = 0
         while at < len(order) and len(words[order[at]]) <= SCAN_MAX:
             to, most = at, len(words[order[at]]) + 4
-            while to < len(order) and len(words[order[to]]) <= min(most, SCAN_MAX) and to - at < 65_536:
+            while to < len(order) and len(words[order[to]]) <= min(most, SCAN_MAX) and to - at < CELLS // most:
                 to += 1
             self._together([words[k] for k in order[at:to]], order[at:to], out)
             at = to
@@ -214,7 +222,7 @@ class Vocabulary:
             r = rank[rows, k]
             live = r < NO_MERGE
             for i in np.flatnonzero(~live).tolist():
-                out[where[i]] = ids[i, : n[i]]
+                out[where[i]] = ids[i, : n[i]].copy()  # a view would keep the whole table
             ids, rank, where, n, k, r = ids[live], rank[live], where[live], n[live] - 1, k[live], r[live]
             if not len(where):
                 break
@@ -252,17 +260,24 @@ class Vocabulary:
         return [p for p in parts if p >= 0]
 
     def _tests(self, keys: np.ndarray) -> np.ndarray:
-        """Whether each packed neighbour pair, or single token (left half all ones), stays as it is."""
-        young, old = self.fits
-        if len(young) > CACHE_PAIRS:
-            young, old = self.fits = {}, young
-        all_ = keys.tolist()
-        young.update((k, old[k]) for k in all_ if k not in young and k in old)
-        new = [k for k in all_ if k not in young]
-        wants = [[k & RIGHT] if k >> 32 == RIGHT else [k >> 32, k & RIGHT] for k in new]
-        for k, want, got in zip(new, wants, self.exact([b"".join(map(self.bytes.__getitem__, w)) for w in wants]), strict=True):
-            young[k] = got.tolist() == want
-        return np.fromiter(map(young.__getitem__, all_), bool, len(all_))
+        """Whether each packed neighbour pair, or single token (left half all ones), stays as it is; keys ascend."""
+        known, fits = self.fits
+        at = np.minimum(np.searchsorted(known, keys), max(0, len(known) - 1))
+        old = known[at] == keys if len(known) else np.zeros(len(keys), bool)
+        out = np.zeros(len(keys), bool)
+        out[old] = fits[at[old]]
+        new = np.flatnonzero(~old)
+        for some in np.array_split(new, len(new) // TESTED + 1):
+            wants = [[k & RIGHT] if k >> 32 == RIGHT else [k >> 32, k & RIGHT] for k in keys[some].tolist()]
+            got = self.exact([b"".join(map(self.bytes.__getitem__, w)) for w in wants])
+            out[some] = [g.tolist() == w for g, w in zip(got, wants, strict=True)]
+        if len(known) > CACHE_PAIRS:
+            self.fits = keys, out
+        elif len(new):
+            known, fits = np.concatenate([known, keys[new]]), np.concatenate([fits, out[new]])
+            order = np.argsort(known, kind="stable")
+            self.fits = known[order], fits[order]
+        return out
 
     def _code(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of distinct words, one word after another, and how many each has."""
@@ -437,11 +452,14 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", decod
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = vocabulary(path)
-        for batch in batches:
-            for part in slices(batch, text):
-                found, ends = v.encode(part.column(text))
-                out = _set(part if keep_text else part.drop_columns([text]), ids, _lists(found, ends))
-                yield out if decoded is None else _set(out, decoded, pa.array((v.decode(found[a:b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)), pa.string()))
+        try:
+            for batch in batches:
+                for part in slices(batch, text, TOGETHER):
+                    found, ends = v.encode(part.column(text))
+                    out = _set(part if keep_text else part.drop_columns([text]), ids, _lists(found, ends))
+                    yield out if decoded is None else _set(out, decoded, pa.array((v.decode(found[a:b]) for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)), pa.string()))
+        finally:
+            v.forget()
 
     shape = _typed(df if keep_text else df.drop(text), ids, T.ArrayType(T.IntegerType()))
     if decoded is not None:
