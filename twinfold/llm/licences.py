@@ -87,6 +87,8 @@ DOCS, SAMPLE, FALSE_SHARE = 200, 400, 0.002
 #: Probability from which a family is predicted; shares of grams from which it is confirmed.
 LEAST, CONFIRM = 0.6, 0.8
 ROUNDS, RATE, MOMENTUM, RIDGE = 150, 2.0, 0.9, 1e-4
+#: Buckets of grams' hashes in which the most that a gram can add is held.
+BUCKETS = 1 << 16
 #: Every so many forms of a family calibrate the model instead of fitting it.
 HELD = 5
 #: Weight of a sentence of a license's own wording, where a sentence that names the license weighs 1.
@@ -204,14 +206,17 @@ def classify(rows: DataFrame, model: Model, keep: tuple[str, ...] = ()) -> DataF
     most = max(model.offsets[:-1]) - model.offsets[-1]
     # A family's probability is at least LEAST only if its lead on the unknown class is at least this.
     least = math.log(LEAST / (1 - LEAST))
-    bound = spark.createDataFrame([(g, float(m)) for g, m in best.items() if m > 0], "gram long, most double")
+    bound = [0.0] * BUCKETS
+    for g, m in best.items():
+        bound[g % BUCKETS] = max(bound[g % BUCKETS], m)
     table = spark.createDataFrame([(g, w) for g, w in model.weights.items()], "gram long, w array<double>")
-    # An outer explode: for others Spark adds a filter on the array and moves it below, where each use would make the words anew.
-    split = rows.select(*by, words(F.col("paragraph")).alias("_w")).select(*by, grams(F.col("_w")).alias("_g")).select(*by, F.size("_g").alias("_n"), F.explode_outer("_g").alias("gram"))
+    # A literal, so the sum is taken in the row; grams that share a bucket have the greater one's bound.
+    bounds = F.split(F.lit(",".join(f"{x:.9g}" if x else "0" for x in bound)), ",").cast("array<double>")
+    # The number keeps Spark from moving the filter below, where each use of the words would make them anew.
+    split = rows.select(*by, words(F.col("paragraph")).alias("_w")).select(*by, grams(F.col("_w")).alias("_g"), F.monotonically_increasing_id().alias("_b"))
+    lead = F.aggregate("_g", F.lit(0.0), lambda a, x: a + F.get(bounds, F.pmod(x, F.lit(BUCKETS)).cast("int")))
+    again = cut(split.filter(lead / F.sqrt(F.size("_g")) + F.lit(most + 1e-6) >= F.lit(least)).select(*by, F.size("_g").alias("_n"), "_g", "_b")).drop("_b")
     # As many rows as the bounded sample and the forms hold grams.
-    lead = split.join(F.broadcast(bound), "gram").groupBy(*by, "_n").agg(F.sum("most").alias("most"))
-    near = cut(lead.filter(F.col("most") / F.sqrt("_n") + F.lit(most) >= F.lit(least)).select(*by, "_n"))
-    again = near.select(*by, "_n", words(F.col("paragraph")).alias("_w")).select(*by, "_n", grams(F.col("_w")).alias("_g"))
     sums = again.select(*by, "_n", "_g", F.explode_outer("_g").alias("gram")).join(F.broadcast(table), "gram").groupBy(*by, "_n", "_g").agg(*(F.sum(F.col("w")[c]).alias(f"_z{c}") for c in range(last + 1)))
     z = F.array(*(F.col(f"_z{c}") / F.sqrt("_n") + F.lit(model.offsets[c]) for c in range(last + 1)))
     scored = sums.select(*by, "_n", "_g", z.alias("_z")).withColumn("_e", F.transform("_z", lambda x: F.exp(x - F.array_max("_z"))))
