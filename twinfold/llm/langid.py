@@ -21,6 +21,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
 from twinfold.common import ship
@@ -30,8 +31,10 @@ from twinfold.llm.sampling import bounded
 
 #: Training documents of each language, and what is kept of each language: words, and n-grams of each length.
 DOCS, WORDS, GRAMS, ORDERS = 600, 20_000, 8_000, (4, 3, 2, 1)
-#: Words remembered by a worker.
-CACHE = 200_000
+#: Pieces of text remembered by a worker; words of one text summed together.
+CACHE, BLOCK = 300_000, 65_536
+#: A run of ASCII signs other than small letters: none is part of a word of a text in small letters.
+NOT_LETTER = r"[\x00-\x60\x7B-\x7F]+"
 LONG = 64
 #: Softmax sharpness on the mean log frequency of a word.
 SHARPNESS = 8.0
@@ -54,8 +57,11 @@ class Model:
     table: np.ndarray = field(default_factory=lambda: np.zeros((1, 0)))
 
     def __post_init__(self):
+        self._clear()
+
+    def _clear(self) -> None:
         self.cache: dict[str, int] = {}
-        self.rows = np.zeros((0, len(self.langs)))
+        self.rows, self.sizes, self.real = np.zeros((0, len(self.langs))), np.zeros(0, np.int64), np.zeros(0, bool)
 
     def _unseen(self, word: str) -> list[int]:
         padded, known, out = f" {word} ", self.grams, []
@@ -67,31 +73,41 @@ class Model:
         return out or [0]
 
     def learn(self, new: list[str]) -> None:
-        if len(self.cache) + len(new) > CACHE:
-            self.cache, self.rows = {}, np.zeros((0, len(self.langs)))
-        found = [[k] if (k := self.words.get(w)) is not None else self._unseen(w) for w in new]
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        starts = np.cumsum(sizes) - sizes
-        rows = np.add.reduceat(self.table[np.fromiter((i for x in found for i in x), np.int64, int(sizes.sum()))], starts) / sizes[:, None]
-        at = len(self.rows)
-        self.rows = np.concatenate([self.rows, rows])
+        """Remembers new pieces of text: the sum of their words' frequencies, how many words they are, and whether any has a letter."""
+        words = [letters(p) for p in new]
+        flat = [w for ws in words for w in ws]
+        found = [[k] if (k := self.words.get(w)) is not None else self._unseen(w) for w in flat]
+        many = np.fromiter(map(len, found), np.int64, len(found))
+        mean = np.add.reduceat(self.table[np.fromiter((i for x in found for i in x), np.int64, int(many.sum()))], np.cumsum(many) - many) / many[:, None] if found else np.zeros((0, len(self.langs)))
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        sums = np.zeros((len(new), len(self.langs)))
+        np.add.at(sums, np.repeat(np.arange(len(new)), sizes), mean)
+        at = len(self.sizes)
+        self.rows, self.sizes = np.concatenate([self.rows, sums]), np.concatenate([self.sizes, sizes])
+        self.real = np.concatenate([self.real, np.fromiter((any(ch.isalpha() for ch in p) for p in new), bool, len(new))])
         self.cache.update(zip(new, range(at, at + len(new)), strict=True))
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
-        docs = [letters(t.lower()) if t else [] for t in texts]
-        # The pattern also takes signs such as raised digits; a text of those alone has no letter.
-        docs = [d if any(ch.isalpha() for w in d for ch in w) else [] for d in docs]
-        langs, scores = [UNDETERMINED] * len(docs), np.zeros(len(docs))
-        if not self.langs:
+        """Language and score of each text. Texts are cut at ASCII signs, which no word holds, all at once; each distinct piece is looked up once."""
+        langs, scores = [UNDETERMINED] * len(texts), np.zeros(len(texts))
+        if not self.langs or not texts:
             return langs, scores
-        each = {w for d in docs for w in d}
-        if len(self.cache) + len(each) > CACHE:
-            self.cache, self.rows = {}, np.zeros((0, len(self.langs)))
-        if new := [w for w in each if w not in self.cache]:
+        plain = pc.replace_substring_regex(pa.array([(t or "").lower() for t in texts], pa.string()), NOT_LETTER, " ")
+        lists = pc.split_pattern(plain, " ")
+        coded = lists.flatten().dictionary_encode()
+        pieces = coded.dictionary.to_pylist()
+        if len(self.cache) + len(pieces) > CACHE:
+            self._clear()
+        if new := [p for p in pieces if p not in self.cache]:
             self.learn(new)
-        for k, d in enumerate(docs):
-            if d:
-                mean = self.rows[np.fromiter(map(self.cache.__getitem__, d), np.int64, len(d))].mean(0)
+        at = np.fromiter(map(self.cache.__getitem__, pieces), np.int64, len(pieces))[coded.indices.to_numpy()]
+        ends = lists.offsets.to_numpy().astype(np.int64)
+        ends -= ends[0]
+        for k, (a, b) in enumerate(zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)):
+            own = at[a:b]
+            # Signs such as raised digits are taken for words; a text of those alone has no letter.
+            if self.real[own].any():
+                mean = sum(self.rows[own[x : x + BLOCK]].sum(0) for x in range(0, len(own), BLOCK)) / self.sizes[own].sum()
                 e = np.exp(SHARPNESS * (mean - mean.max()))
                 best = int(e.argmax())
                 langs[k], scores[k] = self.langs[best], e[best] / e.sum()
