@@ -14,7 +14,7 @@ needs_data = pytest.mark.skipif(not os.path.isdir(DATA), reason="the driver's ta
 def test_one_query_for_each_operator():
     import __spark_entry__
 
-    assert sorted(int(re.match(r"op(\d+)_", q)[1]) for q in QUERIES) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", q)[1]) for q in QUERIES) == list(range(1, 14))
     assert {*QUERIES, "pipeline"} <= set(__spark_entry__.queries())
 
 

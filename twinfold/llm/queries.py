@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from twinfold.common import cut, remove, scratch, ship, table
-from twinfold.llm import bpe, chat, decontam, embeddings, langid, licences, quality, simhash, toxicity, warc
+from twinfold.llm import bpe, chat, decontam, embeddings, langid, licences, lines, quality, runs, simhash, toxicity, trie, warc
 from twinfold.llm.sampling import remainder
 
 
@@ -134,6 +135,86 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), bpe.ids_digest(F.col("ids")).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op11_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = lines.drop_repeated(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+OP11_SQL = r"""
+WITH l AS (SELECT r, doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS k FROM (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents)),
+k AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+m AS (SELECT key, max(doc_id) AS last FROM k WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT r) >= 5)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (NOT gone), '')) AS kept_sha256
+FROM (SELECT r, doc_id, line, k.k, m.key IS NOT NULL AND doc_id IS DISTINCT FROM last AS gone FROM k LEFT JOIN m USING (key)) GROUP BY r, doc_id
+"""
+
+#: CRC-32 of the decimal text of a whole number {0}.
+CRC32_SQL = """xor(list_reduce(list_prepend(4294967295::BIGINT, flatten(list_transform(range(1, length({0}::VARCHAR) + 1), lambda i: [ord(substr({0}::VARCHAR, i, 1))::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+lambda c, x: CASE WHEN x >= 0 THEN xor(c, x) ELSE xor(c >> 1, (c & 1) * 3988292384) END), 4294967295)"""
+
+
+def planted(key: int | None, words: list[bytes]) -> list[bytes]:
+    """Every tenth text by the CRC-32 of its key repeats itself from some word on; a null key's never does."""
+    h = zlib.crc32(str(key).encode()) if key is not None else 1
+    n, g = len(words), h // 10
+    if h % 10 or not n:
+        return words
+    a = g % n
+    p = 1 + (n - a) // (3 + g % 8)
+    return words[:a] + (words[a : a + p] * -(-(n - a) // p))[: n - a]
+
+
+def op12_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.periodic_runs(table(spark, sf_dir, "documents"), rewrite=planted)
+    lines_ = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")), F.lit("\n")))
+    top = F.col("strongest")
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), top["start"].alias("start"), top["length"].alias("length"), top["period"].alias("period"), F.expr("strongest.length * 1000 div strongest.period").alias("exponent_milli"),
+        F.sha2(F.array_join(lines_, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
+OP12_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce({CRC32_SQL.format("doc_id")}, 1) AS h, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS ws FROM documents),
+g AS (SELECT *, len(ws) AS n, h // 10 AS g, CASE WHEN h % 10 = 0 AND len(ws) > 0 THEN (h // 10) % len(ws) END AS a FROM d),
+p AS (SELECT *, 1 + (n - a) // (3 + g % 8) AS q FROM g),
+w AS (SELECT r, n, i, ws[1 + CASE WHEN i >= a THEN a + (i - a) % q ELSE i END] AS w FROM (SELECT *, unnest(range(n)) AS i FROM p)),
+e AS (SELECT x.r, y.i - x.i AS p, x.i AS t FROM w x JOIN w y ON x.r = y.r AND x.w = y.w AND y.i > x.i AND 4 * (y.i - x.i) <= x.n),
+s AS (SELECT r, p, min(t) AS s, count(*) + p AS len FROM (SELECT *, t - row_number() OVER (PARTITION BY r, p ORDER BY t) AS island FROM e) GROUP BY r, p, island HAVING count(*) + p >= greatest(6, 4 * p)),
+o AS (SELECT r, s, len, min(p) AS p FROM s GROUP BY r, s, len),
+gone AS (SELECT DISTINCT r, unnest(range(s + p, s + len)) AS i FROM o),
+c AS (SELECT w.r, string_agg(w, ' ' ORDER BY i) AS text FROM w ANTI JOIN gone USING (r, i) GROUP BY w.r),
+best AS (SELECT r, s, len, p FROM (SELECT *, row_number() OVER (PARTITION BY r ORDER BY len / p DESC, s, p) AS k FROM o) WHERE k = 1),
+al AS (SELECT r, count(*) AS n_runs, string_agg(s || ',' || len || ',' || p || chr(10), '' ORDER BY s, p) AS txt FROM o GROUP BY r)
+SELECT d.doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, s::BIGINT AS start, len::BIGINT AS length, p::BIGINT AS period, (1000 * len // p)::BIGINT AS exponent_milli, sha256(coalesce(txt, '')) AS runs_sha256, sha256(coalesce(text, '')) AS collapsed_sha256
+FROM d LEFT JOIN best USING (r) LEFT JOIN al USING (r) LEFT JOIN c USING (r)
+"""
+
+
+def op13_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conv = F.col("conv")
+    rows, sizes = trie.spliced(trie.turns(table(spark, sf_dir, "conversations")), conv - conv % 5, F.crc32(conv.cast("string").cast("binary")) % 9)
+    return trie.prefix_trie(rows, sizes).drop("node")
+
+
+OP13_SQL = f"""
+WITH t AS (SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) - 1 AS pos,
+coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+k AS (SELECT c, c - c % 5 AS donor, count(*) AS own, {CRC32_SQL.format("c")} % 9 AS h FROM t GROUP BY c),
+f AS (SELECT k.*, least(k.h, coalesce(o.own, 0)) AS head FROM k LEFT JOIN k o ON o.c = k.donor),
+r AS (SELECT f.c, pos + 1 AS d, role, text FROM f JOIN t ON t.c = donor AND pos < head UNION ALL SELECT f.c, pos - h + head + 1, role, text FROM f JOIN t USING (c) WHERE pos >= h),
+n AS (SELECT f.c, coalesce(max(d), 0) AS n FROM f LEFT JOIN r USING (c) GROUP BY f.c),
+l AS (SELECT c, list(sha256(strlen(role) || ':' || role || text) ORDER BY d) AS x, list(strlen(text) ORDER BY d) AS b FROM r GROUP BY c),
+path AS (SELECT c, d, n, sha256(array_to_string(x[1 : d], ',')) AS node, sha256(array_to_string(x[1 : d - 1], ',')) AS up, coalesce(b[d], 0) AS b FROM (SELECT n.c, n, coalesce(x, []) AS x, coalesce(b, []) AS b, unnest(range(n + 1)) AS d FROM n LEFT JOIN l USING (c))),
+nodes AS (SELECT node, d, CASE WHEN d > 0 THEN any_value(up) END AS up, min(c) AS conv, count(*) AS m, any_value(b) AS b, sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (n = d), '')) AS ends FROM path GROUP BY node, d),
+ch AS (SELECT up AS node, count(*) AS k FROM nodes WHERE up IS NOT NULL GROUP BY up),
+v AS (SELECT nodes.*, coalesce(k, 0) AS k FROM nodes LEFT JOIN ch USING (node)),
+sums AS (SELECT path.node, sum((v.k = 0)::INT)::BIGINT AS leaves, sum((v.m - 1) * v.b)::BIGINT AS saved FROM v JOIN path ON path.c = v.conv AND path.d <= v.d GROUP BY path.node)
+SELECT v.conv AS conv_id, v.d::BIGINT AS depth, o.conv AS parent_conv_id, v.m AS n_convs, v.k AS n_children, leaves AS n_leaves, saved AS saved_tokens, v.ends AS ends_sha256
+FROM v JOIN sums USING (node) LEFT JOIN v o ON o.node = v.up
+"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_licences": op2_licences,
@@ -145,6 +226,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_toxicity": op9_toxicity,
     "op10_bpe": op10_bpe,
+    "op11_lines": op11_lines,
+    "op12_runs": op12_runs,
+    "op13_trie": op13_trie,
 }
 
 ORACLES: dict[str, str] = {
@@ -152,4 +236,7 @@ ORACLES: dict[str, str] = {
     "op5_decontam": OP5_SQL,
     "op6_warc": OP6_SQL,
     "op7_chat": OP7_SQL,
+    "op11_lines": OP11_SQL,
+    "op12_runs": OP12_SQL,
+    "op13_trie": OP13_SQL,
 }
