@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from twinfold.functions import media, photo, text
-from twinfold.functions.bits import bands, dhash, hamming, hex16
+from twinfold.functions.bits import ball, chance, dhash, hamming, hex16, signed, sliced
 from twinfold.functions.names import copy_marker_score, extension, file_name, normalize, ratio, stem
 from twinfold.functions.video import frame_match, sample_positions
 
@@ -57,9 +57,25 @@ def test_bits(spark):
 
 
 @pytest.mark.parametrize("most", [0, 3, 8, 17])
-def test_bands_hold_all_bits(spark, most):
-    got = column(spark, [-1], lambda c: bands(c, most), "long")[0]
-    assert sum((s.bits & (1 << 64) - 1).bit_count() for s in got) == 64 and len(got) == most + 1
+def test_slices_share_out_the_bits_that_vary(most):
+    agree = {i: 0.5 + i % 7 / 20 for i in range(5, 61)}
+    masks, radius = sliced(agree, 100_000, most)
+    assert radius == most // len(masks) and sum(masks) == sum(1 << i for i in agree) and sum(m.bit_count() for m in masks) == len(agree)
+    assert sliced({}, 10, most) == ([0], 0) and sliced({3: 0.5}, 10, most)[0] == [8]
+
+
+def test_slices_go_by_what_hashes_agree_in():
+    fair = {i: 0.5 for i in range(64)}
+    assert len(sliced(fair, 100, 0)[0]) == 1 and len(sliced(fair, 10**9, 8)[0]) <= 4
+    # A bit that hardly tells hashes apart does not make a slice narrower for the others.
+    masks, _ = sliced({i: 0.5 if i < 24 else 0.999 for i in range(64)}, 10_000, 3)
+    assert max(m & 0xFFFFFF for m in masks) and all((m & 0xFFFFFF).bit_count() == 24 // len(masks) for m in masks)
+
+
+def test_balls_and_chances():
+    assert ball(0b1010, 1) == [0, 2, 8] and ball(0, 3) == [0] and len(ball((1 << 64) - 1, 2)) == 1 + 64 + 2016
+    assert abs(chance([0.5] * 4, 1) - 5 / 16) < 1e-12 and chance([], 0) == 1 and abs(chance([0.9, 0.2], 2) - 1) < 1e-12
+    assert signed((1 << 64) - 1) == -1 and signed(5) == 5 and signed(1 << 63) == -(1 << 63)
 
 
 def test_dhash(spark):

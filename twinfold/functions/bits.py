@@ -34,40 +34,40 @@ def dhash_ring(values: Column, start: int = 0, n: int = 64, ring: int = 64) -> C
     return from_bits(n, lambda i: F.get(values, (i + start) % ring) < F.get(values, (i + start + 1) % ring))
 
 
-def bands(x: Column, most: int) -> Column:
-    """most + 1 slices of the bits, each with its number: hashes within ``most`` bits agree in one at least."""
-    edges = [round(64 * k / (most + 1)) for k in range(most + 2)]
-    return F.array(*(F.struct(F.lit(k).alias("band"), F.shiftrightunsigned(F.shiftleft(x, 64 - b), 64 - b + a).alias("bits")) for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False))))
+def signed(x: int) -> int:
+    """The long with the same 64 bits."""
+    return x - (1 << 64) if x >> 63 else x
 
 
-def widths(slices: int) -> list[int]:
-    """Bits of each of so many slices."""
-    edges = [round(64 * k / slices) for k in range(slices + 1)]
-    return [b - a for a, b in zip(edges, edges[1:], strict=False)]
+def ball(mask: int, radius: int) -> list[int]:
+    """All patterns of at most ``radius`` bits of the mask, the empty one first."""
+    bits = [1 << i for i in range(64) if mask >> i & 1]
+    return [sum(c) for r in range(min(len(bits), radius) + 1) for c in combinations(bits, r)]
 
 
-def slices_for(n: int, most: int, probes: int = 5_000) -> int:
-    """Into how many slices to cut ``n`` hashes, so that probes and candidates together are fewest.
-
-    Of m slices, hashes within ``most`` bits differ in at most most // m bits of one: few wide slices are
-    probed often and meet few others by chance, many narrow ones the other way round.
-    """
-
-    def cost(m: int) -> float:
-        ball = [(w, sum(comb(w, k) for k in range(min(w, most // m) + 1))) for w in widths(m)]
-        return n * sum(b for _, b in ball) + n * n / 2 * sum(b / 2**w for w, b in ball) if max(b for _, b in ball) <= probes else float("inf")
-
-    return min(range(1, min(64, most + 1) + 1), key=cost)
+def chance(agree: list[float], radius: int) -> float:
+    """How likely two hashes differ in at most ``radius`` bits, given how likely they agree in each."""
+    at = [1.0] + [0.0] * radius
+    for q in agree:
+        at = [at[k] * q + (at[k - 1] * (1 - q) if k else 0.0) for k in range(radius + 1)]
+    return sum(at)
 
 
-def probed(x: Column, slices: int, radius: int) -> Column:
-    """Of each slice, its number with all bits within ``radius`` of it."""
+def sliced(agree: dict[int, float], n: int, most: int, probes: int = 2_000) -> tuple[list[int], int]:
+    """Masks of the slices to cut ``n`` hashes into, and in how many bits hashes may differ within a slice.
 
-    own = bands(x, slices - 1)
-
-    def near(k: int, w: int) -> Column:
-        found = [sum(1 << i for i in c) for r in range(min(w, radius) + 1) for c in combinations(range(w), r)]
-        masks = F.from_json(F.lit(str(found)), "array<bigint>")
-        return F.transform(masks, lambda m: F.struct(F.lit(k).alias("band"), F.get(own, k)["bits"].bitwiseXOR(m).alias("bits")))
-
-    return F.flatten(F.array(*(near(k, w) for k, w in enumerate(widths(slices)))))
+    ``agree`` has, of each bit that varies, how likely two hashes agree in it. Bits are dealt in turns, those that tell most first, and the
+    number of slices is that with the fewest probes and candidates together: few wide slices are probed often and
+    meet few others by chance, many narrow ones the other way round. Without a bit that varies there is one empty slice.
+    """
+    order = sorted(agree, key=lambda i: (agree[i], i))
+    best = (float("inf"), [0], 0)
+    for m in range(1, min(len(order), most + 1) + 1):
+        parts, radius = [[] for _ in range(m)], most // m
+        for k, i in enumerate(order):
+            parts[k % m if k // m % 2 == 0 else m - 1 - k % m].append(i)
+        balls = [sum(comb(len(p), k) for k in range(min(len(p), radius) + 1)) for p in parts]
+        if max(balls) <= probes:
+            cost = n * sum(balls) + n * n / 2 * sum(chance([agree[i] for i in p], radius) for p in parts)
+            best = min(best, (cost, [sum(1 << i for i in p) for p in parts], radius))
+    return best[1], best[2]

@@ -1,36 +1,21 @@
-"""Perceptual duplicates: hashes or frame sets within a number of bits, found by bands that must agree.
+"""Perceptual duplicates: images whose hashes, and videos most of whose frames, are within a number of bits.
 
-Hashes that differ in at most t bits differ in at most t // m bits of one of m slices, so an equality join on
-(slice, bits near it) finds every pair; each candidate is verified and counted once. Equal hashes are one node.
+Equal hashes, and equal sets of frames, are one node.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-from twinfold.common import cut
-from twinfold.functions.bits import bands, hamming, hex16, probed, slices_for
+from twinfold.common import cut, written
+from twinfold.functions.bits import hamming, hex16
 from twinfold.functions.video import frame_match
 from twinfold.operators.components import components
+from twinfold.operators.hamming import hash_pairs
+from twinfold.operators.positions import numbered_within
 from twinfold.options import FRAME_MATCH
 
 
-def hash_pairs(points: DataFrame, most: int, key: str = "id", value: str = "h") -> DataFrame:
-    """(a, b, bits): pairs of keys with a < b whose hashes differ in at most ``most`` bits; no cross join.
-
-    One side is spelt out with all bits near each of its slices, so an equality join finds the other. A pair is kept
-    in the first slice that it is near in, so none comes twice and no distinct is needed. ``points`` is counted first: cut its lineage.
-    """
-    m = slices_for(points.count(), most)
-    r = most // m
-    given = points.select(F.col(key).alias("k"), F.col(value).alias("v"))
-    a = given.select(F.col("k").alias("ka"), F.col("v").alias("va"), F.explode(probed(F.col("v"), m, r)).alias("s")).select("ka", "va", "s.band", "s.bits")
-    b = given.select(F.col("k").alias("kb"), F.col("v").alias("vb"), F.explode(bands(F.col("v"), m - 1)).alias("s")).select("kb", "vb", "s.band", "s.bits")
-    met = a.join(b, ["band", "bits"]).filter("ka < kb").withColumn("n", hamming(F.col("va"), F.col("vb"))).filter(F.col("n") <= most)
-    near = F.transform(F.arrays_zip(bands(F.col("va"), m - 1).alias("x"), bands(F.col("vb"), m - 1).alias("y")), lambda p: hamming(p["x"]["bits"], p["y"]["bits"]) <= r)
-    return met.filter(F.array_position(near, True) == F.col("band") + 1).select(F.col("ka").alias("a"), F.col("kb").alias("b"), F.col("n").alias("bits"))
-
-
 def image_clusters(files: DataFrame, most: int) -> DataFrame:
     """(group_id, file_id, length, perceptual_hash) of files in clusters of two or more."""
     rows = cut(files.filter("perceptual_hash is not null").select("file_id", "length", "perceptual_hash"))
@@ -47,33 +32,86 @@ def detect_images(files: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
     rows = cut(image_clusters(files, most))
     key = F.concat(F.lit("image:"), F.col("group_id").cast("string"))
     first = rows.groupBy("group_id").agg(F.min(F.struct((-F.col("length")).alias("o"), "file_id", "perceptual_hash")).alias("f")).select("group_id", F.col("f.file_id").alias("rep"), F.col("f.perceptual_hash").alias("rep_hash"))
-    members = rows.select(key.alias("group_key"), (F.row_number().over(Window.partitionBy("group_id").orderBy(F.desc("length"), "file_id")) - 1).alias("pos"), "file_id")
+    members = numbered_within(rows.select(key.alias("group_key"), "length", "file_id"), ["group_key"], [F.desc("length"), F.asc("file_id")]).select("group_key", "pos", "file_id")
     mean = F.avg(F.when(F.col("file_id") != F.col("rep"), hamming(F.col("perceptual_hash"), F.col("rep_hash"))))
     compared = rows.join(first, "group_id").groupBy("group_id", "rep_hash").agg(mean.alias("m"))
     similarity = F.least(F.lit(1.0), F.greatest(F.lit(0.0), 1 - F.col("m") / 64))
     return members, compared.select(key.alias("group_key"), F.lit("PerceptualImage").alias("method"), similarity.alias("similarity"), hex16(F.col("rep_hash")).alias("signature"))
 
 
+def needed(size: int, least: float) -> int:
+    """How many frames must match for their share of ``size`` to be ``least`` or more: one in any case."""
+    m = max(1, int(least * size) - 1)
+    while m / size < least:
+        m += 1
+    return m
+
+
+def _frame_links(sets: DataFrame, most: int, least: float) -> DataFrame:
+    """(a, b, share): of sets (id, high, frames), those of which ``least`` of a's frames match b's, where some file of a is before one of b's.
+
+    Distinct frames are joined first, so what follows goes by their keys. Of the frames of a set at least ``needed`` must match, so only
+    so many of them are asked for that one at least is among them: those that fewest sets hold something near of. A frame that
+    all sets share, such as a black one, brings none together. How many are needed depends on the other's size, which is part of the key.
+    """
+    spark = sets.sparkSession
+    own, _, _ = written(sets.select("id", "high", F.size("frames").alias("n"), F.size(F.filter("frames", lambda h: h.isNotNull())).alias("real"), "frames"))
+    frames, _, _ = written(own.select("id", "high", "n", "real", F.explode("frames").alias("h")).filter("h is not null").groupBy("id", "high", "n", "real", "h").agg(F.count(F.lit(1)).alias("times")))
+    held, _, _ = written(frames.groupBy("h").agg(F.count(F.lit(1)).alias("sets")))
+    pairs, _, _ = written(hash_pairs(held.select(F.col("h").alias("id"), "h"), most).select("a", "b"))
+    near = pairs.select(F.col("a").alias("h"), F.col("b").alias("other")).unionByName(pairs.select(F.col("b").alias("h"), F.col("a").alias("other"))).unionByName(held.select("h", F.col("h").alias("other")))
+    cost = near.join(held.select(F.col("h").alias("other"), "sets"), "other").groupBy("h").agg(F.sum("sets").alias("cost"))
+    sizes = sorted(r.n for r in own.select("n").distinct().collect())
+    needs = F.create_map(*(F.lit(x) for s in sizes or [1] for x in (s, needed(s, least))))
+    # Frames of one set, at most as many as its row holds.
+    rarest = Window.partitionBy("id").orderBy("cost", "h").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = frames.join(cost, "h").withColumn("before", F.coalesce(F.sum("times").over(rarest), F.lit(0)))
+    fits = F.filter(F.array(*map(F.lit, sizes or [1])), lambda s: F.element_at(needs, F.least(F.col("n"), s)) <= F.col("real") - F.col("before"))
+    asked = ranked.select("id", "h", F.explode(fits).alias("size"))
+    probes, _, _ = written(asked.join(near, "h").select("id", F.col("other").alias("h"), "size").distinct())
+    homes = frames.select(F.col("id").alias("b"), F.col("high"), F.col("n").alias("size"), "h")
+    met = probes.select(F.col("id").alias("a"), "h", "size").join(homes, ["h", "size"]).filter("a <> b and a < high").select("a", "b").distinct()
+    xs, ys = (own.select(F.col("id").alias(n), F.col("frames").alias(f"f{n}")) for n in "ab")
+    scored = met.join(xs, "a").join(ys, "b").withColumn("share", frame_match(F.col("fa"), F.col("fb"), most))
+    return scored.select("a", "b", "share")
+
+
+def frame_candidates(files: DataFrame, most: int, least: float = FRAME_MATCH) -> DataFrame:
+    """(a, b, share) of the pairs of videos that are compared, whether or not enough frames match."""
+    return _frame_links(files.filter(F.size("frame_hashes") > 0).select(F.col("file_id").alias("id"), F.col("file_id").alias("high"), F.col("frame_hashes").alias("frames")), most, least)
+
+
 def frame_pairs(files: DataFrame, most: int, least: float = FRAME_MATCH) -> DataFrame:
     """(a, b, share): videos whose share of matching frames is ``least`` or more; a is the smaller id, whose frames are counted.
 
-    Any such pair has a frame each within ``most`` bits, which band joins of the frames find.
+    Videos without a frame in common are never paired, whatever ``least`` is. Null frames match nothing; videos without frames are left out.
     """
-    rows = files.filter(F.size("frame_hashes") > 0).select("file_id", "frame_hashes")
-    frames = rows.select("file_id", F.explode(F.array_distinct("frame_hashes")).alias("h")).select("file_id", F.explode(bands(F.col("h"), most)).alias("s")).select("file_id", "s.band", "s.bits").distinct()
-    x, y = (frames.select(F.col("file_id").alias(n), "band", "bits") for n in "ab")
-    met = x.join(y, ["band", "bits"]).filter("a < b").select("a", "b").distinct()
-    xs, ys = (rows.select(F.col("file_id").alias(n), F.col("frame_hashes").alias(f"f{n}")) for n in "ab")
-    scored = met.join(xs, "a").join(ys, "b").withColumn("share", frame_match(F.col("fa"), F.col("fb"), most))
-    return scored.filter(F.col("share") >= least).select("a", "b", "share")
+    return frame_candidates(files, most, least).filter(F.col("share") >= least)
+
+
+def video_clusters(files: DataFrame, most: int, least: float = FRAME_MATCH) -> DataFrame:
+    """(node, component) of the videos that are linked with another, directly or through others.
+
+    Videos of the same frames, in any order, are one node, so copies are not paired with each other.
+    """
+    rows = files.filter(F.size("frame_hashes") > 0).select("file_id", F.array_sort("frame_hashes").alias("frames"))
+    # Copies are linked unless too many of their frames are null.
+    alike = F.when(F.size(F.filter("frames", lambda h: h.isNotNull())) / F.size("frames") >= least, F.lit(None)).otherwise(F.col("file_id"))
+    kept, _, _ = written(rows.withColumn("apart", alike))
+    sets, _, _ = written(kept.groupBy("frames", "apart").agg(F.min("file_id").alias("id"), F.max("file_id").alias("high"), F.count(F.lit(1)).alias("n")))
+    links = _frame_links(sets.select("id", "high", "frames"), most, least).filter(F.col("share") >= least).select("a", "b")
+    found = components(links.unionByName(sets.filter("n > 1").select(F.col("id").alias("a"), F.col("id").alias("b"))), "a", "b")
+    named, _, _ = written(sets.join(found, sets.id == found.node).select("frames", "apart", "component"))
+    same = kept["frames"].eqNullSafe(named["frames"]) & kept["apart"].eqNullSafe(named["apart"])
+    return kept.join(named, same).select(F.col("file_id").alias("node"), "component")
 
 
 def detect_videos(files: DataFrame, most: int, least: float = FRAME_MATCH) -> tuple[DataFrame, DataFrame]:
     """Members, largest first; similarity is the share asked for, the signature names the number of members."""
     rows = files.filter(F.size("frame_hashes") > 0).select("file_id", "length")
-    found = cut(components(frame_pairs(files, most, least), "a", "b"))
+    found = cut(video_clusters(files, most, least))
     key = F.concat(F.lit("video:"), F.col("component").cast("string"))
     joined = rows.join(found, rows.file_id == found.node)
-    members = joined.select(key.alias("group_key"), (F.row_number().over(Window.partitionBy("component").orderBy(F.desc("length"), "file_id")) - 1).alias("pos"), "file_id")
+    members = numbered_within(joined.select(key.alias("group_key"), "length", "file_id"), ["group_key"], [F.desc("length"), F.asc("file_id")]).select("group_key", "pos", "file_id")
     reasons = found.groupBy("component").count().select(key.alias("group_key"), F.lit("PerceptualVideo").alias("method"), F.lit(least).alias("similarity"), F.concat(F.lit("video:"), F.col("count").cast("string")).alias("signature"))
     return members, reasons
