@@ -75,14 +75,6 @@ def scratch(spark: SparkSession, name: str) -> str:
     return path
 
 
-def local_path(path: str) -> str:
-    """The path of a folder in a file system that is mounted on every machine, without its scheme."""
-    scheme, sep, rest = path.partition(":")
-    if sep and scheme != "file":
-        raise ValueError(f"{path} is not in a mounted file system")
-    return "/" + rest.lstrip("/") if sep else path
-
-
 _marked: set[str] = set()
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from twinfold.common import cut, local_path, scratch, ship, table
+from twinfold.common import cut, scratch, ship, table
 from twinfold.functions import media, photo, text
 from twinfold.functions.bits import dhash_ring, hex16
 from twinfold.functions.names import copy_marker_score, normalize, stem
@@ -502,7 +502,7 @@ def _tree(spark, d) -> tuple[str, DataFrame]:
     folder = F.concat(F.lit("s"), (key % 5).cast("string"), F.when(key % 7 == 0, "/.hid").otherwise(""), F.when(key % 3 == 0, "/deep/er").otherwise(""))
     path = F.concat(folder, F.when(key % 11 == 0, "/.").otherwise("/"), F.lit("f"), key.cast("string"), F.when(key % 2 == 0, ".TXT").otherwise(".md"))
     rows = table(spark, d, "documents").filter("doc_id is not null").select(path.alias("path"), F.coalesce("text", F.lit("")).cast("binary").alias("content"))
-    root = local_path(scratch(spark, "tree"))
+    root = scratch(spark, "tree")
     content.write_files(rows, root)
     return root, rows
 

@@ -1,9 +1,8 @@
-"""Sampled and full content hashes of files, read in streams on the executors."""
+"""Sampled and full content hashes of files, read in ranges on the executors wherever the files are."""
 
 from __future__ import annotations
 
 import hashlib
-import os
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -11,40 +10,38 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from twinfold.common import cut, ship
 from twinfold.operators.exact import SAMPLE_BYTES, repeated, signature
+from twinfold.sources import store
 
 BUFFER = 1 << 20
 
 
 def quick_hash(path: str, length: int) -> str:
     """SHA-256 of the first sample, and of the last where the file is longer than two."""
-    with open(path, "rb") as f:
+    with store.opened(path) as f:
         h = hashlib.sha256(f.read(SAMPLE_BYTES))
         if length > 2 * SAMPLE_BYTES:
-            f.seek(-SAMPLE_BYTES, 2)
+            f.seek(length - SAMPLE_BYTES)
             h.update(f.read(SAMPLE_BYTES))
     return h.hexdigest()
 
 
 def full_hash(path: str, length: int = 0) -> str:
     h = hashlib.sha256()
-    with open(path, "rb") as f:
+    with store.opened(path) as f:
         while data := f.read(BUFFER):
             h.update(data)
     return h.hexdigest()
 
 
 def write_files(rows: DataFrame, root: str) -> None:
-    """Writes a file for each row (path below ``root``, content), by the executors; ``root`` is mounted on all of them."""
+    """Writes a file for each row (path below ``root``, a path or URI, and content), by the executors."""
     ship(rows.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = 0
         for batch in batches:
             for path, data in zip(batch.column("path"), batch.column("content"), strict=True):
-                at = os.path.join(root, path.as_py())
-                os.makedirs(os.path.dirname(at), exist_ok=True)
-                with open(at, "wb") as f:
-                    f.write(data.as_py())
+                store.put(f"{root}/{path.as_py()}", data.as_py())
                 n += 1
         yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64())], names=["n"])
 
@@ -66,7 +63,7 @@ def with_hash(files: DataFrame, out: str, full: bool) -> DataFrame:
                     why.append(None)
                 except OSError as x:
                     found.append(None)
-                    why.append(f"{path}: {x.strerror}")
+                    why.append(f"{path}: {store.reason(x)}")
             yield pa.RecordBatch.from_arrays([*(batch.column(c.name) for c in kept), pa.array(found, pa.string()), pa.array(why, pa.string())], names=[*(c.name for c in kept), out, "warning"])
 
     return files.mapInArrow(run, T.StructType([*kept, T.StructField(out, T.StringType()), T.StructField("warning", T.StringType())]))

@@ -1,108 +1,97 @@
-"""Directory listing as a Python data source: metadata only, hidden and empty files included.
+"""Directory listing in rounds: metadata only, hidden and empty files included.
 
-``spark.read.format("filewalk").option("roots", json_list)``. Folders are opened level by level until there are
-enough to walk in parallel, one partition each; what can't be read becomes a warning row.
+A round deals the folders that are known to tasks, many to each. A task lists those it was given and goes on to what it finds below,
+up to a number of folders; the rest is what the next round deals. So a deep narrow tree is walked by one task and a
+wide one by many, nothing is listed by the driver, and what can't be read becomes a warning row.
 """
 
 from __future__ import annotations
 
-import json
-import os
 from collections.abc import Iterator
-from datetime import datetime, timezone
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from twinfold.common import ship
+from twinfold.common import ship, written
 from twinfold.operators import scan as filters
 from twinfold.options import ScanOptions
+from twinfold.sources import store
 from twinfold.sources.bindings import from_paths
 
-#: Folders of one level from which on each is walked whole by one task.
-ENOUGH = 256
-SCHEMA = "full_path string, length long, last_write_utc timestamp, is_hidden boolean, warning string"
-
-
-class Folder(InputPartition):
-    """A folder to walk, or only to list."""
-
-    def __init__(self, path: str, deep: bool):
-        self.path, self.deep = path, deep
-
-
-class Walk(DataSourceReader):
-    def __init__(self, options: dict):
-        self.roots = json.loads(options.get("roots", "[]"))
-        self.recursive = options.get("recursive", "true") == "true"
-        self.hidden = options.get("hidden", "false") == "true"
-        self.excluded = {x.rstrip("/").lower() for x in json.loads(options.get("excluded", "[]"))}
-
-    def _gone(self, path: str) -> bool:
-        return path.rstrip("/").lower() in self.excluded
-
-    def partitions(self) -> list[InputPartition]:
-        out: list[InputPartition] = []
-        for root in self.roots:
-            if self._gone(root):
-                continue
-            out.append(Folder(root, False))
-            level = self._folders(root) if self.recursive and os.path.isdir(root) else []
-            while level and len(level) < ENOUGH:
-                below = [p for at in level for p in self._folders(at)]
-                if not below:
-                    break
-                out += [Folder(p, False) for p in level]
-                level = below
-            out += [Folder(p, True) for p in level]
-        return out or [Folder("", False)]
-
-    def _folders(self, at: str) -> list[str]:
+#: Folders dealt to a task, tasks of a round, and folders found on the way that a task lists too.
+FOLDERS, TASKS, FURTHER = 512, 4096, 512
+#: Rows handed on at once.
+ROWS = 4096
+SCHEMA = "full_path string, length long, last_write_utc timestamp, is_hidden boolean, warning string, folder boolean"
+TYPES = pa.schema([("full_path", pa.string()), ("length", pa.int64()), ("last_write_utc", pa.timestamp("us", "UTC")), ("is_hidden", pa.bool_()), ("warning", pa.string()), ("folder", pa.bool_())])
+
+
+class Walker:
+    """Lists folders: rows of files and warnings, and of folders that are left to the next round."""
+
+    def __init__(self, recursive: bool, hidden: bool, excluded: tuple[str, ...]):
+        self.recursive, self.hidden, self.excluded = recursive, hidden, {x.rstrip("/").lower() for x in excluded}
+
+    def wanted(self, path: str) -> bool:
+        return path.rstrip("/").lower() not in self.excluded
+
+    def _listed(self, at: str, below: list[str] | None) -> Iterator[tuple]:
+        """Rows of a folder; folders in it are added to ``below`` while that is short enough."""
         try:
-            found = sorted(e.path for e in os.scandir(at) if e.is_dir(follow_symlinks=False))
-        except OSError:
-            return []
-        return [p for p in found if not self._gone(p) and (self.hidden or not os.path.basename(p).startswith("."))]
-
-    def read(self, partition: Folder) -> Iterator[tuple]:
-        todo = [partition.path] if partition.path else []
-        while todo:
-            at = todo.pop()
-            try:
-                entries = sorted(os.scandir(at), key=lambda e: e.name)
-            except OSError as x:
-                yield at, None, None, None, f"{at}: {x.strerror}"
-                continue
-            for e in entries:
-                try:
-                    if e.is_file(follow_symlinks=False):
-                        s = e.stat(follow_symlinks=False)
-                        yield e.path, s.st_size, datetime.fromtimestamp(s.st_mtime, timezone.utc), e.name.startswith("."), None
-                except OSError as x:
-                    yield e.path, None, None, None, f"{e.path}: {x.strerror}"
-            if partition.deep:
-                todo += reversed(self._folders(at))
-
-
-class FileWalk(DataSource):
-    @classmethod
-    def name(cls) -> str:
-        return "filewalk"
-
-    def schema(self) -> str:
-        return SCHEMA
-
-    def reader(self, schema) -> Walk:
-        return Walk(dict(self.options))
+            found = store.entries(at)
+        except OSError as x:
+            yield at, None, None, None, f"{at}: {store.reason(x)}", False
+            return
+        for e in found:
+            if not e.folder:
+                yield e.path, e.length, e.changed, e.name.startswith("."), None, False
+            elif self.recursive and self.wanted(e.path) and (self.hidden or not e.name.startswith(".")):
+                if below is not None and len(below) < FURTHER:
+                    below.append(e.path)
+                else:
+                    yield e.path, None, None, None, None, True
+
+    def rows(self, folders: Iterator[str]) -> Iterator[tuple]:
+        below: list[str] = []
+        for at in folders:
+            yield from self._listed(at, below)
+        left = FURTHER
+        while below:
+            at = below.pop()
+            if left:
+                left -= 1
+                yield from self._listed(at, below)
+            else:
+                yield at, None, None, None, None, True
+
+    def __call__(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = []
+        for row in self.rows(p for b in batches for p in b.column(0).to_pylist()):
+            held.append(row)
+            if len(held) == ROWS:
+                yield _batch(held)
+                held = []
+        yield _batch(held)
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(TYPES)], schema=TYPES)
 
 
 def listing(spark: SparkSession, options: ScanOptions) -> DataFrame:
     """Files and warnings, each path once."""
-    spark.dataSource.register(FileWalk)
     ship(spark)
-    set_ = {"roots": json.dumps(filters.distinct_roots([os.path.abspath(r) for r in options.roots])), "recursive": str(options.recursive).lower(), "hidden": str(options.include_hidden).lower(), "excluded": json.dumps([os.path.abspath(f) for f in options.excluded_folders])}
-    return filters.once(spark.read.format("filewalk").options(**set_).load())
+    walker = Walker(options.recursive, options.include_hidden, tuple(store.absolute(f) for f in options.excluded_folders))
+    roots = [r for r in filters.distinct_roots([store.absolute(r) for r in options.roots]) if walker.wanted(r)]
+    frontier, n, out = spark.createDataFrame([(r,) for r in roots], "full_path string"), len(roots), None
+    while n or out is None:
+        tasks = max(1, min(TASKS, -(-n // FOLDERS)))
+        found, _, seen = written(frontier.repartition(tasks).mapInArrow(walker, SCHEMA), F.count_if("folder").alias("n"))
+        rows = found.filter("not folder").drop("folder")
+        out = rows if out is None else out.unionByName(rows)
+        frontier, n = found.filter("folder").select("full_path"), seen["n"]
+    return filters.once(out)
 
 
 def scan(spark: SparkSession, options: ScanOptions) -> tuple[DataFrame, DataFrame]:
@@ -117,4 +106,4 @@ def scan(spark: SparkSession, options: ScanOptions) -> tuple[DataFrame, DataFram
 
 def distinct_folders(paths: list[str]) -> list[str]:
     """Folders for a list of dropped paths: a file stands for the folder it is in."""
-    return filters.distinct_roots([p if os.path.isdir(p) else str(Path(p).parent) for p in paths])
+    return filters.distinct_roots([p if store.kind(p) == "folder" else p.rpartition("/")[0] if store.URI.match(p) else str(Path(p).parent) for p in paths])
