@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from twinfold.functions.names import stem
+from twinfold.operators.positions import numbered_within
 
 
 def plan_delete(files: DataFrame) -> DataFrame:
@@ -24,14 +25,14 @@ def plan_move(files: DataFrame, target: str, existing: DataFrame | None = None)
     # "stem (7).end" takes the number 7 of "stem.end".
     parts = names.distinct().select(F.regexp_extract("_own", r"^(.*) \(([1-9]\d{0,8})\)((?:\.[^.]*)?)$", 1).alias("s"), F.regexp_extract("_own", r"^(.*) \(([1-9]\d{0,8})\)((?:\.[^.]*)?)$", 2).alias("k"), F.regexp_extract("_own", r"^(.*) \(([1-9]\d{0,8})\)((?:\.[^.]*)?)$", 3).alias("e")).filter("k <> ''")
     taken = parts.select(F.concat_ws("/", "s", "e").alias("_base"), F.col("k").cast("long").alias("k"))
-    by = Window.partitionBy("_base")
-    free = taken.withColumn("_n", F.col("k") - F.row_number().over(by.orderBy("k"))).select("_base", F.col("_n").alias("_at"), F.lit(1).alias("_taken"))
-    nth = F.row_number().over(by.orderBy("full_path"))
-    numbered = rows.join(there.withColumn("_there", F.lit(1)), "_own", "left").withColumn("_at", (nth - F.when(F.col("_there").isNull(), 1).otherwise(0)).cast("long")) if there is not None else rows.withColumn("_at", (nth - 1).cast("long"))
+    free = numbered_within(taken, ["_base"], [F.asc("k")]).select("_base", (F.col("k") - F.col("pos") - 1).alias("_at"), F.lit(1).cast("long").alias("_taken"))
+    numbered = numbered_within(rows, ["_base"], [F.asc("full_path")], "_at")
+    if there is not None:
+        numbered = numbered.join(there.withColumn("_there", F.lit(1)), "_own", "left").withColumn("_at", F.col("_at") + F.when(F.col("_there").isNull(), 0).otherwise(1))
     # A taken number counts for those whose place comes after the free numbers before it.
-    both = numbered.select("full_path", "length", "file_name", "_base", "_at", F.lit(0).alias("_taken")).unionByName(free, allowMissingColumns=True)
-    over = F.sum("_taken").over(by.orderBy("_at", "_taken").rowsBetween(Window.unboundedPreceding, 0))
-    told = both.withColumn("_k", F.col("_at") + over).filter("_taken = 0")
+    both = numbered.select("full_path", "length", "file_name", "_base", "_at", F.lit(0).cast("long").alias("_taken")).unionByName(free, allowMissingColumns=True)
+    summed = numbered_within(both, ["_base"], [F.asc("_at"), F.asc("_taken"), F.asc("full_path")], "_nth", ("_taken", "_over"))
+    told = summed.withColumn("_k", F.col("_at") + F.col("_over")).filter("_taken = 0")
     name = F.when(F.col("_at") == 0, F.col("file_name")).otherwise(F.concat(stem(F.col("file_name")), F.lit(" ("), F.col("_k").cast("string"), F.lit(")"), F.regexp_extract("file_name", ending, 1)))
     return told.select(F.lit("move").alias("action"), F.col("full_path").alias("path"), F.col("length").alias("bytes"), F.concat(F.lit(target.rstrip("/") + "/"), name).alias("destination"))
 

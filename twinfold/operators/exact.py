@@ -6,7 +6,9 @@ passes their files on; no stage collects a group.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
+
+from twinfold.operators.positions import placed
 
 #: Length of either sample; the tail is sampled where a file is longer than two samples.
 SAMPLE_BYTES = 65_536
@@ -51,7 +53,6 @@ def groups(signed: DataFrame) -> DataFrame:
 def detect(signed: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Members (group_key, pos, file_id), oldest first, and reasons (group_key, method, similarity, signature)."""
     rows = repeated(signed, ["group_key"])
-    order = Window.partitionBy("group_key").orderBy("last_write_utc", "file_id")
-    members = rows.select("group_key", (F.row_number().over(order) - 1).alias("pos"), "file_id")
+    members = placed(rows.select("group_key", "last_write_utc", "file_id"), F.asc("last_write_utc"), F.asc("file_id"))
     reasons = rows.select("group_key").distinct().select("group_key", F.lit("ExactContent").alias("method"), F.lit(1.0).alias("similarity"), F.col("group_key").alias("signature"))
     return members, reasons

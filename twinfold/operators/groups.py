@@ -5,9 +5,9 @@ Working form: members (group_key, pos, file_id) and reasons (group_key, method,
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
-from twinfold.common import cut
+from twinfold.operators.positions import numbered_within
 from twinfold.options import METHODS
 
 ORDER = {m: k for k, m in enumerate(METHODS)}
@@ -56,14 +56,7 @@ def numbered(rows: DataFrame, *order: Column) -> DataFrame:
 
     Ordinals come from range partitions and their counts, not from one task that holds all rows.
     """
-    dealt = cut(rows.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()))
-    counts = {r._p: r["count"] for r in dealt.groupBy("_p").count().collect()}
-    before, total = {}, 0
-    for p in sorted(counts):
-        before[p], total = total, total + counts[p]
-    base = dealt.sparkSession.createDataFrame(list(before.items()) or [(-1, 0)], "_p int, _before long")
-    within = F.row_number().over(Window.partitionBy("_p").orderBy(*order))
-    return dealt.join(F.broadcast(base), "_p").withColumn("ordinal", (within + F.col("_before")).cast("long")).drop("_p", "_before")
+    return numbered_within(rows.withColumn("__all", F.lit(0)), ["__all"], [*order], "ordinal").withColumn("ordinal", F.col("ordinal") + 1).drop("__all")
 
 
 def ranked(groups: DataFrame) -> DataFrame:
@@ -78,8 +71,7 @@ def sorted_by(rows: DataFrame, column: str, descending: bool = False, key: str =
 
 def reasons_shown(reasons: DataFrame) -> DataFrame:
     """Reasons with their place within the group as it is shown: greatest similarity first, then by method."""
-    by = Window.partitionBy("group_key").orderBy(F.desc("similarity"), method_order(F.col("method")), "signature")
-    return reasons.withColumn("place", F.row_number().over(by) - 1)
+    return numbered_within(reasons, ["group_key"], [F.desc("similarity"), method_order(F.col("method")), F.asc("signature")], "place").withColumn("place", F.col("place").cast("int"))
 
 
 def visible(groups: DataFrame, condition: Column | None = None) -> DataFrame:

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from twinfold.common import cut
 from twinfold.functions.names import normalize, ratio, stem
 from twinfold.operators.components import components
+from twinfold.operators.positions import placed
 
 #: Keeps rounding from losing a pair at the bound.
 SLACK = 1e-9
@@ -77,7 +78,7 @@ def detect(files: DataFrame, threshold: float, order: Column | None = None) -> t
     by = order if order is not None else F.col("file_name")
     first = rows.groupBy("group_id").agg(F.min(F.struct(by.alias("o"), "file_id", "normalized_name")).alias("f")).select("group_id", F.col("f.file_id").alias("rep"), F.col("f.normalized_name").alias("rep_name"))
     key = F.concat(F.lit("name:"), F.col("group_id").cast("string"))
-    members = rows.select(key.alias("group_key"), (F.row_number().over(Window.partitionBy("group_id").orderBy(by, "file_id")) - 1).alias("pos"), "file_id")
+    members = placed(rows.select(key.alias("group_key"), by.alias("by"), "file_id"), F.asc("by"), F.asc("file_id"))
     compared = rows.join(first, "group_id").groupBy("group_id", "rep_name").agg(F.avg(F.when(F.col("file_id") != F.col("rep"), ratio(F.col("normalized_name"), F.col("rep_name")))).alias("similarity"))
     reasons = compared.select(key.alias("group_key"), F.lit("NameSimilarity").alias("method"), F.least(F.lit(1.0), F.greatest(F.lit(0.0), "similarity")).alias("similarity"), F.col("rep_name").alias("signature"))
     return members, reasons

@@ -12,7 +12,7 @@ from twinfold.functions.bits import hamming, hex16
 from twinfold.functions.video import frame_match
 from twinfold.operators.components import components
 from twinfold.operators.hamming import hash_pairs
-from twinfold.operators.positions import numbered_within
+from twinfold.operators.positions import placed
 from twinfold.options import FRAME_MATCH
 
 
@@ -32,7 +32,7 @@ def detect_images(files: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
     rows = cut(image_clusters(files, most))
     key = F.concat(F.lit("image:"), F.col("group_id").cast("string"))
     first = rows.groupBy("group_id").agg(F.min(F.struct((-F.col("length")).alias("o"), "file_id", "perceptual_hash")).alias("f")).select("group_id", F.col("f.file_id").alias("rep"), F.col("f.perceptual_hash").alias("rep_hash"))
-    members = numbered_within(rows.select(key.alias("group_key"), "length", "file_id"), ["group_key"], [F.desc("length"), F.asc("file_id")]).select("group_key", "pos", "file_id")
+    members = placed(rows.select(key.alias("group_key"), "length", "file_id"), F.desc("length"), F.asc("file_id"))
     mean = F.avg(F.when(F.col("file_id") != F.col("rep"), hamming(F.col("perceptual_hash"), F.col("rep_hash"))))
     compared = rows.join(first, "group_id").groupBy("group_id", "rep_hash").agg(mean.alias("m"))
     similarity = F.least(F.lit(1.0), F.greatest(F.lit(0.0), 1 - F.col("m") / 64))
@@ -112,6 +112,6 @@ def detect_videos(files: DataFrame, most: int, least: float = FRAME_MATCH) -> tu
     found = cut(video_clusters(files, most, least))
     key = F.concat(F.lit("video:"), F.col("component").cast("string"))
     joined = rows.join(found, rows.file_id == found.node)
-    members = numbered_within(joined.select(key.alias("group_key"), "length", "file_id"), ["group_key"], [F.desc("length"), F.asc("file_id")]).select("group_key", "pos", "file_id")
+    members = placed(joined.select(key.alias("group_key"), "length", "file_id"), F.desc("length"), F.asc("file_id"))
     reasons = found.groupBy("component").count().select(key.alias("group_key"), F.lit("PerceptualVideo").alias("method"), F.lit(least).alias("similarity"), F.concat(F.lit("video:"), F.col("count").cast("string")).alias("signature"))
     return members, reasons

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from twinfold.common import cut, scratch, ship, table
 from twinfold.functions import media, photo, text
@@ -13,6 +13,7 @@ from twinfold.functions.names import copy_marker_score, normalize, stem
 from twinfold.functions.video import sample_positions
 from twinfold.operators import actions, exact, filters, groups, names, perceptual, scan, select, stats
 from twinfold.operators.components import components
+from twinfold.operators.positions import placed
 from twinfold.options import EXACT, IMAGE, NAME, VIDEO, ScanOptions
 from twinfold.plans import engine
 from twinfold.sources import bindings, content, filewalk, session
@@ -189,9 +190,8 @@ def video_sample_positions(spark, d):
 def _by_size(spark, d) -> tuple[DataFrame, DataFrame]:
     """Files, and members of their size groups by time."""
     files = cut(bindings.documents(spark, d).drop("content"))
-    order = Window.partitionBy("length").orderBy("last_write_utc", "file_id")
-    members = exact.repeated(files, ["length"]).select(F.col("length").cast("string").alias("group_key"), (F.row_number().over(order) - 1).alias("pos"), "file_id")
-    return files, cut(members)
+    rows = exact.repeated(files, ["length"]).select(F.col("length").cast("string").alias("group_key"), "last_write_utc", "file_id")
+    return files, placed(rows, F.asc("last_write_utc"), F.asc("file_id"))
 
 
 def _keep(rule: str) -> Query:
