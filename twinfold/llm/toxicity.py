@@ -5,7 +5,8 @@ and hardly ever in others. A word of a text is walked through the trie with the
 edits (the row of edit distances is the automaton's state); it, or for a stem its beginning, may
 differ from a term by one edit. An edit that misspellings are made of (a sign for or between letters,
 a letter doubled, an inner vowel dropped), one in a term of six letters or more, or one of a
-learned term that no clean training document comes near counts as a misspelling; any other may as well be
+learned term that no clean training document comes near counts as a misspelling; of a stem that clean ones do come
+near, and of words akin to it, only the first kind. A stem's first letter stands. Any other edit may as well be
 another word, so all of these together count once and faintly. Words
 that clean training documents hold are words of their own and don't count. Each place found is judged by its
 window: inside quotation marks (opened and closed by one pass over the text), or after a word of reporting or condemning, it counts less.
@@ -105,10 +106,10 @@ class Trie:
 
 
 class Lexicon:
-    """A trie of terms, the words near a term that are none, and the terms that no such word is near."""
+    """A trie of terms, the words near a term that are none, the terms that no such word is near, and learned ones that some are."""
 
-    def __init__(self, terms: list[tuple[str, bool, float]], clean: list[str], base: float, lone: list[str] = ()):
-        self.terms, self.clean, self.base, self.lone = terms, set(clean), base, set(lone)
+    def __init__(self, terms: list[tuple[str, bool, float]], clean: list[str], base: float, lone: list[str] = (), crowded: list[str] = ()):
+        self.terms, self.clean, self.base, self.lone, self.crowded = terms, set(clean), base, set(lone), set(crowded)
         self.trie = Trie([(t, stem) for t, stem, _ in terms])
         self.whole = {t: k for k, (t, stem, _) in enumerate(terms) if not stem}
         self.stems = {t: k for k, (t, stem, _) in enumerate(terms) if stem}
@@ -138,7 +139,7 @@ class Lexicon:
         for k, d in self.trie.within(w[: self.walked]):
             term, stem, purity = self.terms[k]
             if d:
-                best = max(best, (MISSPELT if term in self.lone or misspelt(term, w, stem) else FAINT) * purity)
+                best = max(best, (MISSPELT if term in self.lone or misspelt(term, w, stem, term in self.crowded) else FAINT) * purity)
         return best
 
     def may_be_near(self, w: str) -> bool:
@@ -177,12 +178,15 @@ class Lexicon:
     def places(self, low: str, hits: dict[str, float]) -> list[tuple[int, int, float]]:
         """Beginning, end and weight of each place; of a word with signs and the words it is made of, the weightier."""
         at = [(m.start(), m.end(), x) for m in word.finditer(low) if (x := hits.get(m[0]))]
+        out, k = [], 0
         for start, end, w in with_signs(low):
             if x := hits.get(w):
-                inside = [p for p in at if p[0] < end and p[1] > start]
-                if max((p[2] for p in inside), default=0.0) < x:
-                    at = [p for p in at if p not in inside] + [(start, end, x)]
-        return at
+                first = next((j for j in range(k, len(at)) if at[j][1] > start), len(at))
+                after = next((j for j in range(first, len(at)) if at[j][0] >= end), len(at))
+                out += at[k:first]
+                out += [(start, end, x)] if max((p[2] for p in at[first:after]), default=0.0) < x else at[first:after]
+                k = after
+        return out + at[k:]
 
 
 def with_signs(low: str) -> Iterator[tuple[int, int, str]]:
@@ -207,13 +211,16 @@ def one_edit(a: str, b: str) -> bool:
     return a != b and len(b) - len(a) <= 1 and a[k + (len(a) == len(b)) :] == b[k + 1 :]
 
 
-def misspelt(term: str, w: str, stem: bool) -> bool:
-    """Whether a word, or for a stem a beginning of it, is one edit of a term that makes a misspelling rather than another word."""
+def misspelt(term: str, w: str, stem: bool, crowded: bool = False) -> bool:
+    """Whether a word, or for a stem a beginning of it, is one edit of a term that makes a misspelling rather than another word.
+
+    A ``crowded`` term is one that ordinary words are near, so its length tells nothing.
+    """
     n = len(term)
     for v in {w[:m] for m in (n - 1, n, n + 1)} if stem else (w,):
-        if not one_edit(term, v) or (stem and v[-1] != term[-1] and v[-1].isalpha()):
+        if not one_edit(term, v) or (stem and v[-1] != term[-1] and v[-1].isalpha()) or ((stem or crowded) and v[0] != term[0] and v[0].isalpha()):
             continue
-        if n >= FUZZY:
+        if n >= FUZZY and not crowded:
             return True
         k = next((k for k, (x, y) in enumerate(zip(term, v)) if x != y), min(n, len(v)))
         if len(v) == n and not v[k].isalpha() or len(v) < n and 0 < k < n - 1 and term[k] in VOWELS:
@@ -286,8 +293,10 @@ def learn(stats: dict[str, tuple[int, int, int, int]], docs: list[list[str]], sc
 def fit(df: DataFrame, labels: DataFrame, text: str = "text", label: str = "toxic", key: str = "doc_id") -> Lexicon:
     """Learns from the labels given; a sample of them, of documented size, is sent to all executors."""
     ship(df.sparkSession)
-    usable = labels.filter(F.col(label).isin(0, 1) & F.col(key).isNotNull()).select(key, F.col(label).cast("int").alias(label))
+    usable = labels.filter(F.col(label).isin(0, 1) & F.col(key).isNotNull()).select(key, F.col(label).cast("int").alias(label)).distinct()
     sample = df.select(key, text).join(F.broadcast(bounded(usable, label, key, DOCS)), key).select(label, text)
+    # Keys may repeat: of their texts, too, only so many are learned from.
+    sample = bounded(sample, label, text, 2 * DOCS)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -321,6 +330,13 @@ def fit(df: DataFrame, labels: DataFrame, text: str = "text", label: str = "toxi
                 yield pa.RecordBatch.from_arrays([pa.array(rows, pa.list_(pa.string()))], names=["found"])
 
     terms = learn(stats, [r.found for r in sample.filter(F.col(label) == 1).select(text).mapInArrow(tidy(candidates), "found array<string>").collect()], scale)
+    # Words of a learned stem's family that stand in toxic documents alone, though others of the family don't.
+    learned = {t for t, _, _ in terms}
+    begin, akin = sorted({t[: max(STEM, len(t) - 1)] for t, stem, _ in terms if stem}), []
+    if begin:
+        kin = sized.filter(F.left("word", F.lit(1)).isin(sorted({x[0] for x in begin})) & (F.col("p") >= SUPPORT) & (F.col("n") <= IMPURE * scale * F.col("p"))).orderBy(F.desc("p"), "word").limit(CANDIDATES).collect()
+        akin = [(r.word, False, (r.p + 1) / (r.p + r.n / scale + 2)) for r in kin if r.word.startswith(tuple(begin)) and not any(r.word[:k] in learned for k in range(STEM, len(r.word) + 1))]
+    terms += akin
     # A known word stays unless training saw it in clean documents more often than a term may be.
     seen = {r.word: (r.p, r.n) for r in counts.filter(F.col("word").isin(*KNOWN)).collect()}
     learned = {t for t, _, _ in terms}
@@ -336,7 +352,7 @@ def fit(df: DataFrame, labels: DataFrame, text: str = "text", label: str = "toxi
     others = cut(counts.filter("n > 0 and word <> ''").select("word", "n").mapInArrow(close, "word string, n long, terms array<string>"))
     crowded = {r.term for r in others.select(F.explode("terms").alias("term")).distinct().collect()}
     clean_words = [r.word for r in others.orderBy(F.desc("n"), "word").limit(NEAR).collect()]
-    lexicon = Lexicon(terms, clean_words, 0.0, sorted(learned - crowded))
+    lexicon = Lexicon(terms, clean_words, 0.0, sorted(learned - crowded), sorted({t for t, stem, _ in terms if stem and t in crowded} | {t for t, _, _ in akin}))
     missed = score(sample.withColumn("y", F.col(label)), lexicon, text, "s").filter("s = 0").agg(F.sum("y").alias("p"), F.count("*").alias("n")).collect()[0]
     share = {r[label]: r["count"] for r in usable.groupBy(label).count().collect()}
     # The sample's labels stand in other shares than the corpus's.
@@ -348,7 +364,7 @@ def fit(df: DataFrame, labels: DataFrame, text: str = "text", label: str = "toxi
 
 def score(df: DataFrame, lexicon: Lexicon, text: str = "text", out: str = "score", keep_text: bool = False) -> DataFrame:
     """``df``, by default without its text, with the probability that it is toxic."""
-    shared = ship(df.sparkSession).sparkContext.broadcast((lexicon.terms, sorted(lexicon.clean), lexicon.base, sorted(lexicon.lone)))
+    shared = ship(df.sparkSession).sparkContext.broadcast((lexicon.terms, sorted(lexicon.clean), lexicon.base, sorted(lexicon.lone), sorted(lexicon.crowded)))
     kept = [f for f in df.schema if f.name != out and (keep_text or f.name != text)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
