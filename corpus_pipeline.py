@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
+from pathlib import Path
+
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from twinfold.common import exists, remove, scratch, ship, table
+from twinfold.common import exists, files_below, get_text, put_text, remove, scratch, ship, table
 from twinfold.llm import bpe, decontam, langid, simhash, toxicity
 from twinfold.llm.queries import tokenizer_file
 from twinfold.llm.sampling import remainder
@@ -54,19 +57,35 @@ STAGES = [("language", language), ("toxicity", clean), ("near_duplicates", uniqu
 ORACLE_SQL = None
 
 
+#: Tables that the stages read.
+TABLES = ("documents", "labels", "benchmark")
+
+
+def told_by(spark: SparkSession, sf_dir: str) -> str:
+    """A digest of the tables' files, with their lengths and times of change, and of the code of the stages."""
+    here = Path(__file__).resolve().parent
+    code = sorted([Path(__file__), *(here / "twinfold").rglob("*.py")])
+    state = [[files_below(spark, f"{sf_dir}/{t}.parquet") for t in TABLES], TOXIC, [name for name, _ in STAGES], [hashlib.sha256(p.read_bytes()).hexdigest() for p in code]]
+    return hashlib.sha256(repr(state).encode()).hexdigest()
+
+
 def run(spark: SparkSession, sf_dir: str, at: str | None = None) -> DataFrame:
     """Applies the stages to ``documents``; what each returns is written to the shared folder and read again.
 
     A stage's folder is deleted when the next is written. With a folder of the caller's, ``at``, a run that failed
-    goes on after the last stage that it finished; else the folder is deleted when the driver ends.
+    goes on after the last stage that it finished, if that was of the same tables, unchanged, and the same code; else the folder is
+    deleted when the driver ends.
     """
     ship(spark)
     docs, folder = table(spark, sf_dir, "documents"), at or scratch(spark, "pipeline")
-    done = [k for k in range(len(STAGES)) if exists(spark, f"{folder}/{k}/_SUCCESS")]
+    told = told_by(spark, sf_dir) if at else ""
+    done = [k for k in range(len(STAGES)) if at and exists(spark, f"{folder}/{k}/_SUCCESS") and get_text(spark, f"{folder}/{k}/_told_by") == told]
     for k, (_, stage) in enumerate(STAGES):
         path = f"{folder}/{k}"
         if not done or k > done[-1]:
             stage(spark, docs, sf_dir).write.mode("overwrite").parquet(path)
+            if at:
+                put_text(spark, f"{path}/_told_by", told)
             if k:
                 remove(spark, f"{folder}/{k - 1}")
         if not done or k >= done[-1]:

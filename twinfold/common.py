@@ -45,6 +45,40 @@ def exists(spark: SparkSession, path: str) -> bool:
     return files.exists(at)
 
 
+def put_text(spark: SparkSession, path: str, text: str) -> None:
+    """Writes a short text as a file, in place of what is there."""
+    files, at = _file_system(spark, path)
+    out = files.create(at, True)
+    try:
+        out.write(bytearray(text.encode()))
+    finally:
+        out.close()
+
+
+def get_text(spark: SparkSession, path: str) -> str | None:
+    """A short text written by ``put_text``; None where there is no such file."""
+    if not exists(spark, path):
+        return None
+    files, at = _file_system(spark, path)
+    given = files.open(at)
+    try:
+        return bytes(given.readAllBytes()).decode()
+    finally:
+        given.close()
+
+
+def files_below(spark: SparkSession, path: str) -> list[tuple[str, int, int]]:
+    """Path, length and time of change of every file of a table, in order; none where there is no such path."""
+    if not exists(spark, path):
+        return []
+    files, at = _file_system(spark, path)
+    found, out = files.listFiles(at, True), []
+    while found.hasNext():
+        s = found.next()
+        out.append((s.getPath().toString(), s.getLen(), s.getModificationTime()))
+    return sorted(out)
+
+
 def remove_at_exit(spark: SparkSession, path: str) -> None:
     """Deletes a folder when the driver ends."""
     files, at = _file_system(spark, path)
