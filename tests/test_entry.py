@@ -11,7 +11,7 @@ CHECKED = [
     "exact_groups", "exact_members", "quick_hash_candidates", "name_pairs", "name_group_similarity", "hamming_pairs", "image_group_similarity", "video_clusters", "keep_cleanest_name",
     "merge_by_file_set", "groups_ranked", "filter_reasons_all", "scan_summary", "photo_quality", "parse_extensions", "report_csv_rows", "session_roundtrip", "action_plan_move", "engine_scan",
     "action_plan_delete", "action_errors", "photos_by_score", "reasons_by_similarity", "groups_by_column", "files_by_name", "photo_counts", "selection_totals", "candidate_bytes", "visible_groups",
-    "tree_walk", "tree_walk_hidden", "tree_walk_flat", "tree_warnings", "tree_exact_groups",
+    "tree_walk", "tree_walk_hidden", "tree_walk_flat", "tree_warnings", "tree_exact_groups", "action_apply", "action_apply_report",
 ]
 needs_data = pytest.mark.skipif(not os.path.isdir(DATA), reason="the driver's tables are not here")
 

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from pathlib import Path
 from uuid import uuid4
 
@@ -102,10 +105,47 @@ def shared_dir(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+class Folders:
+    """Folders of intermediate data that one piece of work has made."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.paths = spark, []
+
+    def close(self) -> None:
+        """Deletes them all: what was read from them can't be read any more."""
+        while self.paths:
+            remove(self.spark, self.paths.pop())
+
+
+_folders: ContextVar[Folders | None] = ContextVar("folders", default=None)
+
+
+@contextmanager
+def folders(spark: SparkSession) -> Iterator[Folders]:
+    """Collects the folders made inside. An error, or a cancelled job, deletes them; else they stay until closed or the driver ends."""
+    mine = Folders(spark)
+    outer, token = _folders.get(), _folders.set(mine)
+    try:
+        yield mine
+    except BaseException:
+        mine.close()
+        raise
+    finally:
+        _folders.reset(token)
+        if outer:
+            outer.paths += mine.paths
+
+
+def _made(path: str) -> None:
+    if mine := _folders.get():
+        mine.paths.append(path)
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new folder in the shared one, deleted when the driver ends."""
     path = f"{shared_dir(spark)}/{name}-{uuid4().hex}"
     remove_at_exit(spark, path)
+    _made(path)
     return path
 
 
@@ -113,8 +153,13 @@ _marked: set[str] = set()
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: the rows go to the shared folder, so a lost executor loses nothing. Deleted when the driver ends."""
+    """Reliable checkpoint: the rows go to the shared folder, so a lost executor loses nothing. Deleted when the driver ends.
+
+    Where folders are collected it is a written table, whose folder is known before anything is in it.
+    """
     spark = df.sparkSession
+    if _folders.get():
+        return written(df)[0]
     at = shared_dir(spark)
     if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(at)

@@ -1,9 +1,13 @@
-"""Plans of what to do with redundant files, and what is left after. Nothing here touches a file."""
+"""Plans of what to do with redundant files, carrying them out, and what is left after."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from collections.abc import Iterator
 
+import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F, types as T
+
+from twinfold.common import exists, ship
 from twinfold.functions.names import stem
 from twinfold.operators.positions import numbered_within
 
@@ -37,6 +41,61 @@ def plan_move(files: DataFrame, target: str, existing: DataFrame | None = None)
     return told.select(F.lit("move").alias("action"), F.col("full_path").alias("path"), F.col("length").alias("bytes"), F.concat(F.lit(target.rstrip("/") + "/"), name).alias("destination"))
 
 
+def _carried_out(action: str, path: str, destination: str | None, was: str, target: str) -> str | None:
+    """What went wrong with one action, or None. What an earlier attempt has done already counts as done."""
+    from twinfold.sources import store
+
+    try:
+        if was == "none":
+            return "No such file or directory"
+        gone = store.kind(path) == "none"
+        if action == "delete":
+            if not gone:
+                store.deleted(path)
+        elif action == "move":
+            if not gone:
+                store.moved(path, destination)
+            elif target != "none" or store.kind(destination) == "none":
+                return "No such file or directory"
+        else:
+            return f"no such action: {action}"
+    except OSError as x:
+        return store.reason(x)
+    return None
+
+
+def apply(plan: DataFrame, at: str) -> DataFrame:
+    """Carries out a plan on the executors; (action, path, bytes, destination, error) of each item, error null where it was done.
+
+    ``at`` is a folder of the caller's that keeps the journal: what was there before anything was done, written first, and the outcomes. So an
+    item that was done by a task whose executor was lost is not taken for one that failed, and a plan applied again into the same folder does
+    nothing more and gives the same outcomes, as does one that goes on after the driver died. One item that fails harms no other.
+    """
+    from twinfold.sources import store
+
+    spark = ship(plan.sparkSession)
+    rows = plan if "destination" in plan.columns else plan.withColumn("destination", F.lit(None).cast("string"))
+    names = ["action", "path", "bytes", "destination"]
+    rows = rows.select(*names)
+
+    def surveyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            was = [pa.array([None if p is None else store.kind(p) for p in b.column(c).to_pylist()], pa.string()) for c in ("path", "destination")]
+            yield pa.RecordBatch.from_arrays([*b.columns, *was], names=[*b.schema.names, "was", "target"])
+
+    def done(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            why = [_carried_out(r["action"], r["path"], r["destination"], r["was"], r["target"]) for r in b.to_pylist()]
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(why, pa.string())], names=[*names, "error"])
+
+    if not exists(spark, f"{at}/before/_SUCCESS"):
+        rows.mapInArrow(surveyed, T.StructType([*rows.schema.fields, T.StructField("was", T.StringType()), T.StructField("target", T.StringType())])).write.mode("overwrite").parquet(f"{at}/before")
+    if not exists(spark, f"{at}/outcomes/_SUCCESS"):
+        before = spark.read.parquet(f"{at}/before")
+        before.mapInArrow(done, T.StructType([*before.select(*names).schema.fields, T.StructField("error", T.StringType())])).write.mode("overwrite").parquet(f"{at}/outcomes")
+    return spark.read.parquet(f"{at}/outcomes")
+
+
 def report(outcomes: DataFrame) -> DataFrame:
     """(succeeded, bytes_freed, n_errors) of (path, bytes, error) rows."""
     ok = F.col("error").isNull()

@@ -538,6 +538,33 @@ def tree_warnings(spark, d):
     return warnings.select(F.replace("warning", F.lit(root), F.lit("")).alias("warning"))
 
 
+def _applied(spark, d) -> tuple[DataFrame, DataFrame, str]:
+    """A tree whose copies are deleted, or moved if their number is odd, twice over; files that are not there are asked for as well."""
+    files, _, root = _walked(spark, d, include_hidden=True)
+    signed, _ = content.hashed(files)
+    rest = placed(cut(signed).select("group_key", "path", F.col("full_path").alias("file_id")), F.asc("path")).filter("pos > 0").select(F.col("file_id").alias("full_path"))
+    gone = cut(files.join(rest, "full_path", "left_semi").withColumn("number", F.regexp_extract("file_name", r"f(\d+)", 1).try_cast("long")))
+    absent = files.filter(F.regexp_extract("file_name", r"f(\d+)", 1).try_cast("long") % 50 == 0).select(F.concat("full_path", F.lit(".gone")).alias("full_path"), "length")
+    plan = actions.plan_delete(gone.filter("number % 2 = 0").select("full_path", "length").unionByName(absent)).unionByName(actions.plan_move(gone.filter("number % 2 = 1"), f"{root}/moved"), allowMissingColumns=True)
+    at = scratch(spark, "journal")
+    actions.apply(plan, at)
+    return actions.apply(plan, at), files, root
+
+
+@query
+def action_apply(spark, d):
+    """Outcomes of deleting and moving files of a tree, and which of the paths are there when it is walked again."""
+    outcomes, _, root = _applied(spark, d)
+    left = filewalk.scan(spark, ScanOptions(roots=(root,), include_hidden=True))[0].select(F.col("full_path").alias("path"), F.lit(True).alias("there"))
+    both = outcomes.join(left, "path", "left").join(left.select(F.col("path").alias("destination"), F.col("there").alias("arrived")), "destination", "left")
+    return both.select(F.expr(f"substring(path, {len(root) + 2})").alias("path"), "action", "error", F.coalesce("there", F.lit(False)).alias("there"), F.coalesce("arrived", F.lit(False)).alias("arrived"))
+
+
+@query
+def action_apply_report(spark, d):
+    return actions.report(_applied(spark, d)[0])
+
+
 @query
 def tree_exact_groups(spark, d):
     """Sizes, samples and whole contents, read from the files."""
