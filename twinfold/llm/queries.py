@@ -94,23 +94,55 @@ def op7_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.format(table(spark, sf_dir, "conversations"))
 
 
-OP7_SQL = """
-WITH m AS (SELECT row_number() OVER () AS n, conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text, ltrim(coalesce(text, '')) LIKE '{%' AND json_valid(coalesce(text, '')) AS object FROM conversations),
-j AS (SELECT *, CASE WHEN object AND role = 'assistant' THEN text::JSON END AS a, CASE WHEN object AND role = 'tool' THEN text::JSON END AS b FROM m),
+def _pointer(x: str) -> str:
+    return f"'/' || replace(replace({x}, '~', '~0'), '/', '~1')"
+
+
+def _members(j: str, *known: str) -> str:
+    """SQL for the members of an object that are not known, each with its JSON."""
+    json = f"CASE WHEN json_type({j}, {_pointer('x')}) = 'VARCHAR' THEN to_json(json_extract_string({j}, {_pointer('x')}))::VARCHAR ELSE coalesce(json_extract({j}, {_pointer('x')})::VARCHAR, 'null') END"
+    some = f"list_filter(json_keys({j}), lambda x: x NOT IN ({', '.join(repr(k) for k in known)}))" if known else f"json_keys({j})"
+    return f"list_transform({some}, lambda x: {{'key': x, 'json': {json}}})"
+
+
+def _line_of(members: str) -> str:
+    """SQL for an object of members in the order of their keys."""
+    return f"'{{' || array_to_string(list_transform(list_sort({members}), lambda e: to_json(e.key)::VARCHAR || ':' || e.json), ',') || '}}'"
+
+
+def _maybe(key: str, json: str) -> str:
+    return f"CASE WHEN {json} IS NULL THEN [] ELSE [{{'key': '{key}', 'json': {json}}}] END"
+
+
+OP7_SQL = f"""
+WITH m AS (SELECT row_number() OVER () AS n, conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations),
+o AS (SELECT *, CASE WHEN role IN ('assistant', 'tool', 'system') AND ltrim(text) LIKE '{{%' THEN CASE WHEN json_valid(text) THEN CASE WHEN coalesce(text::JSON ->> '$.role', role) = role AND len(json_keys(text)) = len(list_distinct(json_keys(text))) THEN text::JSON END END END AS v FROM m),
+j AS (SELECT *, CASE WHEN role = 'assistant' AND json_type(v, '$.tool_calls') = 'ARRAY' THEN CASE WHEN len(list_filter(json_extract(v, '$.tool_calls[*]'), lambda c: json_type(c) <> 'OBJECT')) = 0 THEN v END END AS a, CASE WHEN role = 'tool' THEN v END AS b FROM o),
+tl AS (SELECT conv_id, coalesce(t ->> '$.name', t ->> '$.function.name') AS name, coalesce(json_extract(t, '$.parameters'), json_extract(t, '$.function.parameters')) AS p FROM (SELECT conv_id, unnest(json_extract(v, '$.tools[*]')) AS t FROM j WHERE role = 'system' AND json_type(v, '$.tools') = 'ARRAY')),
+pa AS (SELECT DISTINCT conv_id, name, x AS parameter, json_extract_string(p, '/properties' || {_pointer('x')} || '/type') AS type, coalesce(list_contains(json_extract_string(p, '$.required[*]'), x), false) AS required FROM (SELECT *, unnest(json_keys(p, '$.properties')) AS x FROM tl)),
 k AS (SELECT n, conv_id, turn, unnest(json_extract(a, '$.tool_calls[*]')) AS c, unnest(range(len(json_extract(a, '$.tool_calls[*]')))) AS slot FROM j WHERE a IS NOT NULL),
-c AS (SELECT n, conv_id, turn, slot, c ->> '$.id' AS id, c ->> '$.name' AS name, coalesce(c ->> '$.arguments', '{}') AS raw FROM k WHERE coalesce(c ->> '$.id', c ->> '$.name', c ->> '$.arguments') IS NOT NULL),
-f AS (SELECT conv_id, id, min(turn) AS called FROM c WHERE id IS NOT NULL GROUP BY conv_id, id),
-r AS (SELECT j.*, b ->> '$.tool_call_id' AS answers, f.id IS NOT NULL AS linked, called FROM j LEFT JOIN f ON j.conv_id IS NOT DISTINCT FROM f.conv_id AND f.id = b ->> '$.tool_call_id'),
-d AS (SELECT DISTINCT conv_id, answers, called FROM r WHERE linked),
-g AS (SELECT c.n, count(*) AS n_calls, sum((d.answers IS NOT NULL)::INT) AS n_linked,
-  string_agg('{"arguments":' || to_json(CASE WHEN json_valid(raw) AND json_type(raw) = 'OBJECT' THEN '{' || array_to_string(list_transform(list_sort(json_keys(raw)), lambda x: to_json(x)::VARCHAR || ':' || json_extract(raw::JSON, '/' || replace(replace(x, '~', '~0'), '/', '~1'))::VARCHAR), ',') || '}' ELSE raw END)::VARCHAR
-    || coalesce(',"id":' || to_json(c.id)::VARCHAR, '') || coalesce(',"name":' || to_json(name)::VARCHAR, '') || '}', ',' ORDER BY slot) AS calls
-  FROM c LEFT JOIN d ON c.conv_id IS NOT DISTINCT FROM d.conv_id AND c.id = d.answers AND c.turn IS NOT DISTINCT FROM d.called GROUP BY c.n)
-SELECT conv_id, turn, greatest(turn, called) AS place, (answers IS NOT NULL)::INT AS rank, role, coalesce(n_calls, 0)::INT AS n_calls,
-CASE WHEN answers IS NOT NULL THEN linked::INT ELSE coalesce(n_linked, 0)::INT END AS n_linked, coalesce(n_calls, 0)::INT AS n_invalid,
-'{"content":' || to_json(CASE WHEN n_calls > 0 THEN coalesce(a ->> '$.content', '') WHEN answers IS NOT NULL THEN coalesce(b ->> '$.content', '') ELSE text END)::VARCHAR || ',"role":' || to_json(role)::VARCHAR
-|| coalesce(',"tool_call_id":' || to_json(answers)::VARCHAR, '') || coalesce(',"tool_calls":[' || calls || ']', '') || '}' AS message
-FROM r LEFT JOIN g USING (n)
+f AS (SELECT *, (c ->> '$.name') IS NULL AND (c ->> '$.arguments') IS NULL AND coalesce(json_type(c, '$.function'), '') = 'OBJECT' AS nested, json_extract(c, '$.function') AS fn FROM k),
+h AS (SELECT *, CASE WHEN nested THEN {_members("fn", "name", "arguments")} ELSE [] END AS rest FROM f),
+c AS (SELECT n, conv_id, turn, slot, c ->> '$.id' AS id, CASE WHEN nested THEN fn ->> '$.name' ELSE c ->> '$.name' END AS name, CASE WHEN nested THEN fn ->> '$.arguments' ELSE c ->> '$.arguments' END AS given,
+  CASE WHEN nested THEN {_members("c", "id", "name", "arguments", "function")} || CASE WHEN len(rest) > 0 THEN [{{'key': 'function', 'json': {_line_of("rest")}}}] ELSE [] END ELSE {_members("c", "id", "name", "arguments")} END AS more FROM h),
+d AS (SELECT *, coalesce(given, '{{}}') AS raw FROM c WHERE coalesce(id, name, given) IS NOT NULL OR len(more) > 0),
+e AS (SELECT *, CASE WHEN json_valid(raw) THEN CASE WHEN json_type(raw) = 'OBJECT' THEN raw::JSON END END AS args FROM d),
+ar AS (SELECT n, slot, conv_id, name, args, unnest(json_keys(args)) AS x FROM e WHERE args IS NOT NULL),
+ok AS (SELECT DISTINCT n, slot, x FROM ar JOIN pa ON ar.conv_id IS NOT DISTINCT FROM pa.conv_id AND ar.name = pa.name AND x = parameter AND CASE type WHEN 'string' THEN json_type(args, {_pointer('x')}) = 'VARCHAR'
+  WHEN 'integer' THEN json_type(args, {_pointer('x')}) IN ('BIGINT', 'UBIGINT') WHEN 'number' THEN json_type(args, {_pointer('x')}) IN ('BIGINT', 'UBIGINT', 'DOUBLE') WHEN 'boolean' THEN json_type(args, {_pointer('x')}) = 'BOOLEAN'
+  WHEN 'array' THEN json_type(args, {_pointer('x')}) = 'ARRAY' WHEN 'object' THEN json_type(args, {_pointer('x')}) = 'OBJECT' WHEN 'null' THEN json_type(args, {_pointer('x')}) = 'NULL' ELSE true END),
+bad AS (SELECT n, slot FROM ar ANTI JOIN ok USING (n, slot, x) UNION SELECT e.n, e.slot FROM e JOIN pa ON e.conv_id IS NOT DISTINCT FROM pa.conv_id AND e.name = pa.name WHERE required AND NOT coalesce(list_contains(json_keys(args), parameter), false)
+  UNION SELECT n, slot FROM e WHERE args IS NULL UNION SELECT n, slot FROM e WHERE NOT EXISTS (SELECT 1 FROM tl WHERE tl.conv_id IS NOT DISTINCT FROM e.conv_id AND tl.name = e.name)),
+fi AS (SELECT conv_id, id, min(turn) AS called FROM e WHERE id IS NOT NULL GROUP BY conv_id, id),
+r AS (SELECT j.*, b ->> '$.tool_call_id' AS answers, fi.id IS NOT NULL AS linked, called FROM j LEFT JOIN fi ON j.conv_id IS NOT DISTINCT FROM fi.conv_id AND fi.id = b ->> '$.tool_call_id'),
+an AS (SELECT DISTINCT conv_id, answers, called FROM r WHERE linked),
+g AS (SELECT e.n, count(*) AS n_calls, sum((an.answers IS NOT NULL)::INT) AS n_linked, sum((bad.n IS NOT NULL)::INT) AS n_invalid,
+  string_agg({_line_of(f"[{{'key': 'arguments', 'json': to_json(CASE WHEN args IS NULL THEN raw ELSE {_line_of(_members('args'))} END)::VARCHAR}}] || {_maybe('id', 'to_json(e.id)::VARCHAR')} || {_maybe('name', 'to_json(e.name)::VARCHAR')} || more")}, ',' ORDER BY e.slot) AS calls
+  FROM e LEFT JOIN an ON e.conv_id IS NOT DISTINCT FROM an.conv_id AND e.id = an.answers AND e.turn IS NOT DISTINCT FROM an.called LEFT JOIN bad ON bad.n = e.n AND bad.slot = e.slot GROUP BY e.n),
+z AS (SELECT r.*, coalesce(n_calls, 0)::INT AS n_calls, CASE WHEN answers IS NOT NULL THEN linked::INT ELSE coalesce(n_linked, 0)::INT END AS n_linked, coalesce(n_invalid, 0)::INT AS n_invalid, calls, n_calls IS NOT NULL OR answers IS NOT NULL AS parsed FROM r LEFT JOIN g USING (n))
+SELECT conv_id, turn, greatest(turn, called) AS place, (answers IS NOT NULL)::INT AS rank, role, n_calls, n_linked, n_invalid,
+{_line_of(f"[{{'key': 'content', 'json': CASE WHEN NOT parsed THEN to_json(text)::VARCHAR WHEN coalesce(json_type(v, '$.content'), 'NULL') = 'NULL' THEN to_json('')::VARCHAR WHEN json_type(v, '$.content') = 'VARCHAR' THEN to_json(v ->> '$.content')::VARCHAR ELSE json_extract(v, '$.content')::VARCHAR END}}, {{'key': 'role', 'json': to_json(role)::VARCHAR}}] || {_maybe('tool_call_id', 'to_json(answers)::VARCHAR')} || {_maybe('tool_calls', "'[' || calls || ']'")} || CASE WHEN NOT parsed THEN [] WHEN role = 'tool' THEN {_members('v', 'role', 'content', 'tool_call_id')} ELSE {_members('v', 'role', 'content', 'tool_calls')} END")} AS message
+FROM z
 """
 
 
