@@ -82,6 +82,34 @@ def files_below(spark: SparkSession, path: str) -> list[tuple[str, int, int]]:
     return sorted(out)
 
 
+def joined_file(spark: SparkSession, parts: str, path: str, head: bytes, trimmed: int, tail: bytes) -> None:
+    """One file of a head, the parts in a folder in the order of their names without the last ``trimmed`` bytes, and a tail.
+
+    Bytes are streamed by the driver's JVM, a buffer at a time; no row is read. A path without a scheme is of the mounted file system. The
+    folder of parts goes.
+    """
+    copy = spark._jvm.org.apache.commons.io.IOUtils.copyLarge
+    names = [(p, n) for p, n, _ in files_below(spark, parts) if p.rpartition("/")[2].startswith("part-") and n]
+    files, at = _file_system(spark, path if ":" in path.split("/")[0] else f"file:{Path(path).absolute()}")
+    files.setWriteChecksum(False)
+    out = files.create(at, True)
+    try:
+        out.write(bytearray(head))
+        for k, (p, n) in enumerate(names):
+            store, part = _file_system(spark, p)
+            given = store.open(part)
+            try:
+                copy(given, out, 0, n - (trimmed if k == len(names) - 1 else 0))
+            finally:
+                given.close()
+        if tail:
+            out.write(bytearray(tail))
+    finally:
+        out.close()
+        files.setWriteChecksum(True)
+    remove(spark, parts)
+
+
 def remove_at_exit(spark: SparkSession, path: str) -> None:
     """Deletes a folder when the driver ends."""
     files, at = _file_system(spark, path)

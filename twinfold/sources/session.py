@@ -7,8 +7,11 @@ import time
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from twinfold.common import joined_file, scratch
 from twinfold.functions.text import csv_escape, humanize, similarity_number
 from twinfold.operators.groups import nested
+from twinfold.operators.positions import numbered_within
+from twinfold.sources import jsonsplit
 
 COLUMNS = ["GroupId", "Method", "Similarity", "FilePath", "SizeBytes", "SizeHuman", "LastModifiedUtc", "ReclaimableBytes"]
 SESSION = """Version INT, SavedAtUtc STRING, Groups ARRAY<STRUCT<Reasons: ARRAY<STRUCT<Method: STRING, Similarity: DOUBLE, Signature: STRING>>,
@@ -29,12 +32,17 @@ def csv_rows(ranked: DataFrame, members: DataFrame, files: DataFrame) -> DataFra
 
 
 def write_csv(rows: DataFrame, path: str) -> None:
-    """One file, UTF-8 with a byte-order mark, written on the driver in a stream of rows."""
+    """One file, UTF-8 with a byte-order mark."""
     line = F.concat_ws(",", *(csv_escape(F.col(c).cast("string")) for c in COLUMNS))
-    with open(path, "w", encoding="utf-8-sig", newline="") as f:
-        f.write(",".join(COLUMNS) + "\n")
-        for r in rows.orderBy("GroupId", "_pos").select(line.alias("line")).toLocalIterator():
-            f.write(r.line + "\n")
+    _one_file(rows.select("GroupId", "_pos", line.alias("line")), ["GroupId", "_pos"], path, "\ufeff" + ",".join(COLUMNS) + "\n", "\n", last=True)
+
+
+def _one_file(lines: DataFrame, order: list[str], path: str, head: str, between: str, tail: str = "", last: bool = False) -> None:
+    """One file of lines in order: parts that the executors write, put together as bytes. ``last`` tells whether ``between`` follows the last line too."""
+    spark = lines.sparkSession
+    parts = scratch(spark, "parts")
+    lines.repartitionByRange(*order).sortWithinPartitions(*order).select("line").write.mode("overwrite").option("lineSep", between).text(parts)
+    joined_file(spark, parts, path, head.encode(), 0 if last else len(between.encode()), tail.encode())
 
 
 def write_csv_parts(rows: DataFrame, path: str) -> None:
@@ -65,11 +73,8 @@ def json_groups(ranked: DataFrame, members: DataFrame, files: DataFrame, reasons
 
 
 def write_json(path: str, summary: dict, warnings: list[str], groups: DataFrame) -> None:
-    with open(path, "w", encoding="utf-8") as f:
-        f.write('{"summary":' + json.dumps(summary, ensure_ascii=False) + ',"warnings":' + json.dumps(warnings, ensure_ascii=False) + ',"groups":[')
-        for k, r in enumerate(groups.orderBy("ordinal").toLocalIterator()):
-            f.write("," * bool(k) + r.json)
-        f.write("]}")
+    head = '{"summary":' + json.dumps(summary, ensure_ascii=False) + ',"warnings":' + json.dumps(warnings, ensure_ascii=False) + ',"groups":['
+    _one_file(groups.select("ordinal", F.col("json").alias("line")), ["ordinal"], path, head, ",", "]}")
 
 
 def session_groups(ranked: DataFrame, members: DataFrame, files: DataFrame, reasons: DataFrame) -> DataFrame:
@@ -84,21 +89,24 @@ def session_groups(ranked: DataFrame, members: DataFrame, files: DataFrame, reas
 
 
 def save(path: str, groups: DataFrame) -> None:
-    with open(path, "w", encoding="utf-8") as f:
-        f.write('{"Version":1,"SavedAtUtc":"' + time.strftime("%Y-%m-%dT%H:%M:%SZ", time.gmtime()) + '","Groups":[')
-        for k, r in enumerate(groups.orderBy("ordinal").toLocalIterator()):
-            f.write("," * bool(k) + "\n" + r.json)
-        f.write("]}")
+    """One file with a line for each group."""
+    head = '{"Version":1,"SavedAtUtc":"' + time.strftime("%Y-%m-%dT%H:%M:%SZ", time.gmtime()) + '","Groups":['
+    line = F.concat(F.when(F.col("ordinal") == 1, F.lit("\n")).otherwise(F.lit("")), "json")
+    _one_file(groups.select("ordinal", line.alias("line")), ["ordinal"], path, head, ",\n", "]}")
 
 
 def load(spark: SparkSession, path: str) -> DataFrame:
     """(group_key, reasons, files) of a saved session, in its order."""
-    return imported(spark.read.schema(SESSION).json(path, multiLine=True))
+    one = SESSION[SESSION.index("STRUCT<") : -1]
+    groups = jsonsplit.elements(spark, path, "Groups").select("at", F.from_json("json", one).alias("g"))
+    placed = numbered_within(groups.withColumn("all", F.lit(0)), ["all"], [F.asc("at")], "group_key")
+    return imported(placed.select("group_key", F.array("g").alias("Groups")), "group_key")
 
 
-def imported(sessions: DataFrame) -> DataFrame:
-    """Groups of two files or more; one without reasons is taken for exact content."""
-    g = sessions.select(F.posexplode("Groups").alias("group_key", "g")).select("group_key", F.col("g.Reasons").alias("reasons"), F.col("g.Files").alias("files")).filter(F.size("files") >= 2)
+def imported(sessions: DataFrame, key: str | None = None) -> DataFrame:
+    """Groups of two files or more; one without reasons is taken for exact content. They are named by ``key``, or by their place in the session."""
+    g = sessions.select(F.posexplode("Groups").alias("group_key", "g")) if key is None else sessions.select(F.col(key).alias("group_key"), F.explode("Groups").alias("g"))
+    g = g.select("group_key", F.col("g.Reasons").alias("reasons"), F.col("g.Files").alias("files")).filter(F.size("files") >= 2)
     none = F.array(F.struct(F.lit("ExactContent").alias("Method"), F.lit(1.0).alias("Similarity"), F.lit("").alias("Signature")))
     return g.withColumn("reasons", F.when(F.coalesce(F.size("reasons"), F.lit(0)) <= 0, none).otherwise(F.col("reasons")))
 
