@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from twinfold.common import written
 from twinfold.operators.positions import placed
 
 #: Length of either sample; the tail is sampled where a file is longer than two samples.
@@ -52,7 +53,8 @@ def groups(signed: DataFrame) -> DataFrame:
 
 def detect(signed: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Members (group_key, pos, file_id), oldest first, and reasons (group_key, method, similarity, signature)."""
-    rows = repeated(signed, ["group_key"])
-    members = placed(rows.select("group_key", "last_write_utc", "file_id"), F.asc("last_write_utc"), F.asc("file_id"))
+    # Written, since it is read several times and content would be hashed anew each time.
+    rows, _, _ = written(repeated(signed.select("group_key", "last_write_utc", "file_id"), ["group_key"]))
+    members = placed(rows, F.asc("last_write_utc"), F.asc("file_id"))
     reasons = rows.select("group_key").distinct().select("group_key", F.lit("ExactContent").alias("method"), F.lit(1.0).alias("similarity"), F.col("group_key").alias("signature"))
     return members, reasons
