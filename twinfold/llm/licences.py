@@ -229,7 +229,11 @@ def fit(spark: SparkSession, corpus: DataFrame, text: str = "text", sample: int
     weight, unknown = np.array([d[3] for d in data], float)[~held], y[~held] == len(names) - 1
     for part in (unknown, ~unknown):
         weight[part] *= 0.5 / max(1.0, weight[part].sum())
-    w, b = _descend(x[~held], y[~held], weight, len(names))
+    # Grams that stand in the same rows have the same weights: one column scaled by the root of their number steps as all of them would.
+    _, one, which, many = np.unique(np.packbits(x[~held] > 0, axis=0).T, axis=0, return_index=True, return_inverse=True, return_counts=True)
+    root = np.sqrt(many).astype(x.dtype)
+    w, b = _descend(x[~held][:, one] * root, y[~held], weight, len(names))
+    w = (w / root[:, None])[which.ravel()]
     z = x[held] @ w + b
     scale = min((0.5, 0.75, 1.0, 1.5, 2.0, 3.0, 4.0, 6.0, 8.0), key=lambda s: -np.log(_softmax(z * s)[np.arange(len(z)), y[held]] + 1e-12).mean())
     w, b, z = w * scale, b * scale, z * scale
