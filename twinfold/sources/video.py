@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from twinfold.common import ship
 from twinfold.functions.media import is_video
 from twinfold.options import ScanOptions
+from twinfold.sources import containers
 from twinfold.sources.images import LUMA, shrink
 
 PNG = b"\x89PNG\r\n\x1a\n"
@@ -57,11 +58,12 @@ class Ffmpeg:
             return b""
 
     def duration(self, path: str) -> float:
+        """As the probe says; without it, or where it can't tell, as the file's own header says."""
         out = self._out([self.ffprobe, "-v", "error", "-show_entries", "format=duration", "-of", "csv=p=0", path]) if self.ffprobe else b""
         try:
-            return max(0.0, float(out))
+            return max(0.0, float(out)) or containers.duration(path)
         except ValueError:
-            return 0.0
+            return containers.duration(path)
 
     def frame(self, path: str, second: float) -> bytes | None:
         if not self.ffmpeg:
