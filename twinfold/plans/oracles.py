@@ -174,5 +174,6 @@ SELECT row_number() OVER (ORDER BY reclaimable_bytes DESC, n_files DESC, group_i
     "tree_warnings": "SELECT '/missing: No such file or directory' AS warning",
     "action_apply": f"WITH {TREE}, r AS (SELECT *, row_number() OVER (PARTITION BY content ORDER BY path) AS k FROM t) SELECT path, CASE WHEN doc_id % 2 = 0 THEN 'delete' ELSE 'move' END AS action, NULL::VARCHAR AS error, false AS there, doc_id % 2 = 1 AS arrived FROM r WHERE k > 1 UNION ALL SELECT path || '.gone', 'delete', 'No such file or directory', false, false FROM t WHERE doc_id % 50 = 0",
     "action_apply_report": f"WITH {TREE}, r AS (SELECT *, row_number() OVER (PARTITION BY content ORDER BY path) AS k FROM t) SELECT count(*) AS succeeded, coalesce(sum(length), 0)::BIGINT AS bytes_freed, (SELECT count(*) FROM t WHERE doc_id % 50 = 0)::INT AS n_errors FROM r WHERE k > 1",
+    "tree_video_durations": "SELECT 'v' || (doc_id % 5)::VARCHAR || '/f' || doc_id::VARCHAR || CASE WHEN doc_id % 3 = 2 THEN '.mkv' ELSE '.mp4' END AS path, CASE WHEN doc_id % 3 <> 2 THEN (strlen(coalesce(text, '')) + 1)::DOUBLE / 1000 END AS duration FROM documents WHERE doc_id IS NOT NULL",
     "tree_exact_groups": f"WITH {TREE} SELECT length::VARCHAR || ':' || sha256(content) AS group_key, count(*) AS n_files FROM t GROUP BY 1 HAVING count(*) > 1",
 }

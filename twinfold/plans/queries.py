@@ -16,7 +16,7 @@ from twinfold.operators.components import components
 from twinfold.operators.positions import placed
 from twinfold.options import EXACT, IMAGE, NAME, VIDEO, ScanOptions
 from twinfold.plans import engine
-from twinfold.sources import bindings, content, filewalk, session
+from twinfold.sources import bindings, containers, content, filewalk, session
 
 #: Thresholds at which the driver's tables hold links; the defaults hold none there.
 NAME_THRESHOLD, HASH_BITS, FRAME_BITS, BLUR = 0.6, 17, 3, 15_000.0
@@ -571,3 +571,18 @@ def tree_exact_groups(spark, d):
     files, _, _ = _walked(spark, d, include_hidden=True)
     signed, _ = content.hashed(files)
     return signed.groupBy("group_key").agg(F.count("*").alias("n_files")).filter("n_files > 1")
+
+
+@query
+def tree_video_durations(spark, d):
+    """Lengths read from the headers of a tree of videos, one for each document, whose text stands before the header; every third has no header."""
+    key, data = F.col("doc_id"), F.coalesce("text", F.lit("")).cast("binary")
+    number = lambda n: F.unhex(F.lpad(F.hex(n), 8, "0"))
+    size = F.octet_length(data)
+    header = F.concat(F.unhex(F.lit("000000246D6F6F760000001C6D766864" + "0" * 24 + "000003E8")), number(size + 1))
+    body = F.concat(F.unhex(F.lit("0000000C6674797069736F6D")), number(size + 8), F.lit("mdat").cast("binary"), data, header)
+    path = F.concat(F.lit("v"), (key % 5).cast("string"), F.lit("/f"), key.cast("string"), F.when(key % 3 == 2, ".mkv").otherwise(".mp4"))
+    root = scratch(spark, "videos")
+    content.write_files(table(spark, d, "documents").filter("doc_id is not null").select(path.alias("path"), F.when(key % 3 == 2, data).otherwise(body).alias("content")), root)
+    files, _ = filewalk.scan(spark, ScanOptions(roots=(root,)))
+    return containers.durations(files).select(F.expr(f"substring(full_path, {len(root) + 2})").alias("path"), "duration")
