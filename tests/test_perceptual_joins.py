@@ -132,6 +132,27 @@ def test_frame_that_all_videos_share_brings_none_together(spark):
     assert {(k, 5000 + k) for k in range(30)} <= found
 
 
+@pytest.mark.parametrize("spread", [0, 3])
+def test_links_outside_the_largest_component_are_all_found(spark, monkeypatch, spread):
+    """Many sets that are all linked, pairs that are linked with none of them, and copies, compared with a few sets first."""
+    monkeypatch.setattr(perceptual, "FIRST", 4)
+    rng = random.Random(5 + spread)
+    base = [rng.getrandbits(16) for _ in range(12)]
+    sets = [(k, [rng.choice(base) ^ 1 << rng.randrange(16) for _ in range(rng.choice([2, 3, 4]))]) for k in range(160)]
+    for k in range(160, 220, 2):
+        pair = [rng.getrandbits(40) << 20 for _ in range(3)]  # far from all others
+        sets += [(k, pair), (k + 1, [g ^ 1 << rng.randrange(60) if spread else g for g in pair[::-1]])]
+    sets += [(230 + k, [rng.getrandbits(60), rng.getrandbits(60)]) for k in range(10)] + [(250, sets[0][1][::-1])]
+    rng.shuffle(sets)
+    seen = []
+    links = perceptual._Frames.links
+    monkeypatch.setattr(perceptual._Frames, "links", lambda self, some=None: seen.append(some if some is None else some.count()) or links(self, some))
+    got = {(r.node, r.component) for r in perceptual.video_clusters(videos(spark, sets), 2).collect()}
+    edges = spark.createDataFrame([(a, b) for a, b, _ in linked(sets, 2, 0.6)], "u long, v long")
+    assert got == {(r.node, r.component) for r in components(edges).collect()}
+    assert len(seen) == 2 and 0 < seen[0] < 110 and 0 < seen[1] < 190, seen
+
+
 def test_copies_of_a_video_are_one_node(spark):
     sets = [(k, [1 << 9, 1 << 20, 3]) for k in range(400)] + [(900, [5 << 40, 7 << 50])]
     members, reasons = perceptual.detect_videos(videos(spark, sets), 2)
