@@ -5,6 +5,7 @@ import os
 import resource
 
 import pytest
+from pyspark.sql import functions as F
 
 from twinfold.options import ScanOptions
 from twinfold.sources import content, filewalk, store
@@ -99,3 +100,27 @@ def test_files_are_written_moved_and_deleted(tmp_path, before):
     with pytest.raises(OSError):
         store.deleted(f"{at}/e.txt")
     assert filewalk.distinct_folders([f"{at}/c/d.txt", f"{at}/c"]) == [f"{at}/c"]
+
+
+def test_task_that_has_listed_many_files_leaves_folders_to_others(tmp_path, monkeypatch):
+    for k in range(6):
+        (tmp_path / f"d{k}").mkdir()
+        for j in range(5):
+            (tmp_path / f"d{k}" / f"f{j}").write_text("x")
+    monkeypatch.setattr(filewalk, "FILES", 8)
+    rows = list(filewalk.Walker(True, False, ()).rows(iter([str(tmp_path)])))
+    left = [r[0] for r in rows if r[5]]
+    files = [r[0] for r in rows if not r[5]]
+    assert len(left) == 4 and len(files) == 10
+    files += [r[0] for r in filewalk.Walker(True, False, ()).rows(iter(left))]
+    assert sorted(files) == sorted(str(p) for p in tmp_path.glob("*/f*"))
+
+
+def test_files_are_read_by_several_tasks(spark, tmp_path):
+    """Their paths are few bytes, which one task would read."""
+    for k in range(40):
+        (tmp_path / f"f{k}").write_text(str(k % 10))
+    rows = spark.createDataFrame([(f"{tmp_path}/f{k}", 1) for k in range(40)], "full_path string, length long").coalesce(1)
+    hashed = content.with_hash(rows, "quick", False)
+    assert hashed.groupBy(F.spark_partition_id()).count().count() == 4
+    assert hashed.select("quick").distinct().count() == 10

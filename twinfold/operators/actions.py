@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from twinfold.common import exists, ship
+from twinfold.common import exists, ship, spread
 from twinfold.functions.names import stem
 from twinfold.operators.positions import numbered_within
 
@@ -89,10 +89,10 @@ def apply(plan: DataFrame, at: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in names), pa.array(why, pa.string())], names=[*names, "error"])
 
     if not exists(spark, f"{at}/before/_SUCCESS"):
-        rows.mapInArrow(surveyed, T.StructType([*rows.schema.fields, T.StructField("was", T.StringType()), T.StructField("target", T.StringType())])).write.mode("overwrite").parquet(f"{at}/before")
+        spread(rows).mapInArrow(surveyed, T.StructType([*rows.schema.fields, T.StructField("was", T.StringType()), T.StructField("target", T.StringType())])).write.mode("overwrite").parquet(f"{at}/before")
     if not exists(spark, f"{at}/outcomes/_SUCCESS"):
         before = spark.read.parquet(f"{at}/before")
-        before.mapInArrow(done, T.StructType([*before.select(*names).schema.fields, T.StructField("error", T.StringType())])).write.mode("overwrite").parquet(f"{at}/outcomes")
+        spread(before).mapInArrow(done, T.StructType([*before.select(*names).schema.fields, T.StructField("error", T.StringType())])).write.mode("overwrite").parquet(f"{at}/outcomes")
     return spark.read.parquet(f"{at}/outcomes")
 
 

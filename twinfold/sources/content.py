@@ -8,7 +8,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from twinfold.common import cut, ship
+from twinfold.common import cut, ship, spread
 from twinfold.operators.exact import SAMPLE_BYTES, repeated, signature
 from twinfold.sources import store
 
@@ -49,7 +49,7 @@ def write_files(rows: DataFrame, root: str) -> None:
 
 
 def with_hash(files: DataFrame, out: str, full: bool) -> DataFrame:
-    """``files`` with a hash of each; null where a file can't be read, with the reason in ``warning``."""
+    """``files`` with a hash of each; null where a file can't be read, with the reason in ``warning``. Paths are few bytes, so they are dealt anew."""
     ship(files.sparkSession)
     kept = [f for f in files.schema if f.name not in (out, "warning")]
 
@@ -66,7 +66,7 @@ def with_hash(files: DataFrame, out: str, full: bool) -> DataFrame:
                     why.append(f"{path}: {store.reason(x)}")
             yield pa.RecordBatch.from_arrays([*(batch.column(c.name) for c in kept), pa.array(found, pa.string()), pa.array(why, pa.string())], names=[*(c.name for c in kept), out, "warning"])
 
-    return files.mapInArrow(run, T.StructType([*kept, T.StructField(out, T.StringType()), T.StructField("warning", T.StringType())]))
+    return spread(files).mapInArrow(run, T.StructType([*kept, T.StructField(out, T.StringType()), T.StructField("warning", T.StringType())]))
 
 
 def hashed(files: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -1,7 +1,7 @@
 """Directory listing in rounds: metadata only, hidden and empty files included.
 
-A round deals the folders that are known to tasks, many to each. A task lists those it was given and goes on to what it finds below,
-up to a number of folders; the rest is what the next round deals. So a deep narrow tree is walked by one task and a
+A round deals the folders that are known to tasks, many to each where there are many. A task lists those it was given and goes on to what it finds
+below, up to a number of folders and of files; the rest is what the next round deals. So a deep narrow tree is walked by one task and a
 wide one by many, nothing is listed by the driver, and what can't be read becomes a warning row.
 """
 
@@ -19,8 +19,8 @@ from twinfold.options import ScanOptions
 from twinfold.sources import store
 from twinfold.sources.bindings import from_paths
 
-#: Folders dealt to a task, tasks of a round, and folders found on the way that a task lists too.
-FOLDERS, TASKS, FURTHER = 512, 4096, 512
+#: Folders dealt to a task, tasks of a round, folders found on the way that a task lists too, and files after which it lists no more of them.
+FOLDERS, TASKS, FURTHER, FILES = 512, 4096, 512, 4096
 #: Rows handed on at once.
 ROWS = 4096
 SCHEMA = "full_path string, length long, last_write_utc timestamp, is_hidden boolean, warning string, folder boolean"
@@ -54,14 +54,19 @@ class Walker:
 
     def rows(self, folders: Iterator[str]) -> Iterator[tuple]:
         below: list[str] = []
+        seen = 0
         for at in folders:
-            yield from self._listed(at, below)
+            for row in self._listed(at, below):
+                seen += 1
+                yield row
         left = FURTHER
         while below:
             at = below.pop()
-            if left:
+            if left and seen < FILES:
                 left -= 1
-                yield from self._listed(at, below)
+                for row in self._listed(at, below):
+                    seen += 1
+                    yield row
             else:
                 yield at, None, None, None, None, True
 
@@ -84,9 +89,10 @@ def listing(spark: SparkSession, options: ScanOptions) -> DataFrame:
     ship(spark)
     walker = Walker(options.recursive, options.include_hidden, tuple(store.absolute(f) for f in options.excluded_folders))
     roots = [r for r in filters.distinct_roots([store.absolute(r) for r in options.roots]) if walker.wanted(r)]
+    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
     frontier, n, out = spark.createDataFrame([(r,) for r in roots], "full_path string"), len(roots), None
     while n or out is None:
-        tasks = max(1, min(TASKS, -(-n // FOLDERS)))
+        tasks = max(1, min(TASKS, max(-(-n // FOLDERS), min(n, width))))
         found, _, seen = written(frontier.repartition(tasks).mapInArrow(walker, SCHEMA), F.count_if("folder").alias("n"))
         rows = found.filter("not folder").drop("folder")
         out = rows if out is None else out.unionByName(rows)
